@@ -15,6 +15,7 @@ from mailspark.session import scratch
 from mailspark.sources import archives as IO
 from mailspark.sources import mbox
 from mailspark.sources import tables as T
+from mailspark.streaming import imports
 
 def at():
     return F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")
@@ -345,3 +346,45 @@ def upgrade_catalogue(spark, sf_dir):
         "subject", "from_addr", F.col("date_raw").alias("message_date"), "checksum")
     outcome = WF.upgrade_catalogue(spark, legacy, paths=[folder])
     return outcome.messages.select("rfc_message_id", "gmail_id")
+
+
+@query(with_msgs("""SELECT rfc_message_id, stored_length AS mbox_length,
+    CASE lang WHEN 'en' THEN 0 WHEN 'es' THEN 2 ELSE 1 END AS source_number FROM stored""",
+                 RAW_SQL))
+def merge_archives(spark, sf_dir):
+    folders = [folder for folder, _ in by_source(spark, sf_dir)]
+    merged = WF.merge_archives(spark, folders)
+    return P.scan_message_ids(merged.drop("source_number")).join(
+        merged.select("archive_file", "mbox_offset", "source_number"),
+        ["archive_file", "mbox_offset"]).select("rfc_message_id", "mbox_length", "source_number")
+
+
+@query(with_msgs("SELECT DISTINCT rfc_message_id, subject FROM msgs"))
+def import_stream(spark, sf_dir):
+    source = landed(spark, sf_dir)
+    target, state = scratch(spark, "stream"), scratch(spark, "state")
+    stream = imports.landed_json(spark, source, max_files=2)
+    imports.import_stream(stream, target, state, archived_at=at()).awaitTermination()
+    return imports.read_imported(spark, target).select("rfc_message_id", "subject")
+
+
+@query(with_msgs("""SELECT CAST(count(*) AS BIGINT) AS extracted, 0 AS failed FROM stored
+  WHERE doc_id IN (SELECT doc_id FROM labels)""", RAW_SQL))
+def write_eml(spark, sf_dir):
+    _, placed = archive(spark, sf_dir)
+    wanted = labelled(spark, sf_dir).select(F.concat(F.lit("m"), "doc_id").alias("gmail_id"))
+    outcome = IO.write_eml(IO.extract_ids(placed, wanted), scratch(spark, "eml"))
+    return IO.extraction_summary(outcome)
+
+
+@query(with_msgs("""SELECT (SELECT count(*) FROM msgs) AS messages,
+    (SELECT CAST(sum(imported) AS BIGINT) FROM (SELECT CASE WHEN k THEN 0 ELSE 1 END AS imported
+     FROM ids)) AS recorded""", KNOWN_SQL, RAW_SQL, IMPORT_SQL))
+def record_run(spark, sf_dir):
+    folder, _ = archive(spark, sf_dir)
+    runs = scratch(spark, "runs")
+    outcome = WF.import_archives(spark, folder, known(spark, sf_dir), archived_at=at(),
+                                 runs_path=runs)
+    recorded = spark.read.parquet(runs).agg(F.sum("messages_archived")).scalar()
+    return outcome.reports["status"].agg(F.count("*").alias("messages")).select(
+        "messages", recorded.alias("recorded"))

@@ -91,9 +91,10 @@ def duplicate_id_lists(messages, list_length=LIST_LENGTH):
     rows = messages.select(ID, "gmail_id").join(id_counts(messages), ID)
     lists = F.ceil(F.col("copies") / list_length)
     spread = F.pmod(F.xxhash64("gmail_id"), lists)
+    parts = rows.withColumn("part", F.when(lists > 1, spread).otherwise(F.lit(0)).cast("int"))
+    # Without this step the join's partitioning by id alone would be reused.
     return (
-        rows.withColumn("part", F.when(lists > 1, spread).otherwise(F.lit(0)).cast("int"))
-        .groupBy(ID, "part")
+        parts.repartition(ID, "part").groupBy(ID, "part")
         .agg(F.concat_ws(",", F.sort_array(F.collect_list("gmail_id"))).alias("gmail_ids"),
              F.first("copies").alias("copies"))
     )

@@ -75,9 +75,12 @@ def archive_incremental(landed, messages, age, folder, as_of=None, incremental=T
     chosen = slim.join(wanted, "gmail_id", "left_semi")
     if dry_run:
         return Outcome(chosen, {"plan": chosen.agg(F.count("*").alias("to_archive"))})
-    raw = fresh.select("gmail_id", "raw")
-    rows = chosen.drop(*LOCATION, "mbox_length").join(raw, "gmail_id")
-    placed = IO.write_mbox(rows, folder, ("date", "rfc_message_id"), compression, shards=shards)
+    order = ["date", "rfc_message_id", "gmail_id"]
+    chosen, count = IO.assign_shards(
+        chosen.drop(*LOCATION, "mbox_length"), [F.col(c) for c in order], "size_bytes",
+        shards=shards)
+    rows = fresh.select("gmail_id", "raw").join(chosen, "gmail_id")
+    placed = IO.write_mbox(rows, folder, order, compression, shards=count)
     checked = IO.verify_offsets(placed)
     safe = checked.filter("status = 'ok'").select("gmail_id")
     J.assert_written(chosen, placed)
@@ -98,42 +101,45 @@ def dedupe(messages, strategy="newest", dry_run=True):
     return Outcome(messages if dry_run else M.remove_copies(messages, strategy), reports)
 
 
+def merge_archives(spark, sources):
+    """Messages of several archives with ``source_number``, the position of the
+    source among the given ones. A missing source is an error."""
+    sources = list(sources)
+    mbox.require_sources(sources)
+    return _numbered(mbox.read_mbox(spark, sources), sources)
+
+
 def consolidate(spark, sources, messages, folder, sort_by_date=True, deduplicate=True,
                 strategy="newest", compression=None, shards=None):
     """Merges archives into one folder of shards and repoints the catalogue.
 
-    Headers are parsed once, the kept locations are chosen on slim rows, and
-    only then are raw bytes joined and moved. The dropped locations are sent
-    to all tasks if they are few; else both sides are shuffled by location."""
-    sources = list(sources)
-    mbox.require_sources(sources)
-    raw = mbox.read_mbox(spark, sources)
+    Headers are parsed once. Which messages stay, and the shard and order of
+    each, is settled on slim rows. Then the raw bytes meet their slim rows by
+    location and go straight to their shard; if the slim rows are few they are
+    sent to all tasks, so that raw bytes move only once."""
+    raw = merge_archives(spark, sources)
     slim = parse_messages(raw).select(
         "rfc_message_id", *LOCATION, "mbox_length", "date", "from_addr", "size_bytes")
     slim = IO.written(_numbered(slim, sources), "merge")
     slim = IO.written(J.attach_catalogue(slim, messages), "merge")
     kept = D.dedup_merged(slim, strategy) if deduplicate else slim
+    order = ["source_number", *LOCATION]
+    if sort_by_date:
+        kept = kept.withColumn("sort_date", C.sort_date(F.col("date")))
+        order = ["sort_date"] + order
+    kept, count = IO.assign_shards(kept, [F.col(c) for c in order], "mbox_length", shards=shards)
+    kept = kept.drop("mbox_length", "size_bytes")
+    rows = raw.select(*LOCATION, "raw").join(J.keys_for_join(kept), list(LOCATION))
+    rows = rows.withColumnsRenamed(
+        {"archive_file": "source_archive", "mbox_offset": "source_offset"})
+    order = ["source_archive" if c == "archive_file" else "source_offset" if c == "mbox_offset"
+             else c for c in order]
+    placed = IO.write_mbox(rows, folder, order, compression, shards=count)
+    J.assert_written(kept, placed)
     kept_at = kept.select(*LOCATION, F.lit(True).alias("_kept"))
     flagged = slim.join(kept_at, list(LOCATION), "left").withColumn(
         "kept", F.coalesce("_kept", F.lit(False))).drop("_kept")
-    flagged = IO.written(flagged, "merge")
-    dropped = flagged.filter(~F.col("kept"))
-    bytes_kept = raw.select(*LOCATION, "raw").join(
-        J.keys_for_join(dropped.select(*LOCATION)), list(LOCATION), "left_anti")
-    rows = bytes_kept.join(
-        flagged.filter("kept").select(
-            *LOCATION, "rfc_message_id", "gmail_id", "date", "from_addr", "source_number",
-            F.col("archive_file").alias("source_archive"),
-            F.col("mbox_offset").alias("source_offset")),
-        list(LOCATION))
-    rows = rows.withColumn("sort_date", C.sort_date(F.col("date")))
-    order = ["source_number", "source_archive", "source_offset"]
-    if sort_by_date:
-        order = ["sort_date"] + order
-    placed = IO.write_mbox(rows, folder, order, compression, shards=shards)
-    J.assert_written(flagged.filter("kept"), placed)
-    source_files = flagged.select("archive_file").distinct()
-    catalogue = _moved(messages, placed, source_files)
+    catalogue = _moved(messages, placed, slim.select("archive_file").distinct())
     return Outcome(catalogue, {
         "summary": A.consolidation_summary(
             flagged.withColumn("source_archive", F.col("archive_file"))),

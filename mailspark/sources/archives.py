@@ -86,25 +86,43 @@ def _shard_writer(folder, codec, passed):
     return write
 
 
+def assign_shards(slim, order, size, shard_bytes=SHARD_BYTES, shards=None):
+    """Slim rows with the number of the output shard each belongs to, and how
+    many shards there are: the ordered rows are cut every ``shard_bytes``, or
+    into ``shards`` pieces of equal size."""
+    total = slim.agg(F.sum(size)).first()[0] or 0
+    if shards is not None:
+        shard_bytes = max(1, math.ceil(total / shards))
+    placed = ranges.running_total(slim, [], order, F.col(size), "_bytes_before")
+    shard = F.floor(F.col("_bytes_before") / shard_bytes).cast("int")
+    return (placed.withColumn("shard", shard).drop("_bytes_before"),
+            max(1, math.ceil(total / shard_bytes)))
+
+
 def write_mbox(messages, folder, order=("date", "rfc_message_id"), compression=None,
                shard_bytes=SHARD_BYTES, shards=None):
-    """Writes messages (with ``raw``) in order to ``folder``, one mbox shard
-    per range of the order, and returns each message's id and new location.
-    The raw bytes are shuffled once, by the range partitioning."""
+    """Writes messages (with ``raw``) in order to ``folder``, one mbox file per
+    shard, and returns each message's id and new location. The raw bytes are
+    shuffled once.
+
+    Rows that carry a ``shard`` (see ``assign_shards``; ``shards`` tells how
+    many there are) go straight to it. Others are range-partitioned by the
+    order, which runs their plan once more to sample it."""
     codec = C.validate_compression(compression)
     folder = re.sub(r"^file:/*", "/", folder)
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     if shards is None:
         total = messages.agg(F.sum(F.octet_length("raw").cast("long"))).first()[0] or 0
         shards = max(1, math.ceil(total / shard_bytes))
+    rows = messages.withColumn("_from", from_line())
+    if "shard" in messages.columns:
+        rows = rows.repartitionById(shards, "shard")
+    else:
+        rows = rows.repartitionByRange(shards, *order)
     passed = [f for f in messages.schema
-              if f.name not in ("raw", "archive_file", "mbox_offset", "mbox_length")]
+              if f.name not in ("raw", "shard", "archive_file", "mbox_offset", "mbox_length")]
     names = [f.name for f in passed]
-    laid_out = (
-        messages.withColumn("_from", from_line())
-        .repartitionByRange(shards, *order).sortWithinPartitions(*order)
-        .select(*names, "_from", "raw")
-    )
+    laid_out = rows.sortWithinPartitions(*order).select(*names, "_from", "raw")
     made = [T.StructField("archive_file", T.StringType()),
             T.StructField("mbox_offset", T.LongType()), T.StructField("mbox_length", T.LongType())]
     locations = laid_out.mapInArrow(_shard_writer(folder, codec, names),

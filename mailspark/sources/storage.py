@@ -58,6 +58,14 @@ def list_files(path):
     return sorted(out)
 
 
+def list_folders(path):
+    """Names of the folders right below a path."""
+    system, inner = resolve(path)
+    selector = fs.FileSelector(inner, allow_not_found=True)
+    return sorted(info.base_name for info in system.get_file_info(selector)
+                  if info.type == fs.FileType.Directory)
+
+
 def exists(path):
     system, inner = resolve(path)
     return system.get_file_info(inner).type != fs.FileType.NotFound

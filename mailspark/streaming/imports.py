@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from mailspark import schema
-from mailspark.operators import tables as M
 from mailspark.operators.parse import parse_messages
 from mailspark.sources import tables as T
+from mailspark.sources.storage import list_folders
 
 WATERMARK = "7 days"
 
@@ -19,29 +19,29 @@ def landed_json(spark, path, max_files=None):
 
 
 def new_messages(raw_stream, archived_at=None, watermark=WATERMARK):
-    """Stream of parsed messages with repeats inside the watermark dropped, so
-    the state holds ids of recent mail only."""
+    """Stream of parsed messages without repeats of recent arrivals.
+
+    The watermark runs on arrival, not on the date of the mail: old mail that
+    lands late is never dropped, and the state holds recent ids only."""
     rows = parse_messages(raw_stream, archived_at=archived_at).filter("parse_error IS NULL")
-    # Watermarks need an instant. Mail without a date counts as the oldest.
-    stamp = F.to_timestamp(F.coalesce("date", F.lit("1970-01-01").cast("timestamp_ntz")))
-    return (rows.drop("parse_error").withColumn("event_time", stamp)
-            .withWatermark("event_time", watermark)
-            .dropDuplicatesWithinWatermark(["rfc_message_id"]).drop("event_time"))
+    return (rows.drop("parse_error").withColumn("arrival", F.current_timestamp())
+            .withWatermark("arrival", watermark)
+            .dropDuplicatesWithinWatermark(["rfc_message_id"]).drop("arrival"))
 
 
-def append_batch(catalogue_path, location=("rfc_message_id",)):
+def append_batch(catalogue_path):
     """A ``foreachBatch`` function that appends what the catalogue lacks.
 
     Each micro-batch owns one folder, which a repeated attempt replaces, so a
-    restart neither loses nor repeats a message. Ids older than the watermark
-    are caught by the anti-join with the folders of earlier batches."""
+    restart neither loses nor repeats a message. Ids that left the
+    state are caught by the anti-join with the folders of earlier batches."""
 
     def write(batch, number):
         spark = batch.sparkSession
         path = f"{catalogue_path}/batch={number:09d}"
         earlier = _earlier(spark, catalogue_path, number)
         fresh = batch if earlier is None else batch.join(
-            earlier.select(*location).distinct(), list(location), "left_anti")
+            earlier.select("rfc_message_id").distinct(), "rfc_message_id", "left_anti")
         fresh.write.mode("overwrite").parquet(path)
 
     return write
@@ -49,12 +49,8 @@ def append_batch(catalogue_path, location=("rfc_message_id",)):
 
 def _earlier(spark, catalogue_path, number):
     """Catalogue rows of the batches before this one; None if there are none."""
-    files = spark._jvm.org.apache.hadoop.fs.Path(catalogue_path)
-    system = files.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(files):
-        return None
-    names = [s.getPath().getName() for s in system.listStatus(files)]
-    done = sorted(n for n in names if n.startswith("batch=") and int(n[6:]) < number)
+    done = [name for name in list_folders(catalogue_path)
+            if name.startswith("batch=") and int(name[6:]) < number]
     if not done:
         return None
     return spark.read.option("basePath", catalogue_path).parquet(
@@ -75,8 +71,3 @@ def import_stream(raw_stream, catalogue_path, checkpoint_path, archived_at=None,
 
 def read_imported(spark, catalogue_path):
     return spark.read.parquet(catalogue_path).select(*schema.MESSAGES.names)
-
-
-def status_batches(batch, messages):
-    """Status of the rows of one micro-batch, as the batch job reports it."""
-    return M.append_status(batch, messages)
