@@ -363,7 +363,7 @@ def merge_archives(spark, sf_dir):
 def import_stream(spark, sf_dir):
     source = landed(spark, sf_dir)
     target, state = scratch(spark, "stream"), scratch(spark, "state")
-    stream = imports.landed_json(spark, source, max_files=2)
+    stream = imports.landed_json(spark, source, max_files=4)
     imports.import_stream(stream, target, state, archived_at=at()).awaitTermination()
     return imports.read_imported(spark, target).select("rfc_message_id", "subject")
 

@@ -53,9 +53,17 @@ def _replace(word, table, order):
 
 
 def stem(word):
-    if not 2 < len(word) < 64 or not word.isascii():
+    """Stem of a lower-case word. Letters outside ASCII count as consonants,
+    one for each of their bytes."""
+    if word.isascii():
+        return _stem(word)
+    return _stem(word.encode().decode("latin-1")).encode("latin-1").decode("utf-8", "replace")
+
+
+def _stem(word):
+    if not 2 < len(word) < 64:
         return word
-    if word.endswith(("sses", "ies")):
+    if word.endswith(("sses", "ies")) and word not in ("sses", "ies"):
         word = word[:-2]
     elif word.endswith("s") and not word.endswith("ss"):
         word = word[:-1]
