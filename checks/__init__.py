@@ -1,5 +1,7 @@
 """Registered queries, each next to the SQL that must give the same rows."""
 
+import functools
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +42,22 @@ def query(sql=None):
     return register
 
 
+_KEPT = {}
+
+
+def kept(make):
+    """Files a query reads are made once per session and folder of tables."""
+
+    @functools.wraps(make)
+    def once(spark, sf_dir, *options):
+        key = (make.__name__, spark.sparkContext.applicationId, sf_dir, options)
+        if key not in _KEPT:
+            _KEPT[key] = make(spark, sf_dir, *options)
+        return _KEPT[key]
+
+    return once
+
+
 def msgs(spark, sf_dir):
     return views.messages(spark, sf_dir)
 

@@ -4,7 +4,7 @@ scratch space, from the whole table."""
 
 from pyspark.sql import functions as F
 
-from checks import KNOWN_SQL, TS, known, labelled, msgs, query, with_msgs
+from checks import KNOWN_SQL, TS, kept, known, labelled, msgs, query, with_msgs
 from mailspark import views
 from mailspark.functions import columns as C
 from mailspark.operators import joins as J
@@ -48,28 +48,34 @@ RAW_SQL = """posts AS (SELECT *, CASE WHEN right(r, 1) = chr(10) THEN r ELSE r |
   FROM posts)"""
 
 
-def archive(spark, sf_dir, compression=None, shards=4, messages=None):
-    """Writes all messages to a new folder; gives (folder, locations)."""
-    folder = scratch(spark, "mail")
-    rows = posts(spark, sf_dir) if messages is None else messages
-    placed = IO.write_mbox(rows.drop("body"), folder, ("date", "rfc_message_id"), compression,
-                           shards=shards)
+def write_archive(messages, compression=None, shards=4):
+    """Writes messages to a new folder; gives (folder, locations)."""
+    folder = scratch(messages.sparkSession, "mail")
+    placed = IO.write_mbox(messages.drop("body"), folder, ("date", "rfc_message_id"),
+                           compression, shards=shards)
     return folder.replace("file:", "", 1), placed
 
 
+@kept
+def archive(spark, sf_dir, compression=None, shards=4):
+    """The archive of all messages."""
+    return write_archive(posts(spark, sf_dir), compression, shards)
+
+
+@kept
 def by_source(spark, sf_dir):
     """The messages in three folders, by the language group of the source."""
     folders = []
-    for i, langs in enumerate((("en",), ("fr", "de"), ("es",))):
+    for langs in (("en",), ("fr", "de"), ("es",)):
         part = posts(spark, sf_dir).filter(F.split("from_addr", "@")[0].isin(*langs))
-        folders.append(archive(spark, sf_dir, shards=2, messages=part))
+        folders.append(write_archive(part, shards=2))
     return folders
 
 
 @query(with_msgs("""SELECT gmail_id, rfc_message_id, stored_length AS mbox_length,
     stored_size AS raw_size, stored_checksum AS checksum FROM stored""", RAW_SQL))
 def write_read_mbox(spark, sf_dir):
-    folder, placed = archive(spark, sf_dir)
+    folder, placed = write_archive(posts(spark, sf_dir))
     raw = mbox.read_mbox(spark, folder, split_bytes=1 << 20)
     read = raw.select("archive_file", "mbox_offset", F.col("mbox_length").alias("read_length"),
                       F.octet_length("raw").cast("long").alias("raw_size"),
@@ -139,6 +145,7 @@ def discover_files(spark, sf_dir):
                        F.max(missing).alias("missing"))
 
 
+@kept
 def landed(spark, sf_dir):
     """Remote messages landed as JSON files."""
     folder = scratch(spark, "landed")
@@ -294,7 +301,7 @@ def consolidate_summary(spark, sf_dir):
 @query(with_msgs("""SELECT gmail_id, sha256(from_line || chr(10) || raw || chr(10)) AS checksum,
     true AS smaller FROM stored""", RAW_SQL))
 def compress_archives(spark, sf_dir):
-    folder, placed = archive(spark, sf_dir)
+    folder, placed = write_archive(posts(spark, sf_dir))
     files = [p for p, _ in mbox.list_files(folder)]
     results = IO.compress_archives(spark, files, "zstd", frame_bytes=1 << 20)
     smaller = results.agg(F.bool_and(F.col("compressed_size") < F.col("original_size"))).scalar()
@@ -339,7 +346,7 @@ def backfill_from_archives(spark, sf_dir):
   (SELECT 'old' || doc_id AS gmail_id, row_number() OVER (ORDER BY date) AS p FROM msgs) o
   JOIN (SELECT rfc_message_id, row_number() OVER (ORDER BY date) AS p FROM msgs) n USING (p)"""))
 def upgrade_catalogue(spark, sf_dir):
-    folder, placed = archive(spark, sf_dir, shards=1)
+    folder, placed = archive(spark, sf_dir, None, 1)
     legacy = placed.select(
         F.concat(F.lit("old"), F.substring("gmail_id", 2, 99)).alias("gmail_id"),
         F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("archived_timestamp"), "archive_file",

@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from checks import TS, msgs, query, with_msgs
+from checks import TS, kept, msgs, query, with_msgs
 from mailspark import views
 from mailspark.functions import columns as C
 from mailspark.functions import text as X
 from mailspark.operators import index as I
 from mailspark.operators import search as Q
+from mailspark.session import scratch
 
 #: Whole texts are searched, not their previews.
 WHOLE = ("subject", "from_addr", "to_addr", "body")
@@ -273,12 +274,21 @@ def doc_stats(spark, sf_dir):
     "score DESC, rfc_message_id, archive_file", "score DESC, archive_file")
 )
 def search_index(spark, sf_dir):
-    m = rows(spark, sf_dir)
-    postings = I.build_index(m, WHOLE, stemmed=False)
-    result = I.search_index(postings, I.doc_stats(m, WHOLE), "the heron", limit=50, stemmed=False)
+    path = stored_index(spark, sf_dir)
+    postings = I.read_postings(spark, path, ["the", "heron"])
+    lengths = spark.read.parquet(f"{path}/doc_stats")
+    result = I.search_index(postings, lengths, "the heron", limit=50, stemmed=False)
     return result.withColumn("relevance_score", F.round("relevance_score", 9))
 
 
+@kept
+def stored_index(spark, sf_dir):
+    """The index of all messages, written down."""
+    m, path = rows(spark, sf_dir), scratch(spark, "index")
+    I.write_index(I.build_index(m, WHOLE, stemmed=False), I.doc_stats(m, WHOLE), path)
+    return path
+
+
 @query()
 def build_index_stemmed(spark, sf_dir):
     postings = I.build_index(rows(spark, sf_dir), WHOLE, stemmed=True)

@@ -7,18 +7,18 @@ def load(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df):
+def spread(df, key):
     """Rows of a small table over all cores. Large tables come in as many
     splits as they need and are left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def messages(spark, sf_dir, spread_rows=False):
     """The documents table as a catalogue: one message per document, whole
     text in ``body``."""
     documents = load(spark, sf_dir, "documents")
-    return as_messages(spread(documents) if spread_rows else documents)
+    return as_messages(spread(documents, "doc_id") if spread_rows else documents)
 
 
 def as_messages(documents):
