@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks import KNOWN_SQL, TS, known, labelled, msgs, query, with_msgs
-from checks.searching import spoiled
+from checks.searching import TOKS_SQL, UNNEST, WHOLE, spoiled
 from mailspark import views
 from mailspark.operators import dedup as D
 from mailspark.operators import index as I
@@ -654,3 +654,16 @@ def health_rollup(spark, sf_dir):
 def repair_counts(spark, sf_dir):
     indexed, catalogue = sides(spark, sf_dir)
     return QA.repair_counts(catalogue, indexed)
+
+
+CAT_TOKS = TOKS_SQL.replace("FROM msgs", "FROM cat")
+
+
+@query(with_msgs("""SELECT term, count(DISTINCT (archive_file, mbox_offset)) AS df,
+    count(*) AS occurrences FROM u GROUP BY term""", SIDES, CAT_TOKS, f"u AS ({UNNEST})"))
+def repair_index(spark, sf_dir):
+    indexed, catalogue = sides(spark, sf_dir)
+    postings = I.build_index(indexed, WHOLE, stemmed=False)
+    repaired, _ = I.repair_index(
+        catalogue, postings, I.doc_stats(indexed, WHOLE), WHOLE, stemmed=False)
+    return I.term_stats(repaired)

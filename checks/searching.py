@@ -47,7 +47,8 @@ def phrase_count(ws, columns=WHOLE):
     return " + ".join(one(c) for c in columns)
 
 
-def ranked_sql(counts, match, where="true", extra="", limit=100, score=None, shown=None):
+def ranked_sql(counts, match, where="true", extra="", limit=100, score=None, shown=None,
+               parts=()):
     """BM25 ranking with the counts as n0, n1, ..."""
     n = len(counts)
     counted = f"c AS (SELECT *, {DL} AS dl, " + ", ".join(
@@ -64,7 +65,7 @@ def ranked_sql(counts, match, where="true", extra="", limit=100, score=None, sho
         f"SELECT {columns}, round(score, 9) AS relevance_score, "
         f"(SELECT count(*) FROM f) AS total_results FROM f "
         f"ORDER BY score DESC, rfc_message_id, archive_file, mbox_offset LIMIT {limit} {extra}",
-        TOKS_SQL, counted, stats, found)
+        TOKS_SQL, *parts, counted, stats, found)
 
 
 def found(result):
@@ -175,15 +176,17 @@ def match_none(spark, sf_dir):
     return found(Q.page(result, [F.desc("relevance_score"), *Q.TIES], 100))
 
 
-def near_sql(a, b, distance):
-    def one(c):
-        return (f"len(list_filter(range(1, len(t_{c}) + 1), lambda i: t_{c}[i] = '{a}' AND "
-                f"list_contains(t_{c}[greatest(i - {distance + 1}, 1):i + {distance + 1}], '{b}')))")
-
-    return " + ".join(one(c) for c in WHOLE)
+UNNEST = " UNION ALL ".join(
+    f"SELECT archive_file, mbox_offset, '{c}' AS \"column\", unnest(t_{c}) AS term, "
+    f"unnest(range(len(t_{c}))) AS pos FROM toks" for c in WHOLE)
+NEAR_SQL = f"""u AS ({UNNEST}), hits AS (SELECT archive_file AS f, mbox_offset AS o, count(*) AS n
+  FROM (SELECT DISTINCT a.* FROM u a JOIN u b ON a.archive_file = b.archive_file
+          AND a.mbox_offset = b.mbox_offset AND a."column" = b."column"
+        WHERE a.term = 'the' AND b.term = 'and' AND abs(a.pos - b.pos) <= 3) GROUP BY 1, 2)"""
+NEAR_COUNT = "coalesce((SELECT n FROM hits WHERE f = archive_file AND o = mbox_offset), 0)"
 
 
-@query(ranked_sql([near_sql("the", "and", 2)], "n0 > 0", limit=100))
+@query(ranked_sql([NEAR_COUNT], "n0 > 0", parts=[NEAR_SQL]))
 def match_near(spark, sf_dir):
     result = Q.all_of(rows(spark, sf_dir), Q.near("the", "and", 2), **PLAIN)
     return found(Q.page(result, [F.desc("relevance_score"), *Q.TIES], 100))
@@ -245,11 +248,6 @@ def tokenize(spark, sf_dir):
     return tokens.groupBy("token").agg(F.count("*").alias("n"))
 
 
-UNNEST = " UNION ALL ".join(
-    f"SELECT archive_file, mbox_offset, '{c}' AS \"column\", unnest(t_{c}) AS term, "
-    f"unnest(range(len(t_{c}))) AS pos FROM toks" for c in WHOLE)
-
-
 @query(with_msgs("""SELECT archive_file, mbox_offset, "column", term, count(*) AS tf,
     string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions
   FROM u GROUP BY ALL""", TOKS_SQL, f"u AS ({UNNEST})"))

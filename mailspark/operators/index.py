@@ -1,8 +1,8 @@
 """The text index as tables: one posting row per (message, column, term).
 
 Postings are made inside each task, so the only shuffle of a build is the one
-that lays them out by term. A common term is spread over several files by a
-salt of its message, and lookups prune to the buckets of the searched terms."""
+that lays them out by term. Lookups prune to the buckets of the searched
+terms."""
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,6 @@ from mailspark.operators import search as Q
 from mailspark.schema import LOCATION
 
 BUCKETS = 256
-SALTS = 16
 
 _KEY = [T.StructField("archive_file", T.StringType()), T.StructField("mbox_offset", T.LongType())]
 POSTINGS = T.StructType(_KEY + [
@@ -94,26 +93,28 @@ def term_stats(postings):
         F.count_if("first_in_message").alias("df"), F.sum("tf").alias("occurrences"))
 
 
-def _bucket(term):
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def _bucket(term, buckets):
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def write_index(postings, lengths, path):
-    """Index tables under ``path``, postings by term bucket."""
-    laid_out = postings.withColumn("bucket", _bucket(F.col("term")))
-    salt = F.pmod(F.xxhash64(*LOCATION), F.lit(SALTS))
-    (laid_out.repartition(F.col("bucket"), salt).sortWithinPartitions("bucket", "term")
+def write_index(postings, lengths, path, buckets=BUCKETS):
+    """Index tables under ``path``, postings by term bucket and sorted by term.
+    The rebalance step evens out the files: the bucket of a common term is
+    written by many tasks, rare ones share a task."""
+    laid_out = postings.withColumn("bucket", _bucket(F.col("term"), buckets))
+    (laid_out.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
      .write.partitionBy("bucket").parquet(f"{path}/postings"))
     lengths.write.parquet(f"{path}/doc_stats")
 
 
-def read_postings(spark, path, words=None):
+def read_postings(spark, path, words=None, buckets=BUCKETS):
     """Postings of an index, pruned to the buckets of the searched words."""
     postings = spark.read.parquet(f"{path}/postings")
     if words is not None:
-        buckets = F.array(*[_bucket(F.lit(w)) for w in words])
+        wanted = spark.range(1).select(
+            F.array(*[_bucket(F.lit(w), buckets) for w in words])).first()[0]
         postings = postings.filter(
-            F.array_contains(buckets, F.col("bucket")) & F.col("term").isin(list(words)))
+            F.col("bucket").isin(wanted) & F.col("term").isin(list(words)))
     return postings.drop("bucket")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mailspark.operators import ranges
+from mailspark.operators.search import misplaced
 from mailspark.schema import LOCATION
 
 #: Rows up to which a key table is sent to every task; past it keys are shuffled.
@@ -22,18 +23,28 @@ def keys_for_join(keys):
     return F.broadcast(keys) if small else keys
 
 
+def known_among(messages, keys, key):
+    """Distinct catalogue values of ``key`` that a batch may hold. A small
+    batch is sent to the catalogue's tasks, which then shuffle nothing but
+    the values found; past the bound all values are shuffled. ``keys`` is
+    evaluated twice, so it should be cheap or written down."""
+    rows = messages.filter(F.col(key).isNotNull()).select(key)
+    wanted = keys.select(key).distinct()
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(wanted), key, "left_semi")
+    return rows.distinct()
+
+
 def not_yet_archived(ids, messages, incremental=True):
     """Remote ids without a catalogue row; all of them if not incremental."""
     if not incremental:
         return ids
-    known = messages.filter(F.col("gmail_id").isNotNull()).select("gmail_id").distinct()
-    return ids.join(known, "gmail_id", "left_anti")
+    return ids.join(known_among(messages, ids, "gmail_id"), "gmail_id", "left_anti")
 
 
 def archived_counts(ids, messages):
     """How many of the ids are new and how many are skipped: one row."""
-    known = (messages.filter(F.col("gmail_id").isNotNull()).select("gmail_id").distinct()
-             .withColumn("_known", F.lit(True)))
+    known = known_among(messages, ids, "gmail_id").withColumn("_known", F.lit(True))
     return ids.join(known, "gmail_id", "left").agg(
         F.count_if(F.col("_known").isNull()).alias("to_archive"),
         F.count("_known").alias("already_archived"),
@@ -44,7 +55,7 @@ def split_new_known(scanned, messages, skip_duplicates=True):
     """Scanned messages with ``is_new``: no catalogue row has their id."""
     if not skip_duplicates:
         return scanned.withColumn("is_new", F.lit(True))
-    known = messages.select("rfc_message_id").distinct().withColumn("_known", F.lit(True))
+    known = known_among(messages, scanned, "rfc_message_id").withColumn("_known", F.lit(True))
     return scanned.join(known, "rfc_message_id", "left").withColumn(
         "is_new", F.col("_known").isNull()).drop("_known")
 
@@ -95,7 +106,7 @@ def locate(messages, ids, key="gmail_id"):
 
 def is_archived(ids, messages, key="gmail_id"):
     """The ids with ``archived`` true where the catalogue has them."""
-    known = messages.filter(F.col(key).isNotNull()).select(key).distinct()
+    known = known_among(messages, ids, key)
     return ids.join(known.withColumn("_known", F.lit(True)), key, "left").withColumn(
         "archived", F.col("_known").isNotNull()).drop("_known")
 
@@ -128,8 +139,7 @@ def assert_written(expected, written, key="rfc_message_id"):
 def backfill_offsets(messages, archived):
     """Messages with bad locations repaired from what the archives hold,
     matched on archive and Message-ID; ``backfilled`` tells which."""
-    bad = (F.col("mbox_offset").isNull() | (F.col("mbox_offset") < 0)
-           | F.col("mbox_length").isNull() | (F.col("mbox_length") <= 0))
+    bad = misplaced()
     at = F.struct("mbox_offset", "mbox_length")
     found = archived.groupBy("archive_file", "rfc_message_id").agg(F.max(at).alias("_at"))
     broken = messages.filter(bad).join(found, ["archive_file", "rfc_message_id"], "left")
@@ -138,7 +148,7 @@ def backfill_offsets(messages, archived):
         "mbox_length": F.coalesce("_at.mbox_length", "mbox_length"),
         "backfilled": F.col("_at").isNotNull(),
     })
-    sound = messages.filter(~F.coalesce(bad, F.lit(True))).withColumn("backfilled", F.lit(False))
+    sound = messages.filter(~bad).withColumn("backfilled", F.lit(False))
     return sound.unionByName(repaired.select(*messages.columns, "backfilled"))
 
 

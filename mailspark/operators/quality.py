@@ -10,9 +10,15 @@ from mailspark.operators import reports as A
 from mailspark.operators import search as Q
 
 
-def _count(rows, **label):
-    return rows.agg(F.count("*").alias("found")).select(
-        *[F.lit(v).alias(k) for k, v in label.items()], "found")
+def _found(rows, label, **tests):
+    """Counts of several tests in one pass, one row per test."""
+    counts = rows.agg(*[F.count_if(test).alias(name) for name, test in tests.items()])
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias(label), F.col(name).alias("found")) for name in tests])))
+
+
+def _status(name):
+    return F.col("status") == name
 
 
 def _union(parts):
@@ -30,33 +36,28 @@ def missing_archives(messages, present):
 
 def verify_consistency(messages, archived, indexed, by=("archive_file", "rfc_message_id")):
     """One row per check with what was found; passed means nothing was."""
-    compared = J.compare_ids(archived, messages, by).groupBy("status").count()
-    kinds = F.create_map(
-        F.lit("orphaned"), F.lit("orphaned_records"), F.lit("missing"), F.lit("missing_records"))
-    ids = _union([
-        compared.filter(F.col("status") == s).agg(
-            F.coalesce(F.sum("count"), F.lit(0)).alias("found"))
-        .select(kinds[F.lit(s)].alias("check"), "found") for s in ("orphaned", "missing")])
+    ids = _found(
+        J.compare_ids(archived, messages, by), "check",
+        orphaned_records=_status("orphaned"), missing_records=_status("missing"))
     keys = A.key_violations(messages).select(
         F.concat(F.lit("duplicate_"), "key").alias("check"), F.col("violations").alias("found"))
-    differing = I.compare_index(messages, indexed)
-    index = _union([
-        _count(differing.filter(F.col("status") == s), check=f"index_{s}")
-        for s in ("orphaned", "missing")])
+    index = _found(
+        I.compare_index(messages, indexed), "check",
+        index_orphaned=_status("orphaned"), index_missing=_status("missing"))
     return _union([ids, keys, index]).withColumn("passed", F.col("found") == 0)
 
 
 def _issue_counts(messages, indexed, present):
-    differing = I.compare_index(messages, indexed)
     parts = [
-        _count(differing.filter("status = 'orphaned'"), issue="orphaned_index"),
-        _count(differing.filter("status = 'missing'"), issue="missing_index"),
-        _count(Q.invalid_offsets(messages), issue="invalid_offsets"),
-        _count(messages.groupBy("rfc_message_id").count().filter("count > 1"),
-               issue="duplicate_ids"),
+        _found(I.compare_index(messages, indexed), "issue",
+               orphaned_index=_status("orphaned"), missing_index=_status("missing")),
+        _found(messages, "issue", invalid_offsets=Q.misplaced()),
+        _found(messages.groupBy("rfc_message_id").count(), "issue",
+               duplicate_ids=F.col("count") > 1),
     ]
     if present is not None:
-        parts.append(_count(missing_archives(messages, present), issue="missing_archives"))
+        parts.append(_found(missing_archives(messages, present), "issue",
+                            missing_archives=F.lit(True)))
     return _union(parts)
 
 

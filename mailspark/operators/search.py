@@ -312,14 +312,17 @@ def older_than(messages, age, as_of=None):
     return messages.filter(F.col("date") < C.age_cutoff(age, as_of))
 
 
+def misplaced():
+    """Test of a stored location that cannot be right; never NULL."""
+    return (F.coalesce(F.col("mbox_offset") < 0, F.lit(True))
+            | F.coalesce(F.col("mbox_length") <= 0, F.lit(True)))
+
+
 def invalid_offsets(messages, archive_file=None):
-    """Rows whose stored location cannot be right."""
+    """Rows with such a location, of all archives or of one."""
     rows = messages if archive_file is None else messages.filter(
         F.col("archive_file") == archive_file)
-    return rows.filter(
-        F.col("mbox_offset").isNull() | (F.col("mbox_offset") < 0)
-        | F.col("mbox_length").isNull() | (F.col("mbox_length") <= 0)
-    )
+    return rows.filter(misplaced())
 
 
 def messages_in_archive(messages, archive_file):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mailspark import schema
 from mailspark.operators import dedup
-from mailspark.operators.joins import latest_per
+from mailspark.operators.joins import known_among, latest_per
 from mailspark.schema import LOCATION
 
 ID = "rfc_message_id"
@@ -25,7 +25,7 @@ def append_status(batch, messages, skip_duplicates=True):
             "reason": F.lit(None).cast("string"),
         })
     firsts = dedup.first_seen(batch.filter(usable).select(ID, *LOCATION))
-    known = messages.select(ID).distinct().withColumn("_known", F.lit(True))
+    known = known_among(messages, batch, ID).withColumn("_known", F.lit(True))
     outcome = firsts.join(known, ID, "left").select(
         *LOCATION, F.coalesce("_known", F.lit(False)).alias("_known"))
     rows = batch.join(outcome, list(LOCATION), "left")
@@ -41,7 +41,7 @@ def append_messages(batch, messages, skip_duplicates=True):
     if not skip_duplicates:
         return batch
     firsts = dedup.first_seen(batch.select(ID, *LOCATION))
-    fresh = firsts.join(messages.select(ID).distinct(), ID, "left_anti").select(*LOCATION)
+    fresh = firsts.join(known_among(messages, batch, ID), ID, "left_anti").select(*LOCATION)
     return batch.join(fresh, list(LOCATION), "left_semi")
 
 

@@ -20,6 +20,7 @@ from mailspark.schema import LOCATION
 from mailspark.sources import archives as IO
 from mailspark.sources import mbox
 from mailspark.sources import tables as T
+from mailspark.sources.storage import list_files
 
 
 @dataclass
@@ -70,7 +71,7 @@ def archive_incremental(landed, messages, age, folder, as_of=None, incremental=T
     slim = parse_messages(fresh, archived_at=archived_at)
     slim = IO.written(S.older_than(slim.filter("parse_error IS NULL"), age, as_of), "older")
     firsts = D.first_seen(slim.select("rfc_message_id", "gmail_id"), [F.asc("gmail_id")])
-    known = messages.select("rfc_message_id").distinct()
+    known = J.known_among(messages, slim, "rfc_message_id")
     wanted = firsts.join(known, "rfc_message_id", "left_anti").select("gmail_id")
     chosen = slim.join(wanted, "gmail_id", "left_semi")
     if dry_run:
@@ -147,24 +148,15 @@ def consolidate(spark, sources, messages, folder, sort_by_date=True, deduplicate
 
 
 def _numbered(rows, sources):
-    """Adds the position of the source a row was read from."""
-    number = F.lit(len(sources))
-    for i, source in reversed(list(enumerate(sources))):
-        inner = source.replace("file:", "", 1) if source.startswith("file:/") else source
-        pattern = inner.rstrip("/")
-        if any(ch in inner for ch in "*?["):
-            test = F.col("archive_file").rlike(_glob_regex(inner))
-        else:
-            test = (F.col("archive_file") == pattern) | F.col("archive_file").startswith(
-                pattern + "/")
-        number = F.when(test, F.lit(i)).otherwise(number)
-    return rows.withColumn("source_number", number)
-
-
-def _glob_regex(glob):
-    import fnmatch
-
-    return fnmatch.translate(glob).replace(r"\Z", "$").replace(r"\z", "$")
+    """Adds the position of the source a row was read from: the first one that
+    names its file."""
+    files = {}
+    for number, source in enumerate(sources):
+        for path, _ in list_files(source):
+            files.setdefault(path, number)
+    numbers = rows.sparkSession.createDataFrame(
+        sorted(files.items()), "archive_file string, source_number int")
+    return rows.join(J.keys_for_join(numbers), "archive_file")
 
 
 def _moved(messages, placed, source_files):

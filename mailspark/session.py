@@ -15,9 +15,19 @@ SETTINGS = {
 }
 
 
-def configure(spark):
+#: Bytes a shuffle partition should hold at most; AQE joins smaller ones.
+PARTITION_BYTES = 128 << 20
+
+
+def configure(spark, data_bytes=None):
+    """Applies the settings; given the size of the data, also the number of
+    shuffle partitions it needs."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    if data_bytes is not None:
+        now = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        needed = -(-data_bytes // PARTITION_BYTES)
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(now, needed)))
     return spark
 
 

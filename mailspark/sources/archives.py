@@ -20,6 +20,7 @@ from mailspark.sources.storage import (
 
 SHARD_BYTES = 1 << 30
 FRAME_BYTES = 16 << 20
+READ_BYTES = 32 << 20
 
 
 def written(df, label):
@@ -197,15 +198,17 @@ def _reading(rows, fields, judge):
     inputs = rows.columns
 
     def run(batches):
-        batch, made = None, []
+        batch, made, first, size = None, [], 0, 0
         for current, i, data, error in _located(batches):
-            if current is not batch:
-                if batch is not None:
-                    yield flush(batch, made)
-                batch, made = current, []
+            if made and (current is not batch or size >= READ_BYTES):
+                yield flush(batch.slice(first, len(made)), made)
+                made, size = [], 0
+            if not made:
+                batch, first = current, i
             made.append(judge(current, i, data, error))
-        if batch is not None:
-            yield flush(batch, made)
+            size += len(data or b"")
+        if made:
+            yield flush(batch.slice(first, len(made)), made)
 
     def flush(batch, made):
         arrays = [pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)]

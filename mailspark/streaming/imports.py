@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from mailspark import schema
+from mailspark.operators.joins import known_among
 from mailspark.operators.parse import parse_messages
 from mailspark.sources import tables as T
 from mailspark.sources.storage import list_folders
@@ -37,12 +38,16 @@ def append_batch(catalogue_path):
     state are caught by the anti-join with the folders of earlier batches."""
 
     def write(batch, number):
-        spark = batch.sparkSession
         path = f"{catalogue_path}/batch={number:09d}"
-        earlier = _earlier(spark, catalogue_path, number)
-        fresh = batch if earlier is None else batch.join(
-            earlier.select("rfc_message_id").distinct(), "rfc_message_id", "left_anti")
+        earlier = _earlier(batch.sparkSession, catalogue_path, number)
+        if earlier is None:
+            batch.write.mode("overwrite").parquet(path)
+            return
+        batch = batch.persist()
+        known = known_among(earlier, batch, "rfc_message_id")
+        fresh = batch.join(known, "rfc_message_id", "left_anti")
         fresh.write.mode("overwrite").parquet(path)
+        batch.unpersist()
 
     return write
 
