@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailspark import views
-from mailspark.session import configure
+from mailspark.session import configure, scratch
 
 QUERIES = {}
 ORACLES = {}
@@ -58,8 +58,16 @@ def kept(make):
     return once
 
 
+@kept
+def stored_messages(spark, sf_dir):
+    """The message view of all documents, written once as a table."""
+    path = scratch(spark, "messages")
+    views.messages(spark, sf_dir, spread_rows=True).write.parquet(path)
+    return path
+
+
 def msgs(spark, sf_dir):
-    return views.messages(spark, sf_dir)
+    return spark.read.parquet(stored_messages(spark, sf_dir))
 
 
 def labelled(spark, sf_dir):

@@ -31,7 +31,7 @@ def rendered(messages):
 
 
 def posts(spark, sf_dir):
-    return rendered(views.messages(spark, sf_dir, spread_rows=True)).drop("labels")
+    return rendered(msgs(spark, sf_dir)).drop("labels")
 
 
 #: What is in the archive: separator-like lines quoted, a closing line break.
@@ -371,7 +371,8 @@ def import_stream(spark, sf_dir):
     source = landed(spark, sf_dir)
     target, state = scratch(spark, "stream"), scratch(spark, "state")
     stream = imports.landed_json(spark, source, max_files=4)
-    imports.import_stream(stream, target, state, archived_at=at()).awaitTermination()
+    imports.import_stream(stream, target, state, archived_at=at(),
+                          state_partitions=8).awaitTermination()
     return imports.read_imported(spark, target).select("rfc_message_id", "subject")
 
 

@@ -15,10 +15,6 @@ WHOLE = ("subject", "from_addr", "to_addr", "body")
 PLAIN = {"columns": WHOLE, "stemmed": False}
 
 
-def rows(spark, sf_dir):
-    return views.messages(spark, sf_dir, spread_rows=True)
-
-
 # ------------------------------------------------------------------- SQL parts
 
 
@@ -96,17 +92,17 @@ def meta_sql(where, limit=100, offset=0):
 
 @query(ranked_sql([word_count("the"), word_count("and")], "n0 > 0 AND n1 > 0", limit=10))
 def search_fulltext(spark, sf_dir):
-    return found(Q.search_fulltext(rows(spark, sf_dir), "the and", limit=10, **PLAIN))
+    return found(Q.search_fulltext(msgs(spark, sf_dir), "the and", limit=10, **PLAIN))
 
 
 @query(ranked_sql([word_count("de", ("subject",))], "n0 > 0", limit=20))
 def search_fulltext_fields(spark, sf_dir):
-    return found(Q.search_fulltext(rows(spark, sf_dir), "de", ["subject"], limit=20, **PLAIN))
+    return found(Q.search_fulltext(msgs(spark, sf_dir), "de", ["subject"], limit=20, **PLAIN))
 
 
 @query()
 def search_fulltext_stemmed(spark, sf_dir):
-    result = Q.search_fulltext(rows(spark, sf_dir), "thes ands", limit=20, columns=WHOLE)
+    result = Q.search_fulltext(msgs(spark, sf_dir), "thes ands", limit=20, columns=WHOLE)
     return found(result)
 
 
@@ -114,7 +110,7 @@ def search_fulltext_stemmed(spark, sf_dir):
     [word_count("de", ("subject",)), word_count("la")], "n0 > 0 AND n1 > 0",
     "date >= TIMESTAMP '2024-01-05' AND date < TIMESTAMP '2024-06-01'", limit=50))
 def search_hybrid(spark, sf_dir):
-    return found(Q.search(rows(spark, sf_dir), "subject:de la after:2024-01-05 before:2024-06-01",
+    return found(Q.search(msgs(spark, sf_dir), "subject:de la after:2024-01-05 before:2024-06-01",
                           limit=50, **PLAIN))
 
 
@@ -154,17 +150,17 @@ def filter_messages(spark, sf_dir):
 
 @query(ranked_sql([phrase_count(("in", "the"))], "n0 > 0", limit=100))
 def match_phrase(spark, sf_dir):
-    return found(Q.search_fulltext(rows(spark, sf_dir), '"in the"', **PLAIN))
+    return found(Q.search_fulltext(msgs(spark, sf_dir), '"in the"', **PLAIN))
 
 
 @query(ranked_sql([prefix_count("hea")], "n0 > 0", limit=100))
 def match_prefix(spark, sf_dir):
-    return found(Q.search_fulltext(rows(spark, sf_dir), "hea*", **PLAIN))
+    return found(Q.search_fulltext(msgs(spark, sf_dir), "hea*", **PLAIN))
 
 
 @query(ranked_sql([word_count("der"), word_count("los")], "(n0 > 0 OR n1 > 0)", limit=100))
 def match_any(spark, sf_dir):
-    result = Q.any_of(rows(spark, sf_dir), Q.word("der"), Q.word("los"), **PLAIN)
+    result = Q.any_of(msgs(spark, sf_dir), Q.word("der"), Q.word("los"), **PLAIN)
     order = [F.desc("relevance_score"), *Q.TIES]
     return found(Q.page(result, order, 100))
 
@@ -172,7 +168,7 @@ def match_any(spark, sf_dir):
 @query(ranked_sql([word_count("the"), word_count("that")], "n0 > 0 AND n1 = 0", limit=100,
                   score=[0]))
 def match_none(spark, sf_dir):
-    result = Q.none_of(rows(spark, sf_dir), [Q.word("the")], [Q.word("that")], **PLAIN)
+    result = Q.none_of(msgs(spark, sf_dir), [Q.word("the")], [Q.word("that")], **PLAIN)
     return found(Q.page(result, [F.desc("relevance_score"), *Q.TIES], 100))
 
 
@@ -188,7 +184,7 @@ NEAR_COUNT = "coalesce((SELECT n FROM hits WHERE f = archive_file AND o = mbox_o
 
 @query(ranked_sql([NEAR_COUNT], "n0 > 0", parts=[NEAR_SQL]))
 def match_near(spark, sf_dir):
-    result = Q.all_of(rows(spark, sf_dir), Q.near("the", "and", 2), **PLAIN)
+    result = Q.all_of(msgs(spark, sf_dir), Q.near("the", "and", 2), **PLAIN)
     return found(Q.page(result, [F.desc("relevance_score"), *Q.TIES], 100))
 
 
@@ -244,7 +240,7 @@ def remote_ids_in_archive(spark, sf_dir):
 @query(with_msgs(f"SELECT w AS token, count(*) AS n FROM (SELECT unnest({tok('body')}) AS w "
                  "FROM msgs) GROUP BY w"))
 def tokenize(spark, sf_dir):
-    tokens = rows(spark, sf_dir).select(F.explode(X.tokenize(F.col("body"))).alias("token"))
+    tokens = msgs(spark, sf_dir).select(F.explode(X.tokenize(F.col("body"))).alias("token"))
     return tokens.groupBy("token").agg(F.count("*").alias("n"))
 
 
@@ -252,18 +248,18 @@ def tokenize(spark, sf_dir):
     string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions
   FROM u GROUP BY ALL""", TOKS_SQL, f"u AS ({UNNEST})"))
 def build_index(spark, sf_dir):
-    return I.build_index(rows(spark, sf_dir), WHOLE, stemmed=False).drop("dl", "first_in_message")
+    return I.build_index(msgs(spark, sf_dir), WHOLE, stemmed=False).drop("dl", "first_in_message")
 
 
 @query(with_msgs("""SELECT term, count(DISTINCT (archive_file, mbox_offset)) AS df,
     count(*) AS occurrences FROM u GROUP BY term""", TOKS_SQL, f"u AS ({UNNEST})"))
 def term_stats(spark, sf_dir):
-    return I.term_stats(I.build_index(rows(spark, sf_dir), WHOLE, stemmed=False))
+    return I.term_stats(I.build_index(msgs(spark, sf_dir), WHOLE, stemmed=False))
 
 
 @query(with_msgs(f"SELECT archive_file, mbox_offset, {DL} AS dl FROM toks", TOKS_SQL))
 def doc_stats(spark, sf_dir):
-    return I.doc_stats(rows(spark, sf_dir), WHOLE)
+    return I.doc_stats(msgs(spark, sf_dir), WHOLE)
 
 
 @query(ranked_sql([word_count("the"), word_count("heron")], "n0 > 0 AND n1 > 0", limit=50,
@@ -282,14 +278,14 @@ def search_index(spark, sf_dir):
 @kept
 def stored_index(spark, sf_dir):
     """The index of all messages, written down."""
-    m, path = rows(spark, sf_dir), scratch(spark, "index")
+    m, path = msgs(spark, sf_dir), scratch(spark, "index")
     I.write_index(I.build_index(m, WHOLE, stemmed=False), I.doc_stats(m, WHOLE), path)
     return path
 
 
 @query()
 def build_index_stemmed(spark, sf_dir):
-    postings = I.build_index(rows(spark, sf_dir), WHOLE, stemmed=True)
+    postings = I.build_index(msgs(spark, sf_dir), WHOLE, stemmed=True)
     return I.term_stats(postings)
 
 

@@ -118,30 +118,62 @@ def read_postings(spark, path, words=None, buckets=BUCKETS):
     return postings.drop("bucket")
 
 
-def search_index(postings, lengths, text, fields=None, limit=100, stemmed=True):
-    """Locations of the best messages for all words of a text, from the index
-    alone. One shuffle, of the postings of the searched words by message."""
-    words = list(dict.fromkeys(
-        porter_stem(w) if stemmed else w for w in X.local_tokens(text)))
+def _seats(term, words):
+    """How often a word or phrase occurs, from the position arrays of its
+    words in one column."""
+    def starts(step, w):
+        return F.transform(F.col(f"_p{words.index(w)}"), lambda seat: seat - step)
+
+    hits = starts(0, term.tokens[0])
+    for step, w in enumerate(term.tokens[1:], 1):
+        hits = F.array_intersect(hits, starts(step, w))
+    return F.coalesce(F.size(hits), F.lit(0)).cast("long")
+
+
+def _index_counts(postings, terms, words):
+    """Per message: its length and how often each term occurs. One shuffle, of
+    the postings of the searched words by message."""
     hits = postings.filter(F.col("term").isin(words))
-    if fields:
-        unknown = set(fields) - set(X.INDEXED) - {"body"}
-        if unknown:
-            raise ValueError(f"not an indexed column: {', '.join(sorted(unknown))}")
-        hits = hits.filter(F.col("column").isin(list(fields)))
-    counts = [F.coalesce(F.sum(F.when(F.col("term") == w, F.col("tf"))), F.lit(0)).alias(f"_n{i}")
-              for i, w in enumerate(words)]
-    found = hits.groupBy(*LOCATION).agg(F.max("dl").alias("_dl"), *counts)
+    if all(t.kind == "word" and t.columns is None for t in terms):
+        return hits.groupBy(*LOCATION).agg(F.max("dl").alias("_dl"), *[
+            F.coalesce(F.sum(F.when(F.col("term") == t.tokens[0], F.col("tf"))), F.lit(0))
+            .alias(f"_n{i}") for i, t in enumerate(terms)])
+    per_column = hits.repartition(*LOCATION).groupBy(*LOCATION, "column").agg(
+        F.max("dl").alias("_dl"),
+        *[F.max(F.when(F.col("term") == w, F.col("positions"))).alias(f"_p{k}")
+          for k, w in enumerate(words)])
+    counts = {}
+    for i, t in enumerate(terms):
+        here = F.lit(True) if t.columns is None else F.col("column").isin(list(t.columns))
+        counts[f"_n{i}"] = F.when(here, _seats(t, words)).otherwise(F.lit(0).cast("long"))
+    return per_column.withColumns(counts).groupBy(*LOCATION).agg(
+        F.max("_dl").alias("_dl"), *[F.sum(n).alias(n) for n in counts])
+
+
+def search_index(postings, lengths, text, fields=None, limit=100, stemmed=True,
+                 columns=X.INDEXED):
+    """Locations of the best messages for all words and quoted phrases of a
+    text, from the index alone."""
+    unknown = set(fields or ()) - set(columns)
+    if unknown:
+        raise ValueError(f"not an indexed column: {', '.join(sorted(unknown))}")
+    terms = Q.terms_of(text, tuple(fields) if fields else None) or []
+    if any(t.kind not in ("word", "phrase") for t in terms):
+        raise ValueError("the index looks up words and phrases; scan for prefixes")
+    terms = [Q._stemmed(t) if stemmed else t for t in terms]
+    words = list(dict.fromkeys(w for t in terms for w in t.tokens))
+    found = _index_counts(postings, terms, words)
     corpus = lengths.agg(F.struct(F.count("*").alias("N"), F.sum("dl").alias("tokens"))).scalar()
-    matching = found.agg(F.struct(*[
-        F.count_if(F.col(f"_n{i}") > 0).alias(f"n{i}") for i in range(len(words))])).scalar()
-    matched = found.filter(Q._all(F.col(f"_n{i}") > 0 for i in range(len(words))))
+    every = range(len(terms))
+    matched = found.filter(Q._all(F.col(f"_n{i}") > 0 for i in every))
+    if not terms:
+        matched, matching = found.limit(0), F.struct(F.lit(0))
+    else:
+        matching = found.agg(F.struct(*[
+            F.count_if(F.col(f"_n{i}") > 0).alias(f"n{i}") for i in every])).scalar()
     scored = matched.withColumns({"_c": corpus, "_m": matching})
-    score = Q.bm25(
-        [F.col(f"_n{i}") for i in range(len(words))],
-        [F.col(f"_m.n{i}") for i in range(len(words))],
-        F.col("_dl"), F.col("_c.N"), F.col("_c.tokens"),
-    )
+    score = Q.bm25([F.col(f"_n{i}") for i in every], [F.col(f"_m.n{i}") for i in every],
+                   F.col("_dl"), F.col("_c.N"), F.col("_c.tokens"))
     return (scored.select(*LOCATION, score.alias("relevance_score"))
             .orderBy(F.desc("relevance_score"), *LOCATION).limit(limit))
 

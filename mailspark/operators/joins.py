@@ -95,6 +95,11 @@ def attach_catalogue(archived, messages):
     return rows.withColumn("gmail_id", F.coalesce("gmail_id", F.lit("unknown")))
 
 
+def attach_account(messages, accounts):
+    """Adds email and display name of the account each message belongs to."""
+    return messages.join(keys_for_join(accounts), "account_id", "left")
+
+
 def lookup_messages(messages, ids, key="gmail_id"):
     """Catalogue rows of the wanted ids, by remote id or by Message-ID."""
     return messages.join(keys_for_join(ids.select(key).distinct()), key, "left_semi")

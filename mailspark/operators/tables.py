@@ -107,6 +107,22 @@ def recent_runs(runs, limit=10):
 # ------------------------------------------------------------------- sessions
 
 
+def session_event(spark, session_id, event, at=None, **values):
+    """One row of the session log: event is create, progress, complete, abort
+    or delete; a creation names target_file, query and message_ids."""
+    if event not in ("create", "progress", "complete", "abort", "delete"):
+        raise ValueError(f"unknown session event {event!r}")
+    at = at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    row = dict.fromkeys(schema.SESSION_EVENTS.names)
+    row.update(session_id=session_id, event=event, event_time=at, **values)
+    return spark.createDataFrame(
+        [tuple(row[n] for n in schema.SESSION_EVENTS.names)], schema.SESSION_EVENTS)
+
+
+def record_event(path, event):
+    event.coalesce(1).write.mode("append").parquet(path)
+
+
 def session_states(events):
     """Current state of each session from its append-only event log. Deleted
     sessions are gone."""

@@ -5,7 +5,7 @@ separator line starts inside it. Small files share a partition."""
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 from mailspark.schema import RAW_MESSAGES
 from mailspark.sources import storage
@@ -118,10 +118,14 @@ class MboxReader(DataSourceReader):
     def __init__(self, options):
         self.options = dict(options)
 
-    def partitions(self):
+    def files(self):
         files = {}
         for path in self.options.get("path", "").split("\n"):
             files.update(list_files(path) if path else [])
+        return files
+
+    def partitions(self):
+        files = self.files()
         size = int(self.options.get("splitbytes", SPLIT_BYTES))
         return plan_splits(sorted(files.items()), size) or [MboxSplit(())]
 
@@ -129,6 +133,28 @@ class MboxReader(DataSourceReader):
         yield from read_pieces(partition.pieces)
 
 
+class PruningMboxReader(MboxReader):
+    """Also leaves out files that a filter on archive_file rules out."""
+
+    def __init__(self, options):
+        super().__init__(options)
+        self.wanted = None
+
+    def pushFilters(self, filters):
+        for f in filters:
+            named = getattr(f, "attribute", None) == ("archive_file",)
+            if named and isinstance(f, (EqualTo, In)):
+                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.wanted = values if self.wanted is None else self.wanted & values
+            # Spark still applies every filter to the rows.
+            yield f
+
+    def files(self):
+        files = super().files()
+        return files if self.wanted is None else {
+            p: size for p, size in files.items() if p in self.wanted}
+
+
 class MboxDataSource(DataSource):
     @classmethod
     def name(cls):
@@ -138,15 +164,18 @@ class MboxDataSource(DataSource):
         return RAW_MESSAGES
 
     def reader(self, schema):
-        return MboxReader(self.options)
+        pruning = self.options.get("pushdown") == "true"
+        return PruningMboxReader(self.options) if pruning else MboxReader(self.options)
 
 
 def read_mbox(spark, paths, split_bytes=SPLIT_BYTES):
     """Messages of mbox files, folders or globs."""
     spark.dataSource.register(MboxDataSource)
     paths = [paths] if isinstance(paths, str) else list(paths)
+    # Spark refuses readers that take filters unless this setting is on.
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
     return (spark.read.format("mbox").option("path", "\n".join(paths))
-            .option("splitBytes", str(split_bytes)).load())
+            .option("splitBytes", str(split_bytes)).option("pushdown", pushdown).load())
 
 
 def require_sources(paths):

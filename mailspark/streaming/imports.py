@@ -63,15 +63,24 @@ def _earlier(spark, catalogue_path, number):
 
 
 def import_stream(raw_stream, catalogue_path, checkpoint_path, archived_at=None,
-                  watermark=WATERMARK, available_now=True):
+                  watermark=WATERMARK, available_now=True, state_partitions=None):
     """Starts the import. With ``available_now`` it handles what has landed
-    and stops; otherwise it keeps running."""
+    and stops; otherwise it keeps running. The number of state partitions is
+    fixed when a checkpoint is first used, so it can be chosen here."""
     rows = new_messages(raw_stream, archived_at, watermark)
     writer = (rows.writeStream.foreachBatch(append_batch(catalogue_path))
               .option("checkpointLocation", checkpoint_path))
     if available_now:
         writer = writer.trigger(availableNow=True)
-    return writer.start()
+    if state_partitions is None:
+        return writer.start()
+    conf, name = raw_stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(name)
+    conf.set(name, str(state_partitions))
+    try:
+        return writer.start()
+    finally:
+        conf.set(name, before)
 
 
 def read_imported(spark, catalogue_path):

@@ -256,6 +256,24 @@ def test_sessions(spark):
     assert M.latest_open_session(states, target_file="none").count() == 0
 
 
+def test_session_log(spark, tmp_path):
+    path = str(tmp_path / "log")
+    M.record_event(path, M.session_event(spark, "s", "create", day(1), target_file="f", query="q",
+                                         message_ids=["a", "b", "c"]))
+    M.record_event(path, M.session_event(spark, "s", "progress", day(2), processed_count=2))
+    row = M.session_states(spark.read.parquet(path)).collect()[0]
+    assert (row.status, row.processed_count, row.total_count) == ("in_progress", 2, 3)
+    with pytest.raises(ValueError):
+        M.session_event(spark, "s", "explode")
+
+
+def test_accounts(spark):
+    accounts = spark.createDataFrame(
+        [("default", "me@example.com", "Me")], schema.ACCOUNTS)
+    rows = J.attach_account(table(spark, [message("a"), message("b", account_id="x")]), accounts)
+    assert {r.gmail_id: r.email for r in rows.collect()} == {"a": "me@example.com", "b": None}
+
+
 # --------------------------------------------------------------------- reports
 
 

@@ -169,3 +169,21 @@ def test_conform_fills_and_refuses(spark):
     with pytest.raises(ValueError):
         T.conform(old.select("gmail_id"), None)
     assert old.select(F.lit(1)).columns
+
+
+def test_filters_prune_files(spark, tmp_path):
+    for n in "abc":
+        (tmp_path / f"{n}.mbox").write_bytes(mbox_text([mail(1), mail(2)]))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        rows = mbox.read_mbox(spark, str(tmp_path), split_bytes=1 << 20)
+        one = rows.filter(F.col("archive_file") == f"{tmp_path}/a.mbox")
+        (tmp_path / "c.mbox").chmod(0)
+        assert one.count() == 2
+        two = rows.filter(F.col("archive_file").isin(f"{tmp_path}/a.mbox", f"{tmp_path}/b.mbox"))
+        assert two.filter("mbox_offset > 0").count() == 2
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    reader = mbox.PruningMboxReader({"path": str(tmp_path)})
+    assert len(list(reader.pushFilters([mbox.EqualTo(("archive_file",), f"{tmp_path}/b.mbox")]))) == 1
+    assert [p.pieces[0][0] for p in reader.partitions()] == [f"{tmp_path}/b.mbox"]

@@ -166,6 +166,19 @@ def test_index_search_equals_scan(spark, documents, tmp_path):
         (r.archive_file, r.mbox_offset, round(r.relevance_score, 12)) for r in want.collect())
 
 
+@pytest.mark.parametrize("text, fields", [
+    ('"in the" and', None), ("of", ["subject"]), ('"und die"', ["body"]), ("nothinglikethis", None),
+    ("the the", None)])
+def test_index_phrases_and_fields_equal_scan(documents, text, fields):
+    postings, lengths = I.build_index(documents, WHOLE), I.doc_stats(documents, WHOLE)
+    found = I.search_index(postings, lengths, text, fields, 100_000, columns=WHOLE)
+    want = Q.search_fulltext(documents, text, fields, 100_000, columns=WHOLE)
+    key = ("archive_file", "mbox_offset", "relevance_score")
+    got, expected = ({(r[0], r[1]): r[2] for r in df.select(*key).collect()}
+                     for df in (found, want))
+    assert got == pytest.approx(expected)
+
+
 def test_stems_and_tokens_equal_sqlite(documents):
     con = sqlite3.connect(":memory:")
     con.execute("CREATE VIRTUAL TABLE t USING fts5(a, tokenize='porter unicode61 "
