@@ -11,7 +11,7 @@ from mailspark.operators import joins as J
 from mailspark.operators import parse as P
 from mailspark.operators import search as S
 from mailspark.plans import workflows as WF
-from mailspark.session import scratch
+from mailspark.session import scratch, written
 from mailspark.sources import archives as IO
 from mailspark.sources import mbox
 from mailspark.sources import tables as T
@@ -218,7 +218,7 @@ def verify_offsets(spark, sf_dir):
     AS messages FROM msgs"""))
 def validate_archives(spark, sf_dir):
     folder, placed = archive(spark, sf_dir)
-    archived = IO.written(P.parse_messages(mbox.read_mbox(spark, folder)), "parsed")
+    archived = written(P.parse_messages(mbox.read_mbox(spark, folder)), "parsed")
     key = ["archive_file", "mbox_offset"]
     catalogue = placed.drop("checksum").join(archived.select(*key, "checksum"), key)
     report = WF.validate_archives(archived, catalogue)

@@ -7,7 +7,7 @@ a small table with one row per range carries the totals across."""
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mailspark.session import checkpoint
+from mailspark.session import written
 
 #: Archive bytes per range. A range holds at most this many bytes of mail.
 RANGE_BYTES = 1 << 28
@@ -38,7 +38,7 @@ def _in_ranges(df, keys, order):
     """Rows range-partitioned by (keys, order) and written down, so that the
     range of a row is the same for every reader."""
     ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
-    return checkpoint(ranged.withColumn("_range", F.spark_partition_id()))
+    return written(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
 
 
 def _carried(df, keys, order, inside_total, range_total, name):

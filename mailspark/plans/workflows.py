@@ -17,6 +17,7 @@ from mailspark.operators import search as S
 from mailspark.operators import tables as M
 from mailspark.operators.parse import parse_messages
 from mailspark.schema import LOCATION
+from mailspark.session import written
 from mailspark.sources import archives as IO
 from mailspark.sources import mbox
 from mailspark.sources import tables as T
@@ -38,12 +39,12 @@ def import_archives(spark, paths, messages, mapping=None, skip_duplicates=True,
     per scanned message."""
     mbox.require_sources([paths] if isinstance(paths, str) else paths)
     parsed = parse_messages(mbox.read_mbox(spark, paths), account_id, archived_at)
-    parsed = IO.written(parsed, "parsed")
+    parsed = written(parsed, "parsed")
     if mapping is not None:
         parsed = J.attach_remote_ids(parsed, mapping)
     flagged = M.append_status(parsed, messages, skip_duplicates)
     if mapping is not None:
-        flagged = IO.written(flagged, "status")
+        flagged = written(flagged, "status")
     imported = flagged.filter("status = 'IMPORTED'").select(*schema.MESSAGES.names)
     per_file = A.import_summary(flagged)
     if catalogue_path:
@@ -66,21 +67,25 @@ def archive_incremental(landed, messages, age, folder, as_of=None, incremental=T
                         compression=None, archived_at=None, dry_run=False, shards=None):
     """Archives landed remote messages older than an age that the catalogue
     lacks, and names the ids that may then be deleted remotely: those whose
-    written bytes read back with the right checksum."""
-    fresh = J.not_yet_archived(landed, messages, incremental)
-    slim = parse_messages(fresh, archived_at=archived_at)
-    slim = IO.written(S.older_than(slim.filter("parse_error IS NULL"), age, as_of), "older")
-    firsts = D.first_seen(slim.select("rfc_message_id", "gmail_id"), [F.asc("gmail_id")])
+    written bytes read back as the right message.
+
+    Landed bodies are read twice: parsed into slim rows, on which everything
+    is settled, and once more to be written."""
+    slim = parse_messages(landed, archived_at=archived_at)
+    slim = written(S.older_than(slim.filter("parse_error IS NULL"), age, as_of), "older")
+    fresh = J.not_yet_archived(slim, messages, incremental)
+    firsts = D.first_seen(fresh.select("rfc_message_id", "gmail_id"), [F.asc("gmail_id")])
     known = J.known_among(messages, slim, "rfc_message_id")
     wanted = firsts.join(known, "rfc_message_id", "left_anti").select("gmail_id")
-    chosen = slim.join(wanted, "gmail_id", "left_semi")
+    chosen = written(slim.join(wanted, "gmail_id", "left_semi"), "chosen")
     if dry_run:
         return Outcome(chosen, {"plan": chosen.agg(F.count("*").alias("to_archive"))})
     order = ["date", "rfc_message_id", "gmail_id"]
     chosen, count = IO.assign_shards(
         chosen.drop(*LOCATION, "mbox_length"), [F.col(c) for c in order], "size_bytes",
         shards=shards)
-    rows = fresh.select("gmail_id", "raw").join(chosen, "gmail_id")
+    chosen = written(chosen, "chosen")
+    rows = landed.select("gmail_id", "raw").join(J.keys_for_join(chosen), "gmail_id")
     placed = IO.write_mbox(rows, folder, order, compression, shards=count)
     checked = IO.verify_offsets(placed)
     safe = checked.filter("status = 'ok'").select("gmail_id")
@@ -118,18 +123,19 @@ def consolidate(spark, sources, messages, folder, sort_by_date=True, deduplicate
     each, is settled on slim rows. Then the raw bytes meet their slim rows by
     location and go straight to their shard; if the slim rows are few they are
     sent to all tasks, so that raw bytes move only once."""
-    raw = merge_archives(spark, sources)
+    sources = list(sources)
+    mbox.require_sources(sources)
+    raw = mbox.read_mbox(spark, sources)
     slim = parse_messages(raw).select(
         "rfc_message_id", *LOCATION, "mbox_length", "date", "from_addr", "size_bytes")
-    slim = IO.written(_numbered(slim, sources), "merge")
-    slim = IO.written(J.attach_catalogue(slim, messages), "merge")
+    slim = written(J.attach_catalogue(_numbered(slim, sources), messages), "merge")
     kept = D.dedup_merged(slim, strategy) if deduplicate else slim
     order = ["source_number", *LOCATION]
     if sort_by_date:
         kept = kept.withColumn("sort_date", C.sort_date(F.col("date")))
         order = ["sort_date"] + order
     kept, count = IO.assign_shards(kept, [F.col(c) for c in order], "mbox_length", shards=shards)
-    kept = kept.drop("mbox_length", "size_bytes")
+    kept = written(kept.drop("mbox_length", "size_bytes"), "kept")
     rows = raw.select(*LOCATION, "raw").join(J.keys_for_join(kept), list(LOCATION))
     rows = rows.withColumnsRenamed(
         {"archive_file": "source_archive", "mbox_offset": "source_offset"})
@@ -210,7 +216,7 @@ def validate_archives(archived, messages, sample_size=100):
 
 def verify(spark, paths, messages, indexed, present):
     """All checks of a catalogue against its archives and index."""
-    archived = IO.written(parse_messages(mbox.read_mbox(spark, paths)), "parsed")
+    archived = written(parse_messages(mbox.read_mbox(spark, paths)), "parsed")
     checked = IO.verify_offsets(messages)
     return Outcome(messages, {
         "archives": validate_archives(archived, messages),
@@ -230,8 +236,8 @@ def repair(spark, paths, messages, postings, lengths, backfill=True, dry_run=Tru
     if dry_run:
         return Outcome(messages, reports)
     if backfill:
-        archived = IO.written(parse_messages(mbox.read_mbox(spark, paths)), "parsed")
-        repaired = IO.written(J.backfill_offsets(messages, archived), "repaired")
+        archived = written(parse_messages(mbox.read_mbox(spark, paths)), "parsed")
+        repaired = written(J.backfill_offsets(messages, archived), "repaired")
         reports["backfilled"] = repaired.agg(F.count_if("backfilled").alias("backfilled"))
         messages = repaired.drop("backfilled")
     reports["postings"], reports["lengths"] = I.repair_index(messages, postings, lengths, **index)
@@ -247,7 +253,7 @@ def upgrade_catalogue(spark, catalogue, declared_version=None, paths=None, accou
         return Outcome(T.conform(catalogue, version), {})
     if version != "1.0" or not paths:
         raise schema.SchemaError(f"cannot upgrade catalogue version {version}")
-    archived = IO.written(
+    archived = written(
         parse_messages(mbox.read_mbox(spark, paths), account_id), "parsed")
     paired = J.zip_legacy(catalogue, archived.drop("archived_timestamp"))
     messages = paired.withColumn(

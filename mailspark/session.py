@@ -48,8 +48,9 @@ def scratch(spark, label):
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df):
-    """Reliable checkpoint: later stages read the written rows, also after
-    executors were lost."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def written(df, label):
+    """The rows as a table in the shared folder, computed once. Later stages
+    read the table, also after executors were lost."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

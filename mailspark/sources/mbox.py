@@ -12,6 +12,7 @@ from mailspark.sources import storage
 from mailspark.sources.storage import codec_of, list_files, open_decoded, open_random
 
 SPLIT_BYTES = 128 << 20
+SMALLEST_SPLIT = 256 << 10
 CHUNK = 1 << 20
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
 SEPARATOR = b"\nFrom "
@@ -127,6 +128,9 @@ class MboxReader(DataSourceReader):
     def partitions(self):
         files = self.files()
         size = int(self.options.get("splitbytes", SPLIT_BYTES))
+        # Little data is cut finer, so that every core gets a share.
+        share = sum(files.values()) // int(self.options.get("parallelism", 1))
+        size = min(size, max(share, SMALLEST_SPLIT))
         return plan_splits(sorted(files.items()), size) or [MboxSplit(())]
 
     def read(self, partition):
@@ -175,7 +179,8 @@ def read_mbox(spark, paths, split_bytes=SPLIT_BYTES):
     # Spark refuses readers that take filters unless this setting is on.
     pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
     return (spark.read.format("mbox").option("path", "\n".join(paths))
-            .option("splitBytes", str(split_bytes)).option("pushdown", pushdown).load())
+            .option("splitBytes", str(split_bytes)).option("pushdown", pushdown)
+            .option("parallelism", spark.sparkContext.defaultParallelism).load())
 
 
 def require_sources(paths):
