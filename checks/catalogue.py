@@ -586,14 +586,14 @@ def verify_consistency(spark, sf_dir):
 
 
 def listing(spark, sf_dir):
-    """Archive files at hand: those with a message labelled of quality."""
-    good = views.load(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct()
-    return msgs(spark, sf_dir).join(good, "doc_id", "left_semi").select(
+    """Archive files at hand: those with a message labelled toxic."""
+    toxic = views.load(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
+    return msgs(spark, sf_dir).join(toxic, "doc_id", "left_semi").select(
         F.col("archive_file").alias("path")).distinct()
 
 
 LISTING = """present AS (SELECT DISTINCT archive_file AS path FROM msgs WHERE doc_id IN
-  (SELECT doc_id FROM labels WHERE quality = 1))"""
+  (SELECT doc_id FROM labels WHERE toxic = 1))"""
 ISSUES = """issues AS (
   SELECT 'orphaned_index' AS issue, count(*) AS n FROM archived
     WHERE gmail_id NOT IN (SELECT gmail_id FROM cat)

@@ -189,10 +189,10 @@ def match_near(spark, sf_dir):
 
 
 @query(with_msgs("SELECT gmail_id, archive_file, mbox_offset FROM msgs "
-                 "WHERE date < TIMESTAMP '2024-06-01' - INTERVAL 5 MONTH"))
+                 "WHERE date < TIMESTAMP '2024-06-01' - INTERVAL 138 DAY"))
 def older_than(spark, sf_dir):
     as_of = F.lit("2024-06-01").cast("timestamp_ntz")
-    return Q.older_than(msgs(spark, sf_dir), "5m", as_of).select(
+    return Q.older_than(msgs(spark, sf_dir), "138d", as_of).select(
         "gmail_id", "archive_file", "mbox_offset")
 
 
@@ -262,16 +262,16 @@ def doc_stats(spark, sf_dir):
     return I.doc_stats(msgs(spark, sf_dir), WHOLE)
 
 
-@query(ranked_sql([word_count("the"), word_count("heron")], "n0 > 0 AND n1 > 0", limit=50,
+@query(ranked_sql([word_count("the"), word_count("and")], "n0 > 0 AND n1 > 0", limit=50,
                   shown="archive_file, mbox_offset").replace(
     ", (SELECT count(*) FROM f) AS total_results", "").replace(
     "score DESC, rfc_message_id, archive_file", "score DESC, archive_file")
 )
 def search_index(spark, sf_dir):
     path = stored_index(spark, sf_dir)
-    postings = I.read_postings(spark, path, ["the", "heron"])
+    postings = I.read_postings(spark, path, ["the", "and"])
     lengths = spark.read.parquet(f"{path}/doc_stats")
-    result = I.search_index(postings, lengths, "the heron", limit=50, stemmed=False)
+    result = I.search_index(postings, lengths, "the and", limit=50, stemmed=False)
     return result.withColumn("relevance_score", F.round("relevance_score", 9))
 
 
