@@ -12,6 +12,8 @@ from mailspark.session import scratch
 
 #: Whole texts are searched, not their previews.
 WHOLE = ("subject", "from_addr", "to_addr", "body")
+#: The tables are small; a large index takes the library's default.
+INDEX_BUCKETS = 32
 PLAIN = {"columns": WHOLE, "stemmed": False}
 
 
@@ -269,7 +271,7 @@ def doc_stats(spark, sf_dir):
 )
 def search_index(spark, sf_dir):
     path = stored_index(spark, sf_dir)
-    postings = I.read_postings(spark, path, ["the", "and"])
+    postings = I.read_postings(spark, path, ["the", "and"], INDEX_BUCKETS)
     lengths = spark.read.parquet(f"{path}/doc_stats")
     result = I.search_index(postings, lengths, "the and", limit=50, stemmed=False)
     return result.withColumn("relevance_score", F.round("relevance_score", 9))
@@ -279,7 +281,8 @@ def search_index(spark, sf_dir):
 def stored_index(spark, sf_dir):
     """The index of all messages, written down."""
     m, path = msgs(spark, sf_dir), scratch(spark, "index")
-    I.write_index(I.build_index(m, WHOLE, stemmed=False), I.doc_stats(m, WHOLE), path)
+    postings = I.build_index(m, WHOLE, stemmed=False)
+    I.write_index(postings, I.doc_stats(m, WHOLE), path, INDEX_BUCKETS)
     return path
 
 
