@@ -1,14 +1,14 @@
 """Queries of this package and the SQL that must give the same rows."""
 
+from mailspark.llm.bpe import op7_speculative_bpe
 from mailspark.llm.exact_dedup import OP9_SQL, op9_digest_index
 from mailspark.llm.quality_rules import OP3_SQL, op3_rule_ledger
 from mailspark.llm.sharding import OP2_SQL, op2_stratified_interleave
+from mailspark.llm.simhash import op4_simhash_bktree
 
-QUERIES = {
-    "op2_stratified_interleave": op2_stratified_interleave,
-    "op3_rule_ledger": op3_rule_ledger,
-    "op9_digest_index": op9_digest_index,
-}
+QUERIES = {f.__name__: f for f in (
+    op2_stratified_interleave, op3_rule_ledger, op4_simhash_bktree, op7_speculative_bpe,
+    op9_digest_index)}
 
 ORACLES = {
     "op2_stratified_interleave": OP2_SQL,
