@@ -102,7 +102,11 @@ def ledger(df, id_columns=("doc_id",)):
     total = bits[0]
     for b in bits[1:]:
         total = total + b
-    return measured(df, id_columns).withColumn("failed", total.cast("long"))
+    # Adding nothing by the row number, which only Spark's optimizer cannot
+    # know, keeps a later filter above the ledger; moved below, it would
+    # evaluate the measurements anew inside each other.
+    nothing = F.when(F.monotonically_increasing_id() < 0, 1).otherwise(0)
+    return measured(df, id_columns).withColumn("failed", (total + nothing).cast("long"))
 
 
 def passes(policy=CURRENT):
