@@ -54,8 +54,8 @@ def find_duplicates(spark, sf_dir):
     return D.find_duplicates(msgs(spark, sf_dir))
 
 
-@query(with_msgs("""SELECT rfc_message_id, 0 AS part, string_agg(gmail_id, ',' ORDER BY gmail_id)
-    AS gmail_ids, count(*) AS copies FROM msgs GROUP BY 1 HAVING count(*) > 1"""))
+@query(with_msgs("""SELECT DISTINCT rfc_message_id, gmail_id, copies FROM (SELECT *,
+    count(*) OVER (PARTITION BY rfc_message_id) AS copies FROM msgs) WHERE copies > 1"""))
 def duplicate_id_lists(spark, sf_dir):
     return D.duplicate_id_lists(msgs(spark, sf_dir))
 
@@ -153,12 +153,14 @@ def lengths_from_offsets(spark, sf_dir):
         "archive_file", "mbox_offset", "mbox_length")
 
 
-@query(with_msgs("""SELECT gmail_id, to_addr, CAST(coalesce(sum(mbox_length) OVER (
-    PARTITION BY to_addr ORDER BY date, rfc_message_id, mbox_offset
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS new_offset FROM msgs"""))
+@query(with_msgs("""SELECT gmail_id, t AS to_addr, CAST(coalesce(sum(mbox_length) OVER (
+    PARTITION BY t ORDER BY date, rfc_message_id, mbox_offset
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS new_offset
+  FROM (SELECT *, nullif(to_addr, 'list-3@example.com') AS t FROM msgs)"""))
 def repack_offsets(spark, sf_dir):
     m = msgs(spark, sf_dir).select(
-        "gmail_id", "to_addr", "date", "rfc_message_id", "mbox_offset", "mbox_length")
+        "gmail_id", F.nullif("to_addr", F.lit("list-3@example.com")).alias("to_addr"), "date",
+        "rfc_message_id", "mbox_offset", "mbox_length")
     order = [F.asc("date"), F.asc("rfc_message_id"), F.asc("mbox_offset")]
     return R.repack_offsets(m, ["to_addr"], order).select("gmail_id", "to_addr", "new_offset")
 
@@ -446,18 +448,18 @@ def session_events(spark, sf_dir):
         F.lit("default").alias("account_id"))
 
 
-SESSIONS = """states AS (SELECT 's' || user_id AS session_id,
-    max(CASE WHEN event_type = 'signup' THEN 'a' || (user_id % 5) || '.mbox' END) AS target_file,
-    max(CASE WHEN event_type = 'signup' THEN 'before:2024/01/01' END) AS query,
-    max(CASE WHEN event_type = 'signup' AND user_id % 2 = 0 THEN 'zstd' END) AS compression,
-    max(CASE WHEN event_type = 'signup' THEN ts END) AS started_at,
-    max(CASE WHEN event_type <> 'signup' THEN ts END) AS updated_at,
-    coalesce(max_by(event_id, ts) FILTER (WHERE event_type IN ('view', 'click')), 0)
+SESSIONS = """born AS (SELECT user_id, max(ts) AS started_at FROM events
+    WHERE event_type = 'signup' GROUP BY 1),
+  states AS (SELECT 's' || user_id AS session_id, 'a' || (user_id % 5) || '.mbox' AS target_file,
+    'before:2024/01/01' AS query, CASE WHEN user_id % 2 = 0 THEN 'zstd' END AS compression,
+    started_at, max(CASE WHEN event_type <> 'signup' THEN ts END) AS updated_at,
+    coalesce(arg_max(event_id, (ts, event_id)) FILTER (WHERE event_type IN ('view', 'click')), 0)
       AS processed_count,
-    CASE max_by(event_type, ts) WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'aborted'
-      ELSE 'in_progress' END AS status,
-    CAST(max(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) AS BIGINT) AS total_count
-  FROM events GROUP BY user_id)"""
+    CASE arg_max(event_type, (ts, event_type = 'purchase'))
+      FILTER (WHERE event_type IN ('purchase', 'error'))
+      WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'aborted' ELSE 'in_progress' END AS status,
+    CAST(1 AS BIGINT) AS total_count
+  FROM born JOIN events USING (user_id) WHERE ts >= started_at GROUP BY user_id, started_at)"""
 STATE = (f"session_id, target_file, query, compression, strftime(started_at, {TS}) AS started_at, "
          f"strftime(updated_at, {TS}) AS updated_at, processed_count, status, total_count")
 STATE_COLUMNS = ["session_id", "target_file", "query", "compression", "started_at", "updated_at",

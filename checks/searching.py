@@ -428,11 +428,17 @@ def message_measures(spark, sf_dir):
         C.body_preview(F.col("body")).alias("body_preview"))
 
 
-@query(with_msgs("""SELECT gmail_id, to_json({'gmail_id': gmail_id, 'subject': subject,
-    'archive_file': archive_file, 'mbox_offset': mbox_offset}) AS value FROM msgs"""))
+@query(with_msgs("""SELECT gmail_id, rfc_message_id, strftime(date, '%Y-%m-%dT%H:%M:%S') AS date,
+    from_addr AS "from", to_addr AS "to", subject, archive_file, mbox_offset,
+    NULL::DOUBLE AS relevance_score,
+    CASE WHEN length(p) > 200 THEN left(p, 200) || '...' ELSE p END AS body_preview
+  FROM (SELECT *, trim(left(body, 1000), ' ' || chr(9) || chr(10) || chr(13)) AS p FROM msgs)"""))
 def results_json(spark, sf_dir):
     m = msgs(spark, sf_dir).withColumn("relevance_score", F.lit(None).cast("double"))
     out = Q.results_json(m, with_preview=True)
-    record = F.from_json("value", "gmail_id string, subject string, archive_file string, "
-                                  "mbox_offset long")
-    return out.select(record.alias("r")).select("r.gmail_id", F.to_json("r").alias("value"))
+    record = F.from_json(
+        "value", "gmail_id string, rfc_message_id string, date string, `from` string, `to` string, "
+                 "subject string, archive_file string, mbox_offset long, relevance_score double, "
+                 "body_preview string")
+    return out.select(record.alias("r")).select(
+        "r.*").withColumn("date", F.left("date", F.lit(19)))

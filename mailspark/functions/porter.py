@@ -60,8 +60,12 @@ def stem(word):
     return _stem(word.encode().decode("latin-1")).encode("latin-1").decode("utf-8", "replace")
 
 
+#: Fixed value: the longest word, in bytes, that the public tokenizer stems.
+LONGEST = 64
+
+
 def _stem(word):
-    if not 2 < len(word) < 64:
+    if not 2 < len(word) <= LONGEST:
         return word
     if word.endswith(("sses", "ies")) and word not in ("sses", "ies"):
         word = word[:-2]

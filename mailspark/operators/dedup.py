@@ -81,23 +81,12 @@ def find_duplicates(messages):
     return listed.join(id_counts(messages), ID)
 
 
-#: Ids in one text of ``duplicate_id_lists``.
-LIST_LENGTH = 100_000
-
-
-def duplicate_id_lists(messages, list_length=LIST_LENGTH):
-    """Remote ids of each repeated message as comma lists. A list holds about
-    ``list_length`` ids; a message with more copies gets several rows."""
+def duplicate_id_lists(messages):
+    """Remote ids of each repeated message: one row per message and remote id,
+    with the number of copies. A group may be of any size, so its ids stay in
+    rows."""
     rows = messages.select(ID, "gmail_id").join(id_counts(messages), ID)
-    lists = F.ceil(F.col("copies") / list_length)
-    spread = F.pmod(F.xxhash64("gmail_id"), lists)
-    parts = rows.withColumn("part", F.when(lists > 1, spread).otherwise(F.lit(0)).cast("int"))
-    # Without this step the join's partitioning by id alone would be reused.
-    return (
-        parts.repartition(ID, "part").groupBy(ID, "part")
-        .agg(F.concat_ws(",", F.sort_array(F.collect_list("gmail_id"))).alias("gmail_ids"),
-             F.first("copies").alias("copies"))
-    )
+    return rows.distinct()
 
 
 def _group_sizes(messages, strategy):

@@ -12,15 +12,22 @@ from mailspark.operators import ranges
 from mailspark.operators.search import misplaced
 from mailspark.schema import LOCATION
 
-#: Rows up to which a key table is sent to every task; past it keys are shuffled.
-BROADCAST_ROWS = 200_000
+#: Bytes up to which a key table is sent to every task; past it keys are shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 def keys_for_join(keys):
-    """Key table with a broadcast hint if it is small, counted up to the
-    bound; unchanged otherwise."""
-    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return F.broadcast(keys) if small else keys
+    """Key table with a broadcast hint if its rows, measured, stay within the
+    bound; unchanged otherwise. ``keys`` should be narrow."""
+    return F.broadcast(keys) if _bytes(keys) <= BROADCAST_BYTES else keys
+
+
+def _bytes(rows):
+    """Size of the rows in memory: 16 bytes a column, and the texts."""
+    texts = [F.octet_length(F.col(f"`{n}`")) for n, kind in rows.dtypes if kind in ("string", "binary")]
+    others = [F.lit(64) for _, kind in rows.dtypes if kind.startswith(("array", "map", "struct"))]
+    width = sum((F.coalesce(t, F.lit(0)) for t in texts + others), F.lit(16 * len(rows.columns)))
+    return rows.agg(F.sum(width.cast("long"))).first()[0] or 0
 
 
 def known_among(messages, keys, key):
@@ -30,7 +37,7 @@ def known_among(messages, keys, key):
     evaluated twice, so it should be cheap or written down."""
     rows = messages.filter(F.col(key).isNotNull()).select(key)
     wanted = keys.select(key).distinct()
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if _bytes(wanted) <= BROADCAST_BYTES:
         rows = rows.join(F.broadcast(wanted), key, "left_semi")
     return rows.distinct()
 
@@ -73,8 +80,10 @@ def attach_remote_ids(scanned, mapping):
     """Adds the remote id of each message from a mapping (message_key,
     gmail_id); the key is the Message-ID without angle brackets."""
     key = F.nullif(F.btrim(F.col("rfc_message_id"), F.lit("<>")), F.lit(""))
-    found = mapping.groupBy("message_key").agg(F.min("gmail_id").alias("gmail_id"))
     rows = scanned.drop("gmail_id").withColumn("message_key", key)
+    wanted = rows.select("message_key").distinct()
+    found = mapping.join(keys_for_join(wanted), "message_key", "left_semi").groupBy(
+        "message_key").agg(F.min("gmail_id").alias("gmail_id"))
     return rows.join(found, "message_key", "left").drop("message_key")
 
 
@@ -88,8 +97,11 @@ def remote_id_counts(attached):
 
 
 def attach_catalogue(archived, messages):
-    """Adds the catalogue's remote id to messages read from archives."""
-    known = messages.groupBy("archive_file", "rfc_message_id").agg(
+    """Adds the catalogue's remote id to messages read from archives. Only the
+    catalogue rows of those archives are aggregated."""
+    files = keys_for_join(archived.select("archive_file").distinct())
+    known = messages.join(files, "archive_file", "left_semi").groupBy(
+        "archive_file", "rfc_message_id").agg(
         F.min("gmail_id").alias("gmail_id"))
     rows = archived.drop("gmail_id").join(known, ["archive_file", "rfc_message_id"], "left")
     return rows.withColumn("gmail_id", F.coalesce("gmail_id", F.lit("unknown")))
@@ -146,8 +158,11 @@ def backfill_offsets(messages, archived):
     matched on archive and Message-ID; ``backfilled`` tells which."""
     bad = misplaced()
     at = F.struct("mbox_offset", "mbox_length")
-    found = archived.groupBy("archive_file", "rfc_message_id").agg(F.max(at).alias("_at"))
-    broken = messages.filter(bad).join(found, ["archive_file", "rfc_message_id"], "left")
+    broken = messages.filter(bad)
+    files = keys_for_join(broken.select("archive_file").distinct())
+    found = archived.join(files, "archive_file", "left_semi").groupBy(
+        "archive_file", "rfc_message_id").agg(F.max(at).alias("_at"))
+    broken = broken.join(found, ["archive_file", "rfc_message_id"], "left")
     repaired = broken.withColumns({
         "mbox_offset": F.coalesce("_at.mbox_offset", "mbox_offset"),
         "mbox_length": F.coalesce("_at.mbox_length", "mbox_length"),

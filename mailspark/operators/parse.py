@@ -82,6 +82,14 @@ def parse_one(raw, whole_body=False):
     return out
 
 
+def generated_id(parsed):
+    """Id of a parsed message without Message-ID, as ``columns.rfc_message_id``
+    makes it."""
+    given = [parsed.get("subject"), parsed.get("date_raw")]
+    text = "".join(x if x is not None else d for x, d in zip(given, ("no-subject", "no-date")))
+    return f"<{hashlib.sha256(text.encode()).hexdigest()}@generated>"
+
+
 FIELDS = [*HEADERS.values(), "body_preview", "checksum"]
 
 

@@ -1,6 +1,5 @@
 """Checks of catalogue, archives and text index against each other."""
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mailspark import schema
@@ -117,11 +116,3 @@ def planned_fixes(report):
     fix = F.create_map(*[F.lit(x) for pair in FIXES.items() for x in pair])
     return report.filter(F.col("fixable") & (F.col("severity") != "OK")).select(
         "id", fix[F.col("id")].alias("fix"), "found")
-
-
-def spot_sample(messages, size=100):
-    """Up to ``size`` messages per archive, picked by hash; the pick is made
-    inside each map task first."""
-    rank = F.row_number().over(W.partitionBy("archive_file").orderBy(
-        F.xxhash64("mbox_offset", "rfc_message_id"), "mbox_offset"))
-    return messages.withColumn("_rank", rank).filter(F.col("_rank") <= size).drop("_rank")

@@ -49,8 +49,12 @@ def _carried(df, keys, order, inside_total, range_total, name):
     totals = totals.select(
         *keys, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     inside = W.partitionBy(*keys, "_range").orderBy(*order)
+    totals = totals.withColumnsRenamed({k: f"_of_{k}" for k in [*keys, "_range"]})
+    same = F.lit(True)
+    for k in [*keys, "_range"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
     return (
-        rows.join(totals, keys + ["_range"])
+        rows.join(totals, same).drop(*[f"_of_{k}" for k in [*keys, "_range"]])
         .withColumn(name, (inside_total(inside) + F.col("_before")).cast("long"))
         .drop("_range", "_before")
     )

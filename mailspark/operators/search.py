@@ -35,6 +35,8 @@ class Match:
     columns: tuple | None = None
     distance: int = 0
     negated: bool = False
+    #: Of a near term, how many of the tokens are the first phrase.
+    first: int = 1
 
     def within(self, *names):
         return replace(self, columns=tuple(names))
@@ -44,21 +46,28 @@ def word(text):
     return phrase(text)
 
 
-def phrase(text):
+def _words(text):
     tokens = tuple(X.local_tokens(text))
+    if not tokens:
+        raise ValueError(f"no word to search in {text!r}")
+    return tokens
+
+
+def phrase(text):
+    tokens = _words(text)
     return Match("word" if len(tokens) == 1 else "phrase", tokens)
 
 
 def prefix(text):
     """Words that start with the text; of several words the last one is open."""
-    tokens = tuple(X.local_tokens(text))
+    tokens = _words(text)
     return Match("prefix" if len(tokens) == 1 else "open phrase", tokens)
 
 
 def near(first, second, distance=10):
-    """Both words with at most ``distance`` words between them."""
-    a, b = X.local_tokens(first), X.local_tokens(second)
-    return Match("near", (a[0], b[0]), distance=distance)
+    """Two words or phrases with at most ``distance`` words between them."""
+    a, b = _words(first), _words(second)
+    return Match("near", a + b, distance=distance, first=len(a))
 
 
 def terms_of(text, columns=None):
@@ -68,8 +77,8 @@ def terms_of(text, columns=None):
         return None
     out = []
     for part in re.findall(r'"[^"]*"\*?|[^\s"]+', text):
-        term = prefix(part) if part.endswith("*") else phrase(part)
-        if term.tokens:
+        if X.local_tokens(part):
+            term = prefix(part) if part.endswith("*") else phrase(part)
             out.append(replace(term, columns=columns))
     return out or None
 
@@ -82,19 +91,25 @@ def _count(term, tokens):
     if term.kind == "prefix":
         return F.size(F.filter(tokens, lambda x: x.startswith(t[0])))
     if term.kind == "near":
-        # Positions of the first word with the second one inside the window.
-        span = term.distance + 1
-        seats = F.sequence(F.lit(1), F.size(tokens))
+        # Places of the first phrase with the second one inside the window: it
+        # starts at most ``distance`` words after the first one's end, or ends
+        # as many before its start.
+        a, b = t[:term.first], t[term.first:]
+
+        def stands(words, i):
+            return F.slice(tokens, i, len(words)) == F.array(*[F.lit(w) for w in words])
 
         def hit(i):
-            start = F.greatest(i - span, F.lit(1))
-            return (F.element_at(tokens, i) == t[0]) & F.array_contains(
-                F.slice(tokens, start, i + span - start + 1), t[1]
-            )
+            start = F.greatest(i - term.distance - len(b), F.lit(1))
+            last = F.least(i + len(a) + term.distance, F.size(tokens) - len(b) + 1)
+            window = F.when(last >= start, F.sequence(start, last))
+            return stands(a, i) & F.exists(window, lambda j: stands(b, j) & (
+                (j >= i + len(a)) | (j + len(b) <= i) | (F.lit(a == b) & (j == i))))
 
         return F.when(
-            F.array_contains(tokens, t[0]) & F.array_contains(tokens, t[1]),
-            F.size(F.filter(seats, hit)),
+            F.array_contains(tokens, a[0]) & F.array_contains(tokens, b[0])
+            & (F.size(tokens) >= max(len(a), len(b))),
+            F.size(F.filter(F.sequence(F.lit(1), F.size(tokens) - len(a) + 1), hit)),
         ).otherwise(F.lit(0))
     open_end = term.kind == "open phrase"
     fixed = t[:-1] if open_end else t
@@ -400,14 +415,14 @@ OPERATORS = ("from", "to", "subject", "after", "before")
 def split_query(query):
     """Operators of a mail-style query (the first of each kind counts) and
     the words left over."""
-    found, rest = {}, query
-    for name in OPERATORS:
-        pattern = rf"(?:^|(?<=\s)){name}:(\S+)"
-        hit = re.search(pattern, query)
-        if hit:
-            found[name] = hit[1]
-            rest = re.sub(pattern, "", rest)
-    return found, " ".join(rest.split())
+    found, words = {}, []
+    for part in query.split():
+        name, colon, value = part.partition(":")
+        if colon and value and name in OPERATORS:
+            found.setdefault(name, value)
+        else:
+            words.append(part)
+    return found, " ".join(words)
 
 
 def search(messages, query, limit=100, offset=0, **options):

@@ -37,12 +37,10 @@ def append_status(batch, messages, skip_duplicates=True):
 
 
 def append_messages(batch, messages, skip_duplicates=True):
-    """Rows of a batch to append to the catalogue."""
-    if not skip_duplicates:
-        return batch
-    firsts = dedup.first_seen(batch.select(ID, *LOCATION))
-    fresh = firsts.join(known_among(messages, batch, ID), ID, "left_anti").select(*LOCATION)
-    return batch.join(fresh, list(LOCATION), "left_semi")
+    """Rows of a batch to append to the catalogue: those that
+    ``append_status`` calls IMPORTED."""
+    return append_status(batch, messages, skip_duplicates).filter(
+        "status = 'IMPORTED'").select(*batch.columns)
 
 
 def upsert_messages(messages, batch, order=None):
@@ -97,7 +95,7 @@ def run_row(spark, operation, count, archive_file=None, notes=None, account_id="
 
 
 def record_run(path, run):
-    run.coalesce(1).write.mode("append").parquet(path)
+    run.write.mode("append").parquet(path)
 
 
 def recent_runs(runs, limit=10):
@@ -120,36 +118,39 @@ def session_event(spark, session_id, event, at=None, **values):
 
 
 def record_event(path, event):
-    event.coalesce(1).write.mode("append").parquet(path)
+    event.write.mode("append").parquet(path)
 
 
 def session_states(events):
-    """Current state of each session from its append-only event log. Deleted
-    sessions are gone."""
-    created = F.col("event") == "create"
-    latest = F.max_by("event", F.struct("event_time", "event"))
-
-    def at_creation(c):
-        return F.max(F.when(created, F.col(c))).alias(c)
-
-    updated = F.max(F.when(~created, F.col("event_time"))).alias("updated_at")
-    ended = (F.when(F.col("_last") == "complete", "completed")
-             .when(F.col("_last") == "abort", "aborted").otherwise("in_progress"))
-    states = events.groupBy("session_id").agg(
-        at_creation("target_file"), at_creation("query"), at_creation("compression"),
-        at_creation("account_id"),
-        F.max(F.when(created, F.col("message_ids"))).alias("message_ids"),
-        F.max(F.when(created, F.col("event_time"))).alias("started_at"), updated,
-        F.coalesce(F.max_by(
-            "processed_count",
-            F.when(F.col("processed_count").isNotNull(), F.col("event_time"))),
-            F.lit(0)).alias("processed_count"),
-        latest.alias("_last"),
-    )
-    return states.filter("_last <> 'delete'").withColumns({
+    """Current state of each session from its append-only event log.
+
+    A session begins with its last creation; only events since then count, and
+    without a creation there is no session. Progress never changes the status:
+    a session is open until it is completed or aborted (the later one holds),
+    and gone once it is deleted."""
+    started = F.struct("event_time")
+    created = events.filter("event = 'create'").groupBy("session_id").agg(
+        *[F.max_by(c, started).alias(c) for c in ("target_file", "query", "compression", "account_id",
+                                                  "message_ids")],
+        F.max("event_time").alias("started_at"))
+    later = events.filter("event <> 'create'").select(
+        "session_id", "event", "event_time", F.col("processed_count").alias("_count"))
+    rows = created.join(later, "session_id", "left")
+    since = F.col("event_time") >= F.col("started_at")
+    ending = since & F.col("event").isin("complete", "abort")
+    counted = since & F.col("_count").isNotNull()
+    states = rows.groupBy(*created.columns).agg(
+        F.max(F.when(since, F.col("event_time"))).alias("updated_at"),
+        F.coalesce(F.max_by("_count", F.when(counted, F.struct("event_time", "_count"))), F.lit(0))
+        .alias("processed_count"),
+        F.max_by("event", F.when(ending, F.struct("event_time", "event"))).alias("_end"),
+        F.coalesce(F.bool_or(since & (F.col("event") == "delete")), F.lit(False)).alias("_gone"))
+    ended = (F.when(F.col("_end") == "complete", "completed")
+             .when(F.col("_end") == "abort", "aborted").otherwise("in_progress"))
+    return states.filter(~F.col("_gone")).withColumns({
         "status": ended,
         "total_count": F.coalesce(F.size("message_ids"), F.lit(0)).cast("long"),
-    }).drop("_last")
+    }).drop("_end", "_gone")
 
 
 def open_sessions(sessions):

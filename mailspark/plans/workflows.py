@@ -69,30 +69,41 @@ def archive_incremental(landed, messages, age, folder, as_of=None, incremental=T
     lacks, and names the ids that may then be deleted remotely: those whose
     written bytes read back as the right message.
 
+    Mail without a readable date has no age and stays where it is; it is
+    listed in the report ``undated``, what cannot be parsed in ``failed``.
+
     Landed bodies are read twice: parsed into slim rows, on which everything
-    is settled, and once more to be written."""
-    slim = parse_messages(landed, archived_at=archived_at)
-    slim = written(S.older_than(slim.filter("parse_error IS NULL"), age, as_of), "older")
+    is settled, and once more to be written. Only id, shard and order of a
+    message travel to its bytes."""
+    parsed = written(parse_messages(landed, archived_at=archived_at), "parsed")
+    usable = parsed.filter("parse_error IS NULL")
+    reports = {
+        "failed": parsed.filter("parse_error IS NOT NULL").select("gmail_id", "parse_error"),
+        "undated": usable.filter("date IS NULL").select("gmail_id", "rfc_message_id", "date_raw"),
+    }
+    slim = S.older_than(usable, age, as_of)
     fresh = J.not_yet_archived(slim, messages, incremental)
     firsts = D.first_seen(fresh.select("rfc_message_id", "gmail_id"), [F.asc("gmail_id")])
     known = J.known_among(messages, slim, "rfc_message_id")
     wanted = firsts.join(known, "rfc_message_id", "left_anti").select("gmail_id")
     chosen = written(slim.join(wanted, "gmail_id", "left_semi"), "chosen")
     if dry_run:
-        return Outcome(chosen, {"plan": chosen.agg(F.count("*").alias("to_archive"))})
+        reports["plan"] = chosen.agg(F.count("*").alias("to_archive"))
+        return Outcome(chosen, reports)
     order = ["date", "rfc_message_id", "gmail_id"]
-    chosen, count = IO.assign_shards(
-        chosen.drop(*LOCATION, "mbox_length"), [F.col(c) for c in order], "size_bytes",
+    keys, count = IO.assign_shards(
+        chosen.select(*order, "from_addr", "size_bytes"), [F.col(c) for c in order], "size_bytes",
         shards=shards)
-    chosen = written(chosen, "chosen")
-    rows = landed.select("gmail_id", "raw").join(J.keys_for_join(chosen), "gmail_id")
+    keys = written(keys.drop("size_bytes"), "keys")
+    rows = landed.select("gmail_id", "raw").join(J.keys_for_join(keys), "gmail_id")
     placed = IO.write_mbox(rows, folder, order, compression, shards=count)
-    checked = IO.verify_offsets(placed)
-    safe = checked.filter("status = 'ok'").select("gmail_id")
     J.assert_written(chosen, placed)
-    catalogue = placed.select(*schema.MESSAGES.names)
-    return Outcome(catalogue, {
-        "checked": checked, "accuracy": A.offset_accuracy(checked), "deletable": safe})
+    made = placed.select("gmail_id", *IO.MADE)
+    catalogue = chosen.drop(*IO.MADE).join(made, "gmail_id").select(*schema.MESSAGES.names)
+    checked = written(IO.verify_offsets(catalogue), "checked")
+    reports.update(checked=checked, accuracy=A.offset_accuracy(checked),
+                   deletable=checked.filter("status = 'ok'").select("gmail_id"))
+    return Outcome(catalogue, reports)
 
 
 def dedupe(messages, strategy="newest", dry_run=True):
@@ -181,30 +192,31 @@ def _moved(messages, placed, source_files):
     return outside.select(*messages.columns).unionByName(inside)
 
 
-def compress(spark, files, messages, compression="zstd", dry_run=False):
+def compress(spark, files, messages, compression="zstd", dry_run=False, in_place=False,
+             keep_original=True):
     """Compresses archives and points the catalogue at the new files."""
-    results = IO.compress_archives(spark, files, compression, dry_run)
+    results = IO.compress_archives(
+        spark, files, compression, dry_run, in_place=in_place, keep_original=keep_original)
     if not dry_run:
         messages = IO.repoint(messages, results)
     return Outcome(messages, {"files": results, "summary": A.compression_summary(results)})
 
 
-def validate_archives(archived, messages, sample_size=100):
+def validate_archives(archived, messages):
     """Per archive: counts agree, at least one message parses, the same ids on
-    both sides, and a sample of stored messages has the right checksum.
-    ``archived`` are parsed messages of the archives."""
+    both sides, and every catalogue row has the checksum of the message that
+    stands at its place. ``archived`` are parsed messages of the archives."""
     expected = messages.groupBy("archive_file").agg(F.count("*").alias("expected"))
     counted = A.count_messages(archived, expected)
     readable = archived.groupBy("archive_file").agg(
         (F.count_if(F.col("parse_error").isNull()) > 0).alias("integrity_check"))
     ids = J.compare_ids(archived, messages).groupBy("archive_file").agg(
         (F.count_if(F.col("status") != "ok") == 0).alias("database_check"))
-    sample = IO.verify_checksums(Q.spot_sample(messages, sample_size))
-    spot = sample.groupBy("archive_file").agg(
+    sums = IO.compare_checksums(archived, messages).groupBy("archive_file").agg(
         (F.count_if(F.col("status") != "ok") == 0).alias("spot_check"))
     out = counted.select("archive_file", "actual", "expected",
                          F.col("count_matches").alias("count_check"))
-    for part in (readable, ids, spot):
+    for part in (readable, ids, sums):
         out = out.join(part, "archive_file", "left")
     checks = ["count_check", "integrity_check", "database_check", "spot_check"]
     out = out.withColumns({c: F.coalesce(c, F.lit(False)) for c in checks})
@@ -217,7 +229,7 @@ def validate_archives(archived, messages, sample_size=100):
 def verify(spark, paths, messages, indexed, present):
     """All checks of a catalogue against its archives and index."""
     archived = written(parse_messages(mbox.read_mbox(spark, paths)), "parsed")
-    checked = IO.verify_offsets(messages)
+    checked = written(IO.verify_offsets(messages), "checked")
     return Outcome(messages, {
         "archives": validate_archives(archived, messages),
         "consistency": Q.verify_consistency(messages, archived, indexed),

@@ -86,16 +86,8 @@ API_MESSAGE = _struct(
 
 ACCOUNTS = _struct(("account_id", S, False), ("email", S, True), ("display_name", S, True))
 
-# Catalogue versions in order, and what each can do.
+# Catalogue versions in order.
 VERSIONS = ("none", "1.0", "1.1", "1.2", "1.3", "unknown")
-CAPABILITIES = {
-    "1.0": ("basic_archiving",),
-    "1.1": ("basic_archiving", "mbox_offsets", "fts_search", "rfc_message_id"),
-    "1.2": ("basic_archiving", "mbox_offsets", "fts_search", "rfc_message_id",
-            "nullable_gmail_id"),
-    "1.3": ("basic_archiving", "mbox_offsets", "fts_search", "rfc_message_id",
-            "nullable_gmail_id", "scheduling"),
-}
 CURRENT_VERSION = "1.3"
 
 

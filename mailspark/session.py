@@ -32,11 +32,14 @@ def configure(spark, data_bytes=None):
 
 
 def shared_dir(spark):
-    """The folder every executor sees: the cluster's checkpoint folder. Only
-    where none is named (tests) a temporary one is made and set."""
+    """The folder every executor sees: the cluster's checkpoint folder. Only a
+    local session, where all is one machine, may go without: it gets a
+    temporary one."""
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="mailspark-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(path)

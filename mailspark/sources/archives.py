@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import posixpath
 import re
 
 import pyarrow as pa
@@ -10,12 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailspark.functions import columns as C
-from mailspark.operators import ranges
-from mailspark.operators.parse import parse_one
+from mailspark.operators import joins, ranges
+from mailspark.operators.parse import generated_id, parse_one
+from mailspark.schema import LOCATION
 from mailspark.session import scratch, written
 from mailspark.sources.mbox import message_bytes
 from mailspark.sources.storage import (
-    Published, codec_of, compress_bytes, decoder, exists, list_files, open_decoded, open_random,
+    Published, codec_of, compress_bytes, decoder, delete, exists, list_files, open_decoded,
+    open_random,
 )
 
 SHARD_BYTES = 1 << 30
@@ -48,38 +51,76 @@ def _shard_writer(folder, codec, passed):
     def write(batches):
         task = TaskContext.get()
         path = f"{folder}/part-{task.partitionId():05d}{suffix}"
-        out, offset, frame, size = None, 0, [], 0
+        out = Shard(path, task.taskAttemptId(), codec)
+        try:
+            yield from rows(batches, path, out)
+            out.publish()
+        except BaseException:
+            out.drop()
+            raise
+
+    def rows(batches, path, out):
         for batch in batches:
-            offsets, lengths = [], []
+            offsets, lengths, sums, sizes = [], [], [], []
             for line, raw in zip(batch.column("_from").to_pylist(),
                                  batch.column("raw").to_pylist()):
-                if out is None:
-                    out = Published(path, task.taskAttemptId())
                 record = record_bytes(line.encode(), raw)
-                offsets.append(offset)
+                offsets.append(out.size)
                 lengths.append(len(record))
-                offset += len(record)
-                if codec is None:
-                    out.write(record)
-                    continue
-                frame.append(record)
-                size += len(record)
-                if size >= FRAME_BYTES:
-                    out.write(compress_bytes(b"".join(frame), codec))
-                    frame, size = [], 0
+                out.write(record)
+                # What a reader will see: quoted, with a closing line break.
+                stored = message_bytes(record)
+                sums.append(hashlib.sha256(stored).hexdigest())
+                sizes.append(len(stored))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in passed]
                 + [pa.array([path] * batch.num_rows, pa.string()),
-                   pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())],
-                names=passed + ["archive_file", "mbox_offset", "mbox_length"])
-        if out is not None:
-            if frame:
-                out.write(compress_bytes(b"".join(frame), codec))
-            out.publish()
+                   pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64()),
+                   pa.array(sums, pa.string()), pa.array(sizes, pa.int64())],
+                names=passed + MADE)
 
     return write
 
 
+#: What writing finds out about a message.
+MADE = ["archive_file", "mbox_offset", "mbox_length", "checksum", "size_bytes"]
+
+
+class Shard:
+    """An archive file in the making. A compressed one is cut into frames that
+    are complete in themselves. Nothing is made before the first record."""
+
+    def __init__(self, path, attempt, codec):
+        self.path, self.attempt, self.codec = path, attempt, codec
+        self.out, self.frame, self.waiting, self.size = None, [], 0, 0
+
+    def write(self, record):
+        if self.out is None:
+            self.out = Published(self.path, self.attempt)
+        self.size += len(record)
+        if self.codec is None:
+            self.out.write(record)
+            return
+        self.frame.append(record)
+        self.waiting += len(record)
+        if self.waiting >= FRAME_BYTES:
+            self._pack()
+
+    def _pack(self):
+        if self.frame:
+            self.out.write(compress_bytes(b"".join(self.frame), self.codec))
+        self.frame, self.waiting = [], 0
+
+    def publish(self):
+        if self.out is not None:
+            self._pack()
+            self.out.publish()
+
+    def drop(self):
+        if self.out is not None:
+            self.out.drop()
+
+
 def assign_shards(slim, order, size, shard_bytes=SHARD_BYTES, shards=None):
     """Slim rows with the number of the output shard each belongs to, and how
     many shards there are: the ordered rows are cut every ``shard_bytes``, or
@@ -96,8 +137,11 @@ def assign_shards(slim, order, size, shard_bytes=SHARD_BYTES, shards=None):
 def write_mbox(messages, folder, order=("date", "rfc_message_id"), compression=None,
                shard_bytes=SHARD_BYTES, shards=None):
     """Writes messages (with ``raw``) in order to ``folder``, one mbox file per
-    shard, and returns each message's id and new location. The raw bytes are
-    shuffled once.
+    shard, and returns each message's columns with its new location and the
+    checksum and size of the bytes that a reader will see: body lines that look
+    like a separator are quoted, and a missing final line break is added. The
+    raw bytes are shuffled once. Rows alike in the order are told apart by
+    their bytes, so that a repeated attempt writes the same file.
 
     Rows that carry a ``shard`` (see ``assign_shards``; ``shards`` tells how
     many there are) go straight to it. Others are range-partitioned by the
@@ -108,17 +152,18 @@ def write_mbox(messages, folder, order=("date", "rfc_message_id"), compression=N
     if shards is None:
         total = messages.agg(F.sum(F.octet_length("raw").cast("long"))).first()[0] or 0
         shards = max(1, math.ceil(total / shard_bytes))
-    rows = messages.withColumn("_from", from_line())
+    rows = messages.withColumns({"_from": from_line(), "_tie": F.xxhash64("raw")})
     if "shard" in messages.columns:
         rows = rows.repartitionById(shards, "shard")
     else:
         rows = rows.repartitionByRange(shards, *order)
-    passed = [f for f in messages.schema
-              if f.name not in ("raw", "shard", "archive_file", "mbox_offset", "mbox_length")]
+    passed = [f for f in messages.schema if f.name not in ("raw", "shard", *MADE)]
     names = [f.name for f in passed]
-    laid_out = rows.sortWithinPartitions(*order).select(*names, "_from", "raw")
+    # Within a shard only; the last word has a hash, as ids may repeat.
+    laid_out = rows.sortWithinPartitions(*order, "_tie").select(*names, "_from", "raw")
     made = [T.StructField("archive_file", T.StringType()),
-            T.StructField("mbox_offset", T.LongType()), T.StructField("mbox_length", T.LongType())]
+            T.StructField("mbox_offset", T.LongType()), T.StructField("mbox_length", T.LongType()),
+            T.StructField("checksum", T.StringType()), T.StructField("size_bytes", T.LongType())]
     locations = laid_out.mapInArrow(_shard_writer(folder, codec, names),
                                     T.StructType(passed + made))
     return written(locations, "locations")
@@ -213,9 +258,12 @@ def _reading(rows, fields, judge):
 
 def extract_messages(located):
     """Record bytes of messages by stored location, with ``status`` and
-    ``error``."""
+    ``error``. Fewer bytes than the stored length are a failure."""
     def judge(batch, i, data, error):
-        return (data, "failed" if error else "extracted", error)
+        wanted = batch.column("mbox_length")[i].as_py()
+        if not error and len(data) != wanted:
+            error = f"truncated: expected {wanted} bytes, read {len(data)}"
+        return (None, "failed", error) if error else (data, "extracted", None)
 
     fields = [T.StructField("raw", T.BinaryType()), T.StructField("status", T.StringType()),
               T.StructField("error", T.StringType())]
@@ -223,10 +271,13 @@ def extract_messages(located):
 
 
 def extract_ids(messages, ids, key="gmail_id"):
-    """Extraction of wanted ids; an id without a catalogue row fails."""
-    places = messages.filter(F.col(key).isNotNull()).groupBy(key).agg(
-        F.min(F.struct("archive_file", "mbox_offset", "mbox_length")).alias("_at"))
-    rows = ids.select(key).distinct().join(places, key, "left").select(key, "_at.*")
+    """Extraction of wanted ids; an id without a catalogue row fails. Only the
+    catalogue rows of wanted ids are aggregated."""
+    wanted = ids.select(key).distinct()
+    places = joins.lookup_messages(
+        messages.select(key, "archive_file", "mbox_offset", "mbox_length"), wanted, key
+    ).groupBy(key).agg(F.min(F.struct("archive_file", "mbox_offset", "mbox_length")).alias("_at"))
+    rows = wanted.join(places, key, "left").select(key, "_at.*")
     known = extract_messages(rows.filter(F.col("archive_file").isNotNull()))
     unknown = rows.filter(F.col("archive_file").isNull()).select(
         *rows.columns, F.lit(None).cast("binary").alias("raw"), F.lit("failed").alias("status"),
@@ -235,9 +286,17 @@ def extract_ids(messages, ids, key="gmail_id"):
 
 
 def write_eml(extracted, folder, key="gmail_id"):
-    """Writes one ``.eml`` file per extracted message; returns the outcome."""
+    """Writes one ``.eml`` file per extracted message; returns the outcome. A
+    name that had to be changed to be safe gets a hash of the key, so that two
+    keys never share a file. For many messages take the table of
+    ``extract_messages`` or ``write_mbox``: each file is an object."""
     folder = re.sub(r"^file:/*", "/", folder)
-    named = extracted.withColumn("_name", C.safe_filename(F.concat(F.col(key), F.lit(".eml"))))
+    plain = F.concat(F.col(key), F.lit(".eml"))
+    safe = C.safe_filename(plain, 240)
+    stem = F.coalesce(F.regexp_replace(safe, r"\.eml$", ""), F.lit("message"))
+    hashed = F.concat(stem, F.lit("-"),
+                      F.left(F.sha2(F.col(key), 256), F.lit(12)), F.lit(".eml"))
+    named = extracted.withColumn("_name", F.when(safe == plain, safe).otherwise(hashed))
 
     def write(batches):
         attempt = TaskContext.get().taskAttemptId()
@@ -262,7 +321,8 @@ def extraction_summary(outcome):
 
 def verify_offsets(messages):
     """Reads every message at its stored location: ``status`` is ok, or what
-    is wrong with it."""
+    is wrong with it. A message without Message-ID must have the id that is
+    made of its subject and date."""
     at = ["gmail_id", "rfc_message_id", "archive_file", "mbox_offset", "mbox_length"]
 
     def judge(batch, i, data, error):
@@ -273,10 +333,10 @@ def verify_offsets(messages):
             return ("length mismatch", f"expected {wanted}, read {len(data)}")
         if not data.startswith(b"From "):
             return ("id mismatch", "no message starts here")
-        found = (parse_one(message_bytes(data)).get("message_id") or "").strip()
+        parsed = parse_one(message_bytes(data))
+        found = (parsed.get("message_id") or "").strip(C.WHITESPACE) or generated_id(parsed)
         expected = batch.column("rfc_message_id")[i].as_py()
-        made = not found and str(expected).endswith("@generated>")
-        if found != expected and not made:
+        if found != expected:
             return ("id mismatch", f"expected {expected}, got {found}")
         return ("ok", None)
 
@@ -284,70 +344,60 @@ def verify_offsets(messages):
     return _reading(messages.select(*at), fields, judge)
 
 
-def verify_checksums(messages):
-    """Reads messages at their stored location and compares the checksum."""
-    at = ["archive_file", "mbox_offset", "mbox_length", "checksum"]
-
-    def judge(batch, i, data, error):
-        if error:
-            return ("read error",)
-        digest = hashlib.sha256(message_bytes(data)).hexdigest()
-        return ("ok" if digest == batch.column("checksum")[i].as_py() else "checksum mismatch",)
-
-    return _reading(messages.select(*at), [T.StructField("status", T.StringType())], judge)
+def compare_checksums(archived, messages):
+    """Each catalogue row with ``status``: ok, checksum mismatch, or missing if
+    no message of the parsed archives stands at its place. Every message is
+    compared; nothing is read again."""
+    found = archived.select(*LOCATION, F.col("checksum").alias("_found"), F.lit(True).alias("_there"))
+    status = (F.when(F.col("_there").isNull(), "missing")
+              .when(F.col("_found").eqNullSafe(F.col("checksum")), "ok").otherwise("checksum mismatch"))
+    return messages.select(*LOCATION, "checksum").join(found, list(LOCATION), "left").select(
+        *LOCATION, status.alias("status"))
 
 
 # -------------------------------------------------------------------- compress
 
 
-def _estimate(path, size, codec):
-    """Compressed size from a sample of the start, at least a tenth."""
-    sample = min(size // 10, 1 << 20) or size
-    with open_random(path) as f:
-        ratio = len(compress_bytes(f.read(sample), codec)) / sample if sample else 1.0
-    return max(int(size * max(ratio, 0.1)), max(1, (size + 9) // 10))
-
-
 FILE = "source_file string, dest_file string, original_size long, skipped boolean"
 
 
 def _targets(spark, files, codec):
     """One row per archive file. A file counts as compressed by its suffix or
-    by a compressed file next to it."""
+    by a compressed file next to it. Each folder is listed once."""
+    wanted = [re.sub(r"^file:/*", "/", f) for f in files]
+    there = {}
+    for folder in {posixpath.dirname(f) for f in wanted}:
+        there.update(list_files(f"{folder}/*"))
     rows = []
-    for path in files:
-        found = [f for f in list_files(path) if f[0] == re.sub(r"^file:/*", "/", path)]
-        if not found:
-            raise FileNotFoundError(f"archive not found: {path}")
-        name, size = found[0]
-        done = codec_of(name) is not None or any(exists(name + e) for e in C.EXTENSIONS.values())
-        rows.append((name, None if done else name + C.EXTENSIONS[codec], size, done))
+    for name in wanted:
+        if name not in there:
+            raise FileNotFoundError(f"archive not found: {name}")
+        done = codec_of(name) is not None or any(name + e in there for e in C.EXTENSIONS.values())
+        rows.append((name, None if done else name + C.EXTENSIONS[codec], there[name], done))
     return spark.createDataFrame(rows, FILE)
 
 
 def compress_archives(spark, files, compression="zstd", dry_run=False,
-                      frame_bytes=FRAME_BYTES):
+                      frame_bytes=FRAME_BYTES, in_place=False, keep_original=True):
     """Compresses archive files and returns one result row per file. A file is
     cut into frames that are compressed and checked by separate tasks, then
-    joined in order. Sources are left in place."""
+    joined in order. A dry run compresses the frames too, so its sizes are
+    exact, but publishes nothing.
+
+    Sources stay unless ``in_place`` is set or ``keep_original`` is not; they
+    are removed once the compressed file is in its place. A catalogue must then
+    be repointed (``repoint``)."""
     codec = C.validate_compression(compression)
     if codec is None or not files:
         raise ValueError("files and a compression are needed")
     targets = _targets(spark, files, codec)
     todo = targets.filter(~F.col("skipped"))
     if dry_run:
-        def estimate(batches):
-            for b in batches:
-                sizes = [_estimate(p, s, codec) for p, s in zip(
-                    b.column("source_file").to_pylist(), b.column("original_size").to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns, pa.array(sizes, pa.int64())],
-                    names=[*b.schema.names, "compressed_size"])
-
-        done = todo.repartition("source_file").mapInArrow(
-            estimate, FILE + ", compressed_size long")
+        done = _measured(todo, codec, frame_bytes)
     else:
         done = _compressed(todo, codec, frame_bytes)
+        if in_place or not keep_original:
+            _remove_sources(done)
     skipped = targets.filter("skipped").withColumn("compressed_size", F.lit(0).cast("long"))
     rows = done.unionByName(skipped)
     saved = F.when(F.col("skipped"), 0).otherwise(F.col("original_size") - F.col("compressed_size"))
@@ -356,12 +406,54 @@ def compress_archives(spark, files, compression="zstd", dry_run=False,
     return rows.withColumns({"space_saved": saved, "compression_ratio": ratio})
 
 
+def _frames(todo, frame_bytes):
+    """One row per frame of each file, spread over the tasks."""
+    last = F.greatest(F.ceil(F.col("original_size") / frame_bytes) - 1, F.lit(0))
+    frames = todo.withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return frames.repartition("source_file", "frame")
+
+
+def _packed(path, frame, frame_bytes, codec):
+    """One frame, compressed and read back."""
+    with open_random(path) as f:
+        f.seek(frame * frame_bytes)
+        data = f.read(frame_bytes)
+    packed = compress_bytes(data, codec)
+    with decoder(pa.BufferReader(packed), codec) as check:
+        if check.read() != data:
+            raise OSError(f"compressed frame {frame} of {path} does not read back")
+    return packed
+
+
+def _measured(todo, codec, frame_bytes):
+    def measure(batches):
+        for b in batches:
+            sizes = [len(_packed(path, frame, frame_bytes, codec)) for path, frame in zip(
+                b.column("source_file").to_pylist(), b.column("frame").to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(sizes, pa.int64())], names=[*b.schema.names, "part_size"])
+
+    names = ["source_file", "dest_file", "original_size", "skipped"]
+    made = _frames(todo, frame_bytes).mapInArrow(measure, FILE + ", frame long, part_size long")
+    return written(made.groupBy(*names).agg(F.sum("part_size").alias("compressed_size")), "measured")
+
+
+def _remove_sources(done):
+    """Deletes the sources of compressed files, a task per file."""
+    def remove(batches):
+        for b in batches:
+            for source, dest in zip(*(b.column(c).to_pylist() for c in ("source_file", "dest_file"))):
+                if exists(dest) and exists(source):
+                    delete(source)
+            yield b
+
+    done.select("source_file", "dest_file").mapInArrow(
+        remove, "source_file string, dest_file string").write.format("noop").mode("overwrite").save()
+
+
 def _compressed(todo, codec, frame_bytes):
     parts = scratch(todo.sparkSession, "frames")
     parts = re.sub(r"^file:/*", "/", parts)
-    last = F.greatest(F.ceil(F.col("original_size") / frame_bytes) - 1, F.lit(0))
-    frames = todo.withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    frames = frames.repartition("source_file", "frame")
 
     def compress(batches):
         attempt = TaskContext.get().taskAttemptId()
@@ -369,13 +461,7 @@ def _compressed(todo, codec, frame_bytes):
             names, sizes = [], []
             for path, frame in zip(b.column("source_file").to_pylist(),
                                    b.column("frame").to_pylist()):
-                with open_random(path) as f:
-                    f.seek(frame * frame_bytes)
-                    data = f.read(frame_bytes)
-                packed = compress_bytes(data, codec)
-                with decoder(pa.BufferReader(packed), codec) as check:
-                    if check.read() != data:
-                        raise OSError(f"compressed frame {frame} of {path} does not read back")
+                packed = _packed(path, frame, frame_bytes, codec)
                 key = hashlib.sha256(path.encode()).hexdigest()[:24]
                 out = Published(f"{parts}/{key}-{frame:08d}", attempt)
                 out.write(packed)
@@ -386,8 +472,8 @@ def _compressed(todo, codec, frame_bytes):
                 [*b.columns, pa.array(names, pa.string()), pa.array(sizes, pa.int64())],
                 names=[*b.schema.names, "part", "part_size"])
 
-    made = written(frames.mapInArrow(compress, FILE + ", frame long, part string, part_size long"),
-                   "frames")
+    made = written(_frames(todo, frame_bytes).mapInArrow(
+        compress, FILE + ", frame long, part string, part_size long"), "frames")
     ordered = made.repartition("source_file").sortWithinPartitions("source_file", "frame")
 
     def join(batches):

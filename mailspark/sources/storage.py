@@ -33,29 +33,46 @@ def _with_scheme(path, inner):
 
 
 def list_files(path):
-    """[(path, size)] of a file, a folder or a glob pattern, by name. Hidden
-    and bookkeeping files of a folder are left out."""
+    """[(path, size)] of a file, a folder or a glob pattern, by name. A folder
+    gives all files below it. In a pattern, ``*``, ``?`` and ``[]`` stand for
+    characters of one path segment. Hidden and bookkeeping files, and files in
+    such folders, are left out: they may be half written."""
     system, inner = resolve(path)
     if any(ch in inner for ch in "*?["):
-        base = posixpath.dirname(re.split(r"[*?\[]", inner)[0]) or "."
-        pattern = inner
+        found = _matching(system, inner)
     else:
         info = system.get_file_info(inner)
         if info.type == fs.FileType.File:
             return [(_with_scheme(path, info.path), info.size)]
-        if info.type == fs.FileType.NotFound:
-            return []
-        base, pattern = inner, None
+        found = [] if info.type == fs.FileType.NotFound else _below(system, inner)
+    return sorted((_with_scheme(path, info.path), info.size) for info in found)
+
+
+def _hidden(name):
+    return name[:1] in ("", ".", "_")
+
+
+def _below(system, base):
     selector = fs.FileSelector(base, allow_not_found=True, recursive=True)
-    out = []
-    for info in system.get_file_info(selector):
-        hidden = posixpath.basename(info.path)[:1] in "._"
-        wanted = not hidden if pattern is None else fnmatch.fnmatchcase(info.path, pattern)
-        below = posixpath.relpath(info.path, base)
-        if info.type == fs.FileType.File and wanted and (
-                pattern is not None or not any(p[:1] in "._" for p in below.split("/"))):
-            out.append((_with_scheme(path, info.path), info.size))
-    return sorted(out)
+    return [info for info in system.get_file_info(selector)
+            if info.type == fs.FileType.File
+            and not any(map(_hidden, posixpath.relpath(info.path, base).split("/")))]
+
+
+def _matching(system, pattern):
+    """Files that a pattern names, segment by segment: only folders that match
+    so far are listed."""
+    segments = pattern.split("/")
+    fixed = next(i for i, s in enumerate(segments) if any(ch in s for ch in "*?["))
+    folders = ["/".join(segments[:fixed]) or ("/" if pattern.startswith("/") else ".")]
+    for i, segment in enumerate(segments[fixed:], fixed):
+        kind = fs.FileType.File if i == len(segments) - 1 else fs.FileType.Directory
+        entries = [info for folder in folders
+                   for info in system.get_file_info(fs.FileSelector(folder, allow_not_found=True))]
+        found = [info for info in entries if info.type == kind and not _hidden(info.base_name)
+                 and fnmatch.fnmatchcase(info.base_name, segment)]
+        folders = [info.path for info in found]
+    return found
 
 
 def list_folders(path):
@@ -71,6 +88,11 @@ def exists(path):
     return system.get_file_info(inner).type != fs.FileType.NotFound
 
 
+def delete(path):
+    system, inner = resolve(path)
+    system.delete_file(inner)
+
+
 def file_size(path):
     system, inner = resolve(path)
     return system.get_file_info(inner).size
@@ -129,3 +151,8 @@ class Published:
     def publish(self):
         self.file.close()
         self.system.move(self.partial, self.final)
+
+    def drop(self):
+        """Removes what a failed attempt has written."""
+        self.file.close()
+        self.system.delete_file(self.partial)

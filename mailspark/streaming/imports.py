@@ -1,5 +1,7 @@
 """Import as a continuously running job: landed files in, new messages out."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from mailspark import schema
@@ -30,16 +32,23 @@ def new_messages(raw_stream, archived_at=None, watermark=WATERMARK):
             .dropDuplicatesWithinWatermark(["rfc_message_id"]).drop("arrival"))
 
 
-def append_batch(catalogue_path):
+def append_batch(catalogue_path, query=None):
     """A ``foreachBatch`` function that appends what the catalogue lacks.
 
-    Each micro-batch owns one folder, which a repeated attempt replaces, so a
-    restart neither loses nor repeats a message. Ids that left the
-    state are caught by the anti-join with the folders of earlier batches."""
+    Each micro-batch of a query owns one folder, which a repeated attempt
+    replaces, so a restart neither loses nor repeats a message. The folder
+    carries the id of the query, which lives in its checkpoint: a new
+    checkpoint writes to folders of its own. Ids that left the state are caught
+    by the anti-join with all other folders."""
 
     def write(batch, number):
-        path = f"{catalogue_path}/batch={number:09d}"
-        earlier = _earlier(batch.sparkSession, catalogue_path, number)
+        context = batch.sparkSession.sparkContext
+        owner = query or context.getLocalProperty("sql.streaming.queryId")
+        if not owner:
+            raise RuntimeError("the batch does not tell its query")
+        name = f"batch={owner}-{number:09d}"
+        path = f"{catalogue_path}/{name}"
+        earlier = _earlier(batch.sparkSession, catalogue_path, name)
         if earlier is None:
             batch.write.mode("overwrite").parquet(path)
             return
@@ -52,14 +61,19 @@ def append_batch(catalogue_path):
     return write
 
 
-def _earlier(spark, catalogue_path, number):
-    """Catalogue rows of the batches before this one; None if there are none."""
+def _earlier(spark, catalogue_path, own):
+    """Catalogue rows of all other batches; None if there are none."""
     done = [name for name in list_folders(catalogue_path)
-            if name.startswith("batch=") and int(name[6:]) < number]
+            if name.startswith("batch=") and name != own]
     if not done:
         return None
-    return spark.read.option("basePath", catalogue_path).parquet(
-        *[f"{catalogue_path}/{n}" for n in done])
+    return spark.read.schema(schema.MESSAGES).parquet(*[f"{catalogue_path}/{n}" for n in done])
+
+
+def compact(spark, catalogue_path, target):
+    """Writes all batches to a new catalogue folder as one batch, so that later
+    batches read few files. Streams go on with the new folder."""
+    read_imported(spark, catalogue_path).write.parquet(f"{target}/batch=compacted-{uuid.uuid4().hex}")
 
 
 def import_stream(raw_stream, catalogue_path, checkpoint_path, archived_at=None,

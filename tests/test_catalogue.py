@@ -72,12 +72,12 @@ def test_report_of_empty_table(spark):
     assert D.find_duplicates(table(spark, [])).count() == 0
 
 
-def test_lists_are_cut_into_parts(spark):
+def test_ids_of_repeated_messages_stay_in_rows(spark):
     rows = [message(f"g{i:03d}", "<hot>", "a.mbox", i) for i in range(100)]
-    lists = D.duplicate_id_lists(table(spark, rows), list_length=10).collect()
-    ids = [g for r in lists for g in r.gmail_ids.split(",")]
-    assert len(lists) > 5 and sorted(ids) == [f"g{i:03d}" for i in range(100)]
-    assert len(D.duplicate_id_lists(table(spark, rows)).collect()) == 1
+    rows += [message("g000", "<hot>", "b.mbox"), message("one", "<one>", "b.mbox", 1)]
+    found = D.duplicate_id_lists(table(spark, rows)).collect()
+    assert sorted(r.gmail_id for r in found) == [f"g{i:03d}" for i in range(100)]
+    assert {(r.rfc_message_id, r.copies) for r in found} == {("<hot>", 101)}
 
 
 def test_hot_id(spark):
@@ -167,7 +167,7 @@ def test_broadcast_only_below_the_bound(spark, monkeypatch):
             return df._jdf.queryExecution().executedPlan().toString()
 
         assert "BroadcastHashJoin" in plan(J.lookup_messages(known, ids))
-        monkeypatch.setattr(J, "BROADCAST_ROWS", 5)
+        monkeypatch.setattr(J, "BROADCAST_BYTES", 50)
         assert "BroadcastHashJoin" not in plan(J.lookup_messages(known, ids))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -191,6 +191,11 @@ def test_append_and_upsert(spark):
     status = {r.gmail_id: (r.status, r.reason) for r in M.append_status(batch, known).collect()}
     assert status == {"k2": ("SKIPPED", "already_known"), "n": ("IMPORTED", None),
                       "n2": ("SKIPPED", "in_batch_duplicate"), "bad": ("FAILED", None)}
+    unusable = batch.unionByName(table(spark, [message("null", "<y>", "new.mbox", 4)]).withColumn(
+        "rfc_message_id", F.lit(None).cast("string")))
+    assert [r.gmail_id for r in M.append_messages(unusable, known).collect()] == ["n"]
+    assert {r.gmail_id for r in M.append_messages(unusable, known, False).collect()} == {
+        "k2", "n", "n2"}
     every = M.append_status(batch, known, skip_duplicates=False)
     assert every.filter("status = 'IMPORTED'").count() == 3
     after = {r.rfc_message_id: r.subject for r in M.upsert_messages(known, batch).collect()}
@@ -242,13 +247,24 @@ def test_sessions(spark):
         event("s4", "delete", 5),
         event("s5", "create", 6, target_file="h", query="q", message_ids=[]),
         event("s5", "abort", 7),
+        # What is over stays over; what never began, or is gone, stays away.
+        event("s3", "progress", 8, processed_count=9), event("s5", "progress", 8),
+        event("s4", "progress", 8), event("s4", "complete", 9), event("s6", "progress", 2),
+        # A new creation starts anew.
+        event("s7", "create", 1, target_file="old", query="x", message_ids=["a"]),
+        event("s7", "progress", 2, processed_count=5), event("s7", "delete", 3),
+        event("s7", "create", 0 + 4, target_file="new", query="x", message_ids=["b", "c"]),
     ], schema.SESSION_EVENTS)
     states = M.session_states(log)
     by_id = {r.session_id: r for r in states.collect()}
-    assert set(by_id) == {"s1", "s2", "s3", "s5"}
+    assert set(by_id) == {"s1", "s2", "s3", "s5", "s7"}
+    again = by_id["s7"]
+    assert (again.target_file, again.processed_count, again.total_count, again.status) == (
+        "new", 0, 2, "in_progress")
+    assert by_id["s3"].processed_count == 9
     assert (by_id["s1"].processed_count, by_id["s1"].total_count) == (1, 2)
     assert by_id["s3"].status == "completed" and by_id["s5"].status == "aborted"
-    assert [r.session_id for r in M.open_sessions(states).collect()] == ["s2", "s1"]
+    assert [r.session_id for r in M.open_sessions(states).collect()] == ["s7", "s2", "s1"]
     assert M.latest_open_session(states, target_file="f").collect()[0].session_id == "s2"
     assert M.latest_open_session(states, query="q").collect()[0].session_id == "s1"
     assert M.latest_open_session(states, query="q", compression="zstd").collect()[
@@ -301,9 +317,9 @@ def test_consistency_health_and_repair(spark):
     rollup = A.health_rollup(QA.health_report(messages, lengths, present)).collect()[0]
     assert (rollup.overall_status, rollup.checks_passed, rollup.fixable_issues) == ("OK", 4, "")
 
-    fewer = messages.filter("gmail_id <> 'msg001'").unionByName(
+    fewer = messages.filter("gmail_id <> 'swap'").unionByName(
         table(spark, [message("new", offset=-1, subject="Fresh word")]))
-    report = QA.health_report(fewer, lengths, present.filter("path NOT LIKE '%2023%'"))
+    report = QA.health_report(fewer, lengths, present.filter("path NOT LIKE '%winter%'"))
     assert {r.id: r.severity for r in report.collect()} == {
         "schema": "OK", "index": "WARNING", "archive_files": "WARNING", "offsets": "WARNING"}
     assert {r.id: r.fix for r in QA.planned_fixes(report).collect()} == {
@@ -327,7 +343,7 @@ def test_versions(spark):
         WF.upgrade_catalogue(spark, legacy.select("checksum"))
     with pytest.raises(schema.SchemaError):
         WF.refuse_downgrade("1.3", "1.1")
-    assert WF.upgrade_catalogue(spark, messages.drop("date_raw")).messages.count() == 7
+    assert WF.upgrade_catalogue(spark, messages.drop("date_raw")).messages.count() == 9
 
 
 def test_dedupe_job(copies):

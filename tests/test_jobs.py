@@ -1,5 +1,6 @@
 """File jobs end to end, streaming, and the shape of plans."""
 
+import base64
 import json
 import mailbox
 import os
@@ -205,12 +206,137 @@ def test_verify_job(spark, box):
     assert [r.issue for r in out.reports["integrity"].collect()] == ["duplicate_ids"]
 
 
+# ------------------------------------------------------ what is stored is true
+
+
+def landed(spark, mails):
+    rows = [(f"g{i}", raw) for i, raw in enumerate(mails)]
+    return spark.createDataFrame(rows, "gmail_id string, raw binary")
+
+
+def test_archived_rows_describe_what_is_stored(spark, tmp_path):
+    """Quoted lines and missing line breaks: checksum, size and location are
+    those of the written message."""
+    mails = [mail(1), mail(2, body="no line break"), mail(3, body="a\nFrom b\n\nFrom c\n"),
+             mail(4, body=""), mail(5, message_id="", subject="No id")]
+    empty = table(spark, [])
+    out = WF.archive_incremental(landed(spark, mails), empty, "1d", str(tmp_path / "mail"))
+    archived = P.parse_messages(mbox.read_mbox(spark, str(tmp_path / "mail"))).cache()
+    report = WF.validate_archives(archived, out.messages).collect()
+    assert report and all(r.passed for r in report)
+    sizes = {r.rfc_message_id: r.size_bytes for r in archived.collect()}
+    assert {r.rfc_message_id: r.size_bytes for r in out.messages.collect()} == sizes
+    assert out.reports["deletable"].count() == 5
+
+
+def test_every_message_is_compared(spark, box):
+    messages = catalogue(spark, box)
+    one = messages.filter("gmail_id = 'g3-a'").select(*schema.LOCATION).collect()[0]
+    here = (F.col("archive_file") == one[0]) & (F.col("mbox_offset") == one[1])
+    spoiled = messages.withColumn("checksum", F.when(here, "0").otherwise(F.col("checksum")))
+    moved = messages.withColumn("mbox_offset", F.when(
+        here, F.col("mbox_offset") + 1).otherwise(F.col("mbox_offset")))
+    for wrong, status in ((spoiled, "checksum mismatch"), (moved, "missing")):
+        found = IO.compare_checksums(messages, wrong).filter("status <> 'ok'").collect()
+        assert [r.status for r in found] == [status]
+        assert WF.validate_archives(messages, wrong).filter("NOT passed").count() == 1
+
+
+def test_what_is_not_archived_is_reported(spark, tmp_path):
+    mails = [mail(1), mail(2, date="some day"), mail(3, date="Mon, 01 Jan 2091 12:00:00 +0000")]
+    out = WF.archive_incremental(landed(spark, mails), table(spark, []), "1d", str(tmp_path / "mail"))
+    assert [r.gmail_id for r in out.messages.collect()] == ["g0"]
+    assert [r.gmail_id for r in out.reports["undated"].collect()] == ["g1"]
+    assert out.reports["failed"].count() == 0
+
+
+def test_short_reads_are_failures(spark, box):
+    messages = catalogue(spark, box).select("gmail_id", *schema.LOCATION, "mbox_length")
+    wrong = messages.withColumns({
+        "mbox_offset": F.when(F.col("gmail_id").isin("g1-a", "g5-c"), F.lit(10**7)).otherwise(
+            F.col("mbox_offset")),
+        "mbox_length": F.when(F.col("gmail_id") == "g9-b", F.lit(10**7)).otherwise(
+            F.col("mbox_length"))})
+    rows = {r.gmail_id: r for r in IO.extract_messages(wrong).collect()}
+    failed = {g for g, r in rows.items() if r.status == "failed"}
+    assert failed == {"g1-a", "g5-c", "g9-b"}
+    assert all(rows[g].raw is None and "truncated" in rows[g].error for g in failed)
+
+
+def test_generated_ids_are_recomputed(spark, tmp_path):
+    mails = [mail(1, message_id=""), mail(2, message_id="", subject="Other")]
+    (tmp_path / "a.mbox").write_bytes(mbox_text(mails))
+    rows = P.parse_messages(mbox.read_mbox(spark, str(tmp_path / "a.mbox"))).cache()
+    assert IO.verify_offsets(rows).filter("status = 'ok'").count() == 2
+    wrong = rows.withColumn("rfc_message_id", F.lit("<0000@generated>"))
+    assert IO.verify_offsets(wrong).filter("status = 'id mismatch'").count() == 2
+
+
+def test_null_archives_keep_their_rows(spark):
+    from mailspark.operators import ranges
+
+    rows = spark.createDataFrame(
+        [(None, 1, 10), (None, 2, 20), ("a", 1, 5)], "archive_file string, n int, size long")
+    total = ranges.running_total(rows, ["archive_file"], [F.asc("n")], F.col("size"), "before")
+    assert {(r.archive_file, r.n, r.before) for r in total.collect()} == {
+        ("a", 1, 0), (None, 1, 0), (None, 2, 10)}
+
+
+def test_eml_names_never_meet(spark, box):
+    messages = catalogue(spark, box).withColumn("gmail_id", F.when(
+        F.col("gmail_id") == "g1-a", "<x/1@h>").when(F.col("gmail_id") == "g3-a", "<y/1@h>"))
+    ids = spark.createDataFrame([("<x/1@h>",), ("<y/1@h>",)], "gmail_id string")
+    outcome = IO.write_eml(IO.extract_ids(messages, ids), str(box / "eml"))
+    assert tuple(IO.extraction_summary(outcome).collect()[0]) == (2, 0)
+    assert len(list((box / "eml").iterdir())) == 2
+
+
+def test_extraction_aggregates_wanted_ids_only(spark, box):
+    ids = spark.createDataFrame([("g1-a",)], "gmail_id string")
+    text = plan(IO.extract_ids(catalogue(spark, box), ids))
+    # The join with the wanted ids stands below the first aggregate over places.
+    assert text.index("LeftSemi") > text.index("min(struct")
+
+
+@pytest.mark.parametrize("options, stays", [
+    ({}, True), ({"in_place": True}, False), ({"keep_original": False}, False)])
+def test_compress_options(spark, box, options, stays):
+    files = [str(box / "a.mbox"), str(box / "b.mbox")]
+    dry = IO.compress_archives(spark, files, "zstd", dry_run=True, frame_bytes=300)
+    sizes = {r.source_file: r.compressed_size for r in dry.collect()}
+    done = IO.compress_archives(spark, files, "zstd", frame_bytes=300, **options).collect()
+    assert {r.source_file: r.compressed_size for r in done} == sizes
+    assert all(os.path.getsize(r.dest_file) == sizes[r.source_file] for r in done)
+    assert all(os.path.exists(f) == stays for f in files)
+    with pytest.raises(FileNotFoundError):
+        IO.compress_archives(spark, [str(box / "none.mbox")])
+
+
+def test_failed_attempts_leave_no_files(spark, tmp_path):
+    from mailspark.sources.archives import Shard
+
+    shard = Shard(str(tmp_path / "part.mbox"), 7, None)
+    shard.write(b"x")
+    shard.drop()
+    Shard(str(tmp_path / "other.mbox"), 8, "zstd").publish()
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_shared_folder_or_error():
+    from types import SimpleNamespace
+
+    from mailspark.session import shared_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    conf = SimpleNamespace(get=lambda key, default=None: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(sparkContext=context, conf=conf))
+
+
 # ------------------------------------------------------------------- streaming
 
 
 def test_stream_equals_batch_and_restarts(spark, tmp_path):
-    import base64
-
     (tmp_path / "in").mkdir()
 
     def land(name, numbers):
@@ -233,7 +359,7 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
 
 
 def test_batch_is_replaced_when_repeated(spark, tmp_path):
-    write = imports.append_batch(str(tmp_path / "out"))
+    write = imports.append_batch(str(tmp_path / "out"), "one")
     batch = spark.createDataFrame([("<a>",), ("<b>",)], "rfc_message_id string")
     write(batch, 0)
     write(batch, 0)
@@ -241,6 +367,28 @@ def test_batch_is_replaced_when_repeated(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_new_checkpoint_loses_nothing(spark, tmp_path):
+    def land(name, numbers):
+        rows = [{"id": f"g{n}", "threadId": "t", "labelIds": [], "raw": base64.urlsafe_b64encode(
+            mail(n, message_id=f"<m{n}@x>")).decode()} for n in numbers]
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text("\n".join(map(json.dumps, rows)))
+
+    def run(state, out="out"):
+        imports.import_stream(imports.landed_json(spark, str(tmp_path / "in")), str(tmp_path / out),
+                              str(tmp_path / state)).awaitTermination()
+        return sorted(r[0] for r in imports.read_imported(
+            spark, str(tmp_path / out)).select("rfc_message_id").collect())
+
+    land("a.json", [1, 2])
+    assert run("state") == ["<m1@x>", "<m2@x>"]
+    land("b.json", [2, 3])
+    assert run("other") == ["<m1@x>", "<m2@x>", "<m3@x>"]
+    imports.compact(spark, str(tmp_path / "out"), str(tmp_path / "compacted"))
+    land("c.json", [1, 4])
+    assert run("other", "compacted") == [f"<m{i}@x>" for i in range(1, 5)]
+
+
 # ----------------------------------------------------------------------- plans
 
 

@@ -4,6 +4,7 @@ import gzip
 import io
 import lzma
 import mailbox
+import os
 
 import pytest
 import zstandard
@@ -79,7 +80,18 @@ def test_codecs(spark, tmp_path):
 def test_paths_and_globs(spark, tmp_path):
     for n in ("a.mbox", "b.mbox", "c.txt", ".hidden.mbox"):
         (tmp_path / n).write_bytes(mbox_text([mail(1)]))
-    assert mbox.read_mbox(spark, f"{tmp_path}/*.mbox").select("archive_file").distinct().count() == 3
+    (tmp_path / "sub" / "_tmp").mkdir(parents=True)
+    for n in ("sub/d.mbox", "sub/.d.mbox.17", "sub/_tmp/e.mbox"):
+        (tmp_path / n).write_bytes(mbox_text([mail(1)]))
+
+    def files(*paths):
+        rows = mbox.read_mbox(spark, [f"{tmp_path}/{p}" for p in paths]).select("archive_file")
+        return sorted(os.path.relpath(r[0], tmp_path) for r in rows.distinct().collect())
+
+    # Segment by segment, and never hidden files: they may be half written.
+    assert files("*.mbox") == ["a.mbox", "b.mbox"] and files("*.mbox*") == ["a.mbox", "b.mbox"]
+    assert files("*/*.mbox*") == files("sub/?.mbox") == ["sub/d.mbox"]
+    assert files("") == ["a.mbox", "b.mbox", "c.txt", "sub/d.mbox"]
     assert mbox.read_mbox(spark, [f"{tmp_path}/a.mbox", f"{tmp_path}/c.txt"]).count() == 2
     assert mbox.read_mbox(spark, f"{tmp_path}/none*").count() == 0
     with pytest.raises(FileNotFoundError):
