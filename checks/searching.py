@@ -264,28 +264,79 @@ def doc_stats(spark, sf_dir):
     return I.doc_stats(msgs(spark, sf_dir), WHOLE)
 
 
-@query(ranked_sql([word_count("the"), word_count("and")], "n0 > 0 AND n1 > 0", limit=50,
-                  shown="archive_file, mbox_offset").replace(
-    ", (SELECT count(*) FROM f) AS total_results", "").replace(
-    "score DESC, rfc_message_id, archive_file", "score DESC, archive_file")
-)
-def search_index(spark, sf_dir):
-    path = stored_index(spark, sf_dir)
-    postings = I.read_postings(spark, path, ["the", "and"], INDEX_BUCKETS)
-    lengths = spark.read.parquet(f"{path}/doc_stats")
-    result = I.search_index(postings, lengths, "the and", limit=50, stemmed=False)
-    return result.withColumn("relevance_score", F.round("relevance_score", 9))
-
-
 @kept
-def stored_index(spark, sf_dir):
-    """The index of all messages, written down."""
+def stored_index(spark, sf_dir, stemmed=False):
+    """The index of all whole texts, written down."""
     m, path = msgs(spark, sf_dir), scratch(spark, "index")
-    postings = I.build_index(m, WHOLE, stemmed=False)
-    I.write_index(postings, I.doc_stats(m, WHOLE), path, INDEX_BUCKETS)
+    postings = I.build_index(m, WHOLE, stemmed=stemmed)
+    I.write_index(postings, I.doc_stats(m, WHOLE), path, INDEX_BUCKETS, WHOLE, stemmed)
     return path
 
 
+def index(spark, sf_dir, stemmed=False):
+    return I.open_index(spark, stored_index(spark, sf_dir, stemmed))
+
+
+def by_index(spark, sf_dir):
+    """The catalogue, which has no bodies, and the index of whole texts."""
+    return msgs(spark, sf_dir).drop("body"), {"index": index(spark, sf_dir)}
+
+
+@query(ranked_sql([word_count("the"), word_count("and")], "n0 > 0 AND n1 > 0", limit=10))
+def index_fulltext(spark, sf_dir):
+    m, options = by_index(spark, sf_dir)
+    return found(Q.search(m, "the and", limit=10, **options))
+
+
+@query(ranked_sql([word_count("de", ("subject",))], "n0 > 0", limit=20))
+def index_fields(spark, sf_dir):
+    m, options = by_index(spark, sf_dir)
+    return found(Q.search_fulltext(m, "de", ["subject"], limit=20, **options))
+
+
+@query(ranked_sql(
+    [word_count("de", ("subject",)), word_count("la")], "n0 > 0 AND n1 > 0",
+    "date >= TIMESTAMP '2024-01-05' AND date < TIMESTAMP '2024-06-01'", limit=50))
+def index_hybrid(spark, sf_dir):
+    m, options = by_index(spark, sf_dir)
+    return found(Q.search(m, "subject:de la after:2024-01-05 before:2024-06-01", limit=50, **options))
+
+
+@query(ranked_sql([phrase_count(("in", "the")), prefix_count("hea")], "n0 > 0 AND n1 > 0",
+                  limit="30 OFFSET 20"))
+def index_phrase_prefix(spark, sf_dir):
+    m, options = by_index(spark, sf_dir)
+    return found(Q.search_fulltext(m, '"in the" hea*', limit=30, offset=20, **options))
+
+
+@query(ranked_sql([word_count("der"), word_count("los")], "(n0 > 0 OR n1 > 0)", limit=100))
+def index_any(spark, sf_dir):
+    m, options = by_index(spark, sf_dir)
+    result = Q.any_of(m, Q.word("der"), Q.word("los"), **options)
+    return found(Q.page(result, [F.desc("relevance_score"), *Q.TIES], 100))
+
+
+@query(ranked_sql([word_count("the"), word_count("that")], "n0 > 0 AND n1 = 0", limit=100,
+                  score=[0]))
+def index_none(spark, sf_dir):
+    m, options = by_index(spark, sf_dir)
+    result = Q.none_of(m, [Q.word("the")], [Q.word("that")], **options)
+    return found(Q.page(result, [F.desc("relevance_score"), *Q.TIES], 100))
+
+
+@query(ranked_sql([NEAR_COUNT], "n0 > 0", parts=[NEAR_SQL]))
+def index_near(spark, sf_dir):
+    m, options = by_index(spark, sf_dir)
+    result = Q.all_of(m, Q.near("the", "and", 2), **options)
+    return found(Q.page(result, [F.desc("relevance_score"), *Q.TIES], 100))
+
+
+@query(ranked_sql([word_count("the"), word_count("and")], "n0 > 0 AND n1 > 0", limit=50))
+def search_index(spark, sf_dir):
+    m, options = by_index(spark, sf_dir)
+    return found(Q.search_fulltext(m, "the and", limit=50, **options))
+
+
 @query()
 def build_index_stemmed(spark, sf_dir):
     postings = I.build_index(msgs(spark, sf_dir), WHOLE, stemmed=True)

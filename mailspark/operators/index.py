@@ -4,15 +4,20 @@ Postings are made inside each task, so the only shuffle of a build is the one
 that lays them out by term. Lookups prune to the buckets of the searched
 terms."""
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailspark.functions import text as X
 from mailspark.functions.porter import stem as porter_stem
+from mailspark.operators import joins
 from mailspark.operators import search as Q
 from mailspark.schema import LOCATION
+from mailspark.session import written
 
 BUCKETS = 256
 
@@ -97,85 +102,176 @@ def _bucket(term, buckets):
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def write_index(postings, lengths, path, buckets=BUCKETS):
-    """Index tables under ``path``, postings by term bucket and sorted by term.
-    The rebalance step evens out the files: the bucket of a common term is
-    written by many tasks, rare ones share a task."""
+def write_index(postings, lengths, path, buckets=BUCKETS, columns=X.INDEXED, stemmed=True):
+    """Index tables under ``path``: postings by term bucket and sorted by term,
+    the length of each message, and one row about the whole (messages, tokens,
+    how it was made). The rebalance step evens out the files: the bucket of a
+    common term is written by many tasks, rare ones share a task."""
+    spark = postings.sparkSession
     laid_out = postings.withColumn("bucket", _bucket(F.col("term"), buckets))
     (laid_out.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
      .write.partitionBy("bucket").parquet(f"{path}/postings"))
     lengths.write.parquet(f"{path}/doc_stats")
+    spark.read.parquet(f"{path}/doc_stats").agg(
+        F.count("*").alias("messages"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens"),
+        F.lit(buckets).alias("buckets"), F.lit(stemmed).alias("stemmed"),
+        F.array(*[F.lit(c) for c in columns]).alias("columns")).write.parquet(f"{path}/about")
+    return open_index(spark, path)
+
+
+def open_index(spark, path):
+    about = spark.read.parquet(f"{path}/about").first()
+    return Index(spark, path, tuple(about.columns), about.stemmed, about.buckets, about.messages,
+                 about.tokens)
 
 
-def read_postings(spark, path, words=None, buckets=BUCKETS):
-    """Postings of an index, pruned to the buckets of the searched words."""
+def read_postings(spark, path, words=None, buckets=BUCKETS, prefixes=()):
+    """Postings of an index, pruned to the buckets of the searched words. A
+    prefix is a range of terms: the files are sorted by term, so only their
+    row groups within the range are read."""
     postings = spark.read.parquet(f"{path}/postings")
-    if words is not None:
-        wanted = spark.range(1).select(
-            F.array(*[_bucket(F.lit(w), buckets) for w in words])).first()[0]
-        postings = postings.filter(
-            F.col("bucket").isin(wanted) & F.col("term").isin(list(words)))
+    if words is not None or prefixes:
+        wanted = F.lit(False)
+        if words:
+            buckets_of = spark.range(1).select(
+                F.array(*[_bucket(F.lit(w), buckets) for w in words])).first()[0]
+            wanted = F.col("bucket").isin(buckets_of) & F.col("term").isin(list(words))
+        for p in prefixes:
+            wanted = wanted | ((F.col("term") >= p) & (F.col("term") < p + "\U0010ffff"))
+        postings = postings.filter(wanted)
     return postings.drop("bucket")
 
 
-def _seats(term, words):
-    """How often a word or phrase occurs, from the position arrays of its
-    words in one column."""
-    def starts(step, w):
-        return F.transform(F.col(f"_p{words.index(w)}"), lambda seat: seat - step)
+# ---------------------------------------------------------------------- lookup
+
+
+def _slots(term):
+    """(word, is a prefix) of each token of a term."""
+    last = len(term.tokens) - 1
+    opened = term.kind in ("prefix", "open phrase")
+    return [(w, opened and i == last) for i, w in enumerate(term.tokens)]
 
-    hits = starts(0, term.tokens[0])
-    for step, w in enumerate(term.tokens[1:], 1):
-        hits = F.array_intersect(hits, starts(step, w))
+
+def _starts(slots, every):
+    """Where a phrase starts in one column, from the position lists of its
+    words."""
+    def at(step, slot):
+        return F.transform(F.col(f"_p{every.index(slot)}"), lambda seat: seat - step)
+
+    hits = at(0, slots[0])
+    for step, slot in enumerate(slots[1:], 1):
+        hits = F.array_intersect(hits, at(step, slot))
+    return hits
+
+
+def _occurrences(term, every):
+    """How often a term occurs in one column."""
+    slots = _slots(term)
+    if term.kind != "near":
+        hits = _starts(slots, every)
+    else:
+        a, b = slots[:term.first], slots[term.first:]
+        others = _starts(b, every)
+        hits = F.filter(_starts(a, every), lambda i: F.exists(others, lambda j: (
+            ((j >= i + len(a)) & (j <= i + len(a) + term.distance))
+            | ((j + len(b) <= i) & (j + len(b) >= i - term.distance))
+            | (F.lit(a == b) & (j == i)))))
     return F.coalesce(F.size(hits), F.lit(0)).cast("long")
 
 
-def _index_counts(postings, terms, words):
-    """Per message: its length and how often each term occurs. One shuffle, of
-    the postings of the searched words by message."""
-    hits = postings.filter(F.col("term").isin(words))
-    if all(t.kind == "word" and t.columns is None for t in terms):
+def _counts(postings, terms):
+    """Per message: its length and how often each term occurs. One pass over
+    the postings of the searched words, shuffled by message."""
+    every = list(dict.fromkeys(s for t in terms for s in _slots(t)))
+
+    def holds(slot):
+        word, opened = slot
+        return F.col("term").startswith(word) if opened else F.col("term") == word
+
+    hits = postings.filter(Q._any(holds(s) for s in every))
+    if all(t.kind in ("word", "prefix") and t.columns is None for t in terms):
         return hits.groupBy(*LOCATION).agg(F.max("dl").alias("_dl"), *[
-            F.coalesce(F.sum(F.when(F.col("term") == t.tokens[0], F.col("tf"))), F.lit(0))
-            .alias(f"_n{i}") for i, t in enumerate(terms)])
+            F.coalesce(F.sum(F.when(holds(_slots(t)[0]), F.col("tf"))), F.lit(0)).alias(f"_n{i}")
+            for i, t in enumerate(terms)])
+    # A prefix may stand for several terms; their positions are put together.
+    seats = [F.flatten(F.collect_list(F.when(holds(s), F.col("positions")))) if s[1]
+             else F.max(F.when(holds(s), F.col("positions"))) for s in every]
     per_column = hits.repartition(*LOCATION).groupBy(*LOCATION, "column").agg(
-        F.max("dl").alias("_dl"),
-        *[F.max(F.when(F.col("term") == w, F.col("positions"))).alias(f"_p{k}")
-          for k, w in enumerate(words)])
+        F.max("dl").alias("_dl"), *[c.alias(f"_p{k}") for k, c in enumerate(seats)])
     counts = {}
     for i, t in enumerate(terms):
         here = F.lit(True) if t.columns is None else F.col("column").isin(list(t.columns))
-        counts[f"_n{i}"] = F.when(here, _seats(t, words)).otherwise(F.lit(0).cast("long"))
+        counts[f"_n{i}"] = F.when(here, _occurrences(t, every)).otherwise(F.lit(0).cast("long"))
     return per_column.withColumns(counts).groupBy(*LOCATION).agg(
         F.max("_dl").alias("_dl"), *[F.sum(n).alias(n) for n in counts])
 
 
-def search_index(postings, lengths, text, fields=None, limit=100, stemmed=True,
-                 columns=X.INDEXED):
-    """Locations of the best messages for all words and quoted phrases of a
-    text, from the index alone."""
-    unknown = set(fields or ()) - set(columns)
-    if unknown:
-        raise ValueError(f"not an indexed column: {', '.join(sorted(unknown))}")
-    terms = Q.terms_of(text, tuple(fields) if fields else None) or []
-    if any(t.kind not in ("word", "phrase") for t in terms):
-        raise ValueError("the index looks up words and phrases; scan for prefixes")
-    terms = [Q._stemmed(t) if stemmed else t for t in terms]
-    words = list(dict.fromkeys(w for t in terms for w in t.tokens))
-    found = _index_counts(postings, terms, words)
-    corpus = lengths.agg(F.struct(F.count("*").alias("N"), F.sum("dl").alias("tokens"))).scalar()
-    every = range(len(terms))
-    matched = found.filter(Q._all(F.col(f"_n{i}") > 0 for i in every))
-    if not terms:
-        matched, matching = found.limit(0), F.struct(F.lit(0))
-    else:
-        matching = found.agg(F.struct(*[
-            F.count_if(F.col(f"_n{i}") > 0).alias(f"n{i}") for i in every])).scalar()
-    scored = matched.withColumns({"_c": corpus, "_m": matching})
-    score = Q.bm25([F.col(f"_n{i}") for i in every], [F.col(f"_m.n{i}") for i in every],
-                   F.col("_dl"), F.col("_c.N"), F.col("_c.tokens"))
-    return (scored.select(*LOCATION, score.alias("relevance_score"))
-            .orderBy(F.desc("relevance_score"), *LOCATION).limit(limit))
+#: Archives of a result page that are looked up by name rather than joined.
+NAMED = 200
+
+
+@dataclass(frozen=True)
+class Index:
+    """A stored text index. Searches read the postings of their words, once,
+    and no text; ``messages`` is the catalogue that the results are shown
+    from."""
+
+    spark: SparkSession
+    path: str
+    columns: tuple
+    stemmed: bool
+    buckets: int
+    size: int
+    tokens: int
+
+    def _found(self, terms, any_of):
+        """Location and score of all matching messages, as a table."""
+        if not any(not t.negated for t in terms):
+            raise ValueError("a search needs a term that must match")
+        for t in terms:
+            Q._columns(t, self.columns)
+        terms = [Q._stemmed(t) if self.stemmed else t for t in terms]
+        slots = {s for t in terms for s in _slots(t)}
+        postings = read_postings(
+            self.spark, self.path, sorted(w for w, opened in slots if not opened), self.buckets,
+            sorted(w for w, opened in slots if opened))
+        found = written(_counts(postings, terms), "found")
+        wanted = [i for i, t in enumerate(terms) if not t.negated]
+        matching = found.agg(*[F.count_if(F.col(f"_n{i}") > 0) for i in wanted]).first()
+        positive = [F.col(f"_n{i}") > 0 for i in wanted]
+        test = Q._any(positive) if any_of else Q._all(positive)
+        test = test & Q._all(F.col(f"_n{i}") == 0 for i, t in enumerate(terms) if t.negated)
+        score = Q.bm25([F.col(f"_n{i}") for i in wanted], [F.lit(n) for n in matching],
+                       F.col("_dl"), F.lit(self.size), F.lit(self.tokens))
+        return found.filter(test).select(*LOCATION, score.alias("relevance_score"))
+
+    def matches(self, messages, terms, where=None, any_of=False):
+        """All matching messages with ``relevance_score`` and
+        ``total_results``."""
+        rows = messages if where is None else messages.filter(where)
+        found = self._found(terms, any_of)
+        rows = rows.join(joins.keys_for_join(found), list(LOCATION))
+        slim = messages if where is None else messages.filter(where)
+        total = slim.select(*LOCATION).join(found, list(LOCATION)).agg(F.count("*")).scalar()
+        return rows.select(*messages.columns, "relevance_score", total.alias("total_results"))
+
+    def page(self, messages, terms, where=None, any_of=False, limit=100, offset=0):
+        """The best matches: rows that the page may hold, with the score and
+        the number of all matches. Only their catalogue rows are looked up;
+        a filter reads its own columns of the catalogue."""
+        found = self._found(terms, any_of)
+        if where is not None:
+            inside = messages.filter(where).select(*LOCATION)
+            found = written(inside.join(joins.keys_for_join(found), list(LOCATION)), "passing")
+        # Ties at the end of the page are settled by catalogue columns.
+        last = found.orderBy(F.desc("relevance_score")).limit(limit + offset).agg(
+            F.min("relevance_score")).first()[0]
+        best = found.filter(F.col("relevance_score") >= F.lit(last))
+        files = [r[0] for r in best.select("archive_file").distinct().limit(NAMED + 1).collect()]
+        rows = messages if len(files) > NAMED else messages.filter(
+            F.col("archive_file").isin(files))
+        return rows.join(joins.keys_for_join(best), list(LOCATION)).select(
+            *messages.columns, "relevance_score", F.lit(found.count()).alias("total_results"))
 
 
 def compare_index(messages, indexed):

@@ -1,8 +1,10 @@
 """Search over message tables.
 
-A search is one narrow pass: filters first, then term counts inside each row,
-then a top-k. Nothing is shuffled but the k best rows of each task. Corpus
-statistics come from a scalar subquery, or from the text index."""
+Full-text searches take ``index=`` (``operators.index.open_index``) and then
+read the postings of their words only. Without one a search is a narrow pass
+over the texts: filters first, then term counts inside each row, then a top-k.
+Nothing is shuffled but the k best rows of each task; corpus statistics come
+from a scalar subquery."""
 
 import re
 from dataclasses import dataclass, replace
@@ -232,12 +234,21 @@ def bm25(counts, matching, length, total, tokens):
     )
 
 
-def match_messages(messages, terms, *, columns=X.INDEXED, stemmed=True, where=None, any_of=False):
+def text_columns(messages):
+    """What a search looks at: whole texts where the table has them."""
+    return tuple("body" if c == "body_preview" and "body" in messages.columns else c
+                 for c in X.INDEXED)
+
+
+def match_messages(messages, terms, *, columns=None, stemmed=True, where=None, any_of=False,
+                   index=None):
     """Messages that match the terms, with ``relevance_score`` and
     ``total_results``. All terms must match, or one of them with ``any_of``;
     negated terms must not match. The score uses statistics of all messages,
-    ``where`` only filters the rows."""
-    columns = tuple(columns)
+    ``where`` only filters the rows. An index settles columns and stems."""
+    if index is not None:
+        return index.matches(messages, terms, where, any_of)
+    columns = tuple(columns or text_columns(messages))
     for t in terms:
         _columns(t, columns)
     wanted = [i for i, t in enumerate(terms) if not t.negated]
@@ -382,17 +393,24 @@ def search_all(messages, limit=100, offset=0):
     return _present(messages, limit, offset, ranked=False)
 
 
+def _best(messages, terms, limit, offset, index=None, where=None, **options):
+    rows = (match_messages(messages, terms, where=where, **options) if index is None
+            else index.page(messages, terms, where, limit=limit, offset=offset))
+    return _present(rows, limit, offset, ranked=True)
+
+
 def search_fulltext(messages, text, fields=None, limit=100, offset=0, **options):
     """Best matches for all words of the text, in the given columns or in all
     indexed ones. Malformed text finds nothing."""
-    columns = tuple(options.get("columns", X.INDEXED))
+    index = options.get("index")
+    columns = index.columns if index else tuple(options.get("columns") or text_columns(messages))
     unknown = set(fields or ()) - set(columns)
     if unknown:
         raise ValueError(f"not an indexed column: {', '.join(sorted(unknown))}")
     terms = terms_of(text, tuple(fields) if fields else None)
     if not terms:
         return _empty(messages)
-    return _present(match_messages(messages, terms, **options), limit, offset, ranked=True)
+    return _best(messages, terms, limit, offset, **options)
 
 
 def search_hybrid(messages, text, from_addr=None, to_addr=None, subject=None, after=None,
@@ -404,8 +422,7 @@ def search_hybrid(messages, text, from_addr=None, to_addr=None, subject=None, af
     if terms is None or subject_terms is None:
         return _empty(messages)
     where = metadata_filter(from_addr, to_addr, None, after, before)
-    rows = match_messages(messages, subject_terms + terms, where=where, **options)
-    return _present(rows, limit, offset, ranked=True)
+    return _best(messages, subject_terms + terms, limit, offset, where=where, **options)
 
 
 # The operators of a mail-style query.

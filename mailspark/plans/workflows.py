@@ -55,6 +55,20 @@ def import_archives(spark, paths, messages, mapping=None, skip_duplicates=True,
                               "totals": A.import_totals(per_file)})
 
 
+#: Columns of the index of an archive: whole texts, not their previews.
+WHOLE = ("subject", "from_addr", "to_addr", "body")
+
+
+def index_archives(spark, paths, path, columns=WHOLE, stemmed=True, buckets=I.BUCKETS):
+    """Builds the text index of archives from the whole texts of their
+    messages, under ``path``, and opens it. Each message is parsed once."""
+    mbox.require_sources([paths] if isinstance(paths, str) else paths)
+    parsed = parse_messages(mbox.read_mbox(spark, paths), whole_body=True)
+    texts = written(parsed.filter("parse_error IS NULL").select(*LOCATION, *columns), "texts")
+    return I.write_index(I.build_index(texts, columns, stemmed), I.doc_stats(texts, columns), path,
+                         buckets, columns, stemmed)
+
+
 def _record_imports(per_file, account_id, runs_path, at):
     at = F.localtimestamp() if at is None else at
     M.record_run(runs_path, per_file.filter("imported > 0").select(

@@ -176,30 +176,80 @@ def test_same_ranking_as_sqlite(documents, fts, text, query):
     assert [r[1] for r in rows] == pytest.approx([w[1] for w in want])
 
 
-def test_index_search_equals_scan(spark, documents, tmp_path):
-    postings = I.build_index(documents, WHOLE)
-    lengths = I.doc_stats(documents, WHOLE)
-    I.write_index(postings, lengths, str(tmp_path))
-    stored = I.read_postings(spark, str(tmp_path), [stem("the"), stem("ands")])
-    found = I.search_index(
-        stored, spark.read.parquet(f"{tmp_path}/doc_stats"), "the ands", limit=50)
-    want = Q.search_fulltext(documents, "the ands", limit=50, columns=WHOLE)
-    got = [(r.archive_file, r.mbox_offset, round(r.relevance_score, 12)) for r in found.collect()]
-    assert sorted(got) == sorted(
-        (r.archive_file, r.mbox_offset, round(r.relevance_score, 12)) for r in want.collect())
+@pytest.fixture(scope="module")
+def index(documents, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("index") / "whole")
+    return I.write_index(I.build_index(documents, WHOLE), I.doc_stats(documents, WHOLE), path, 16, WHOLE)
 
 
-@pytest.mark.parametrize("text, fields", [
-    ('"in the" and', None), ("of", ["subject"]), ('"und die"', ["body"]), ("nothinglikethis", None),
-    ("the the", None)])
-def test_index_phrases_and_fields_equal_scan(documents, text, fields):
-    postings, lengths = I.build_index(documents, WHOLE), I.doc_stats(documents, WHOLE)
-    found = I.search_index(postings, lengths, text, fields, 100_000, columns=WHOLE)
-    want = Q.search_fulltext(documents, text, fields, 100_000, columns=WHOLE)
-    key = ("archive_file", "mbox_offset", "relevance_score")
-    got, expected = ({(r[0], r[1]): r[2] for r in df.select(*key).collect()}
+def same(found, want):
+    key = ("archive_file", "mbox_offset", "relevance_score", "total_results")
+    got, expected = ({(r[0], r[1]): (r[2], r[3]) for r in df.select(*key).collect()}
                      for df in (found, want))
-    assert got == pytest.approx(expected)
+    assert got.keys() == expected.keys()
+    for k in got:
+        assert got[k] == pytest.approx(expected[k])
+
+
+@pytest.mark.parametrize("text, fields", [
+    ("the ands", None), ('"in the" and', None), ("of", ["subject"]), ('"und die"', ["body"]),
+    ("nothinglikethis", None), ("the the", None), ("hea*", None), ('"in th"*', ["body"])])
+def test_index_equals_scan(documents, index, text, fields):
+    options = {"fields": fields, "limit": 100_000}
+    same(Q.search_fulltext(documents.drop("body"), text, index=index, **options),
+         Q.search_fulltext(documents, text, columns=WHOLE, **options))
+
+
+def test_index_forms_equal_scan(documents, index):
+    slim = documents.drop("body")
+    for make in (
+        lambda m, **o: Q.any_of(m, Q.word("der"), Q.phrase("the and"), **o),
+        lambda m, **o: Q.none_of(m, [Q.word("the")], [Q.prefix("tha"), Q.word("of")], **o),
+        lambda m, **o: Q.all_of(m, Q.near("of the", "and", 6), Q.word("in").within("body"), **o),
+        lambda m, **o: Q.search_hybrid(m, "the", from_addr="src1", after="2024-01-02", **o),
+        lambda m, **o: Q.search(m, "from:en@ subject:the of", 1000, **o),
+    ):
+        same(make(slim, index=index), make(documents, columns=WHOLE))
+    pages = [Q.search_fulltext(slim, "the", limit=7, offset=n, index=index).collect() for n in (0, 7)]
+    whole = Q.search_fulltext(documents, "the", limit=14, columns=WHOLE).collect()
+    assert [r.rfc_message_id for p in pages for r in p] == [r.rfc_message_id for r in whole]
+    with pytest.raises(ValueError):
+        Q.search_fulltext(slim, "the", ["body_preview"], index=index)
+    assert Q.search_fulltext(slim, '"open', index=index).count() == 0
+
+
+def test_index_reads_postings_once_and_no_texts(spark, documents, index):
+    plans = []
+    written, I.written = I.written, lambda df, label: plans.append(plan(df)) or written(df, label)
+    try:
+        result = Q.search_fulltext(documents.drop("body"), '"in the" hea*', index=index)
+    finally:
+        I.written = written
+    assert sum(p.count("FileScan parquet") for p in plans) == 1
+    assert "postings" in plans[0] and "PartitionFilters: [" in plans[0]
+    assert "postings" not in plan(result) and "doc_stats" not in plan(result)
+
+
+def plan(df):
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_of_archives_covers_whole_texts(spark, tmp_path):
+    """A word beyond the preview is found by a catalogue without bodies."""
+    from mailspark.operators import parse as P
+    from mailspark.plans import workflows as WF
+    from mailspark.sources import mbox
+    from tests.data import mail, mbox_text
+
+    mails = [mail(1, body="word " * 400 + "needle\n"), mail(2, body="word\n"), mail(3, body="")]
+    (tmp_path / "a.mbox").write_bytes(mbox_text(mails))
+    index = WF.index_archives(spark, str(tmp_path / "a.mbox"), str(tmp_path / "index"), buckets=4)
+    messages = P.parse_messages(mbox.read_mbox(spark, str(tmp_path / "a.mbox"))).drop("parse_error")
+    assert index.size == 3
+    found = Q.search(messages, "needles", index=index).collect()
+    assert [r.rfc_message_id for r in found] == ["<m1@example.com>"]
+    assert Q.search(messages, "needles").count() == 0
 
 
 def test_stems_and_tokens_equal_sqlite(documents):
