@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks import TS, kept, msgs, query, with_msgs
+from checks.stemming import stems_sql
 from mailspark import views
 from mailspark.functions import columns as C
 from mailspark.functions import text as X
@@ -102,12 +103,6 @@ def search_fulltext_fields(spark, sf_dir):
     return found(Q.search_fulltext(msgs(spark, sf_dir), "de", ["subject"], limit=20, **PLAIN))
 
 
-@query()
-def search_fulltext_stemmed(spark, sf_dir):
-    result = Q.search_fulltext(msgs(spark, sf_dir), "thes ands", limit=20, columns=WHOLE)
-    return found(result)
-
-
 @query(ranked_sql(
     [word_count("de", ("subject",)), word_count("la")], "n0 > 0 AND n1 > 0",
     "date >= TIMESTAMP '2024-01-05' AND date < TIMESTAMP '2024-06-01'", limit=50))
@@ -337,12 +332,44 @@ def search_index(spark, sf_dir):
     return found(Q.search_fulltext(m, "the and", limit=50, **options))
 
 
-@query()
+STEMMED_PARTS = [f"u AS MATERIALIZED ({UNNEST})", stems_sql("u"), """hits AS (
+  SELECT archive_file AS f, mbox_offset AS o, count(*) FILTER (WHERE stem = 'the') AS k0,
+    count(*) FILTER (WHERE stem = 'and') AS k1 FROM u JOIN stems USING (term) GROUP BY 1, 2)"""]
+STEMMED_COUNTS = [f"coalesce((SELECT k{i} FROM hits WHERE f = archive_file AND o = mbox_offset), 0)"
+                  for i in (0, 1)]
+STEMMED_SQL = ranked_sql(STEMMED_COUNTS, "n0 > 0 AND n1 > 0", limit=20, parts=STEMMED_PARTS)
+
+
+@query(STEMMED_SQL)
+def search_fulltext_stemmed(spark, sf_dir):
+    return found(Q.search_fulltext(msgs(spark, sf_dir), "thes ands", limit=20))
+
+
+@query(STEMMED_SQL)
+def index_fulltext_stemmed(spark, sf_dir):
+    m = msgs(spark, sf_dir).drop("body")
+    return found(Q.search(m, "thes ands", limit=20, index=index(spark, sf_dir, True)))
+
+
+@query(with_msgs("""SELECT stem AS term, count(DISTINCT (archive_file, mbox_offset)) AS df,
+    count(*) AS occurrences FROM u JOIN stems USING (term) GROUP BY 1""", TOKS_SQL,
+                 f"u AS MATERIALIZED ({UNNEST})", stems_sql("u")))
 def build_index_stemmed(spark, sf_dir):
     postings = I.build_index(msgs(spark, sf_dir), WHOLE, stemmed=True)
     return I.term_stats(postings)
 
 
+@query(with_msgs(f"""SELECT term AS token, stem, n FROM (SELECT w AS term, count(*) AS n
+    FROM (SELECT unnest({tok('body')}) AS w FROM msgs) GROUP BY 1) JOIN stems USING (term)""",
+                 f"bodies AS MATERIALIZED (SELECT DISTINCT unnest({tok('body')}) AS term FROM msgs)",
+                 stems_sql("bodies")))
+def stem_tokens(spark, sf_dir):
+    tokens = msgs(spark, sf_dir).select(X.tokenize(F.col("body")).alias("t"))
+    both = tokens.select(F.explode(F.arrays_zip(
+        F.col("t").alias("token"), X.stem_tokens(F.col("t")).alias("stem"))).alias("p"))
+    return both.groupBy("p.token", "p.stem").agg(F.count("*").alias("n"))
+
+
 # --------------------------------------------------------------------- columns
 
 NOAGE = "TIMESTAMP '2024-03-31 10:00:00'"
