@@ -17,8 +17,8 @@ from mailspark.schema import LOCATION
 from mailspark.session import scratch, written
 from mailspark.sources.mbox import message_bytes
 from mailspark.sources.storage import (
-    Published, codec_of, compress_bytes, decoder, delete, exists, list_files, open_decoded,
-    open_random,
+    Published, codec_of, compress_bytes, decoder, delete, exists, list_files, open_at, open_decoded,
+    open_random, seek_table, seek_table_bytes,
 )
 
 SHARD_BYTES = 1 << 30
@@ -88,11 +88,13 @@ MADE = ["archive_file", "mbox_offset", "mbox_length", "checksum", "size_bytes"]
 
 class Shard:
     """An archive file in the making. A compressed one is cut into frames that
-    are complete in themselves. Nothing is made before the first record."""
+    are complete in themselves; a zstd file ends in the table of its frames.
+    Nothing is made before the first record."""
 
     def __init__(self, path, attempt, codec):
         self.path, self.attempt, self.codec = path, attempt, codec
         self.out, self.frame, self.waiting, self.size = None, [], 0, 0
+        self.frames = []
 
     def write(self, record):
         if self.out is None:
@@ -108,12 +110,16 @@ class Shard:
 
     def _pack(self):
         if self.frame:
-            self.out.write(compress_bytes(b"".join(self.frame), self.codec))
+            packed = compress_bytes(b"".join(self.frame), self.codec)
+            self.out.write(packed)
+            self.frames.append((len(packed), self.waiting))
         self.frame, self.waiting = [], 0
 
     def publish(self):
         if self.out is not None:
             self._pack()
+            if self.codec == "zstd":
+                self.out.write(seek_table_bytes(self.frames))
             self.out.publish()
 
     def drop(self):
@@ -174,8 +180,9 @@ def write_mbox(messages, folder, order=("date", "rfc_message_id"), compression=N
 
 def _located(batches):
     """(batch, row, record bytes or None, error) for rows sorted by archive and
-    offset. Plain files are sought, compressed ones streamed forward once."""
-    path = stream = None
+    offset. Plain files are sought. Compressed ones are streamed forward once,
+    those with a table of frames from the frame of the first message on."""
+    path = stream = table = None
     position = 0
     for batch in batches:
         for i, (name, offset, length) in enumerate(zip(
@@ -193,8 +200,11 @@ def _located(batches):
                     path = stream = None
                     if not exists(name):
                         raise FileNotFoundError(f"archive not found: {name}")
-                    stream = open_decoded(name) if compressed else open_random(name)
-                    path, position = name, 0
+                    table = seek_table(name)
+                    position = offset if table else 0
+                    stream = (open_at(name, offset, table) if table else
+                              open_decoded(name) if compressed else open_random(name))
+                    path = name
                 if compressed:
                     while position < offset:
                         skipped = stream.read(min(1 << 20, offset - position))
@@ -218,12 +228,26 @@ def _located(batches):
         stream.close()
 
 
+def _entered(rows):
+    """The zstd archives among the rows that have a table of frames."""
+    def look(batches):
+        for b in batches:
+            names = b.column("_entered").to_pylist()
+            there = [n for n in names if exists(n) and seek_table(n) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array(there, pa.string())], names=["_entered"])
+
+    names = rows.filter(C.compression_of(F.col("archive_file")) == "zstd").select(
+        F.col("archive_file").alias("_entered")).distinct()
+    return names.mapInArrow(look, "_entered string")
+
+
 def _by_archive(rows):
-    """Rows grouped for reading: byte ranges of plain archives are spread over
-    tasks, a compressed archive stays with one."""
-    plain = C.compression_of(F.col("archive_file")).isNull()
-    piece = F.when(plain, F.floor(F.coalesce("mbox_offset", F.lit(0)) / ranges.RANGE_BYTES))
-    return (rows.withColumn("_piece", F.coalesce(piece, F.lit(0)))
+    """Rows grouped for reading: byte ranges of archives that can be entered
+    in the middle are spread over tasks, another one stays with one."""
+    marked = rows.join(_entered(rows), F.col("archive_file") == F.col("_entered"), "left")
+    splits = C.compression_of(F.col("archive_file")).isNull() | F.col("_entered").isNotNull()
+    piece = F.when(splits, F.floor(F.coalesce("mbox_offset", F.lit(0)) / ranges.RANGE_BYTES))
+    return (marked.withColumn("_piece", F.coalesce(piece, F.lit(0))).drop("_entered")
             .repartition("archive_file", "_piece")
             .sortWithinPartitions("archive_file", "_piece", "mbox_offset").drop("_piece"))
 
@@ -435,7 +459,10 @@ def _measured(todo, codec, frame_bytes):
 
     names = ["source_file", "dest_file", "original_size", "skipped"]
     made = _frames(todo, frame_bytes).mapInArrow(measure, FILE + ", frame long, part_size long")
-    return written(made.groupBy(*names).agg(F.sum("part_size").alias("compressed_size")), "measured")
+    one, two = (len(seek_table_bytes([(0, 0)] * n)) for n in (1, 2))
+    table = F.lit(2 * one - two) + F.count("*") * (two - one) if codec == "zstd" else F.lit(0)
+    return written(made.groupBy(*names).agg(
+        (F.sum("part_size") + table).cast("long").alias("compressed_size")), "measured")
 
 
 def _remove_sources(done):
@@ -479,22 +506,27 @@ def _compressed(todo, codec, frame_bytes):
     def join(batches):
         attempt = TaskContext.get().taskAttemptId()
         source = out = row = None
-        size = 0
-        results = []
+        frames, results = [], []
+
+        def finish():
+            table = seek_table_bytes(frames) if codec == "zstd" else b""
+            out.write(table)
+            out.publish()
+            results.append({**row, "compressed_size": sum(c for c, _ in frames) + len(table)})
+
         for b in batches:
             for r in b.to_pylist():
                 if r["source_file"] != source:
                     if out is not None:
-                        out.publish()
-                        results.append({**row, "compressed_size": size})
-                    source, row, size = r["source_file"], r, 0
+                        finish()
+                    source, row, frames = r["source_file"], r, []
                     out = Published(r["dest_file"], attempt)
                 with open_random(r["part"]) as f:
                     out.write(f.read())
-                size += r["part_size"]
+                start = r["frame"] * frame_bytes
+                frames.append((r["part_size"], min(frame_bytes, r["original_size"] - start)))
         if out is not None:
-            out.publish()
-            results.append({**row, "compressed_size": size})
+            finish()
         names = ["source_file", "dest_file", "original_size", "skipped", "compressed_size"]
         kinds = [pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64()]
         yield pa.RecordBatch.from_arrays(

@@ -1,6 +1,7 @@
 """The ``mbox`` data source: one row per message of plain or compressed mbox
-files. A plain file is read in byte ranges; a range owns the messages whose
-separator line starts inside it. Small files share a partition."""
+files. A plain file, and a zstd file with a table of its frames, is read in
+byte ranges; a range owns the messages whose separator line starts inside it.
+Small files share a partition."""
 
 from dataclasses import dataclass
 
@@ -9,7 +10,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, In
 
 from mailspark.schema import RAW_MESSAGES
 from mailspark.sources import storage
-from mailspark.sources.storage import codec_of, list_files, open_decoded, open_random
+from mailspark.sources.storage import (
+    codec_of, list_files, open_at, open_decoded, open_random, seek_table,
+)
 
 SPLIT_BYTES = 128 << 20
 SMALLEST_SPLIT = 256 << 10
@@ -76,9 +79,12 @@ def read_pieces(pieces):
     columns, size = ([], [], [], []), 0
     for path, start, end in pieces:
         codec = codec_of(path)
-        stream = open_decoded(path, codec) if codec else open_random(path)
+        if codec and end is not None:
+            stream = open_at(path, max(start - 1, 0), seek_table(path))
+        else:
+            stream = open_decoded(path, codec) if codec else open_random(path)
         with stream:
-            if start > 0:
+            if start > 0 and not codec:
                 stream.seek(start - 1)
             for offset, record in records(stream, start, end):
                 raw = message_bytes(record)
@@ -98,13 +104,17 @@ def _batch(columns):
 
 
 def plan_splits(files, split_bytes):
-    """Cuts large plain files, and packs what is small together."""
+    """Cuts large files that can be entered in the middle, and packs what is
+    small together. The frame table is read of large zstd files only."""
     out, pack, packed = [], [], 0
     for path, size in files:
-        if codec_of(path) is None and size > split_bytes:
-            starts = range(0, size, split_bytes)
-            out.extend(((path, s, min(s + split_bytes, size)),) for s in starts)
-            continue
+        if size > split_bytes:
+            table = seek_table(path)
+            whole = size if codec_of(path) is None else table[2] if table else None
+            if whole is not None:
+                starts = range(0, max(whole, 1), split_bytes)
+                out.extend(((path, s, min(s + split_bytes, whole)),) for s in starts)
+                continue
         if pack and packed + size > split_bytes:
             out.append(tuple(pack))
             pack, packed = [], 0

@@ -1,12 +1,14 @@
 """Files as tasks see them: any file system Arrow can open, and the codecs of
 compressed archives as streams."""
 
+import bisect
 import fnmatch
 import gzip
 import io
 import lzma
 import posixpath
 import re
+import struct
 
 from pyarrow import fs
 
@@ -133,6 +135,68 @@ def compress_bytes(data, codec):
     return zstandard.ZstdCompressor().compress(data)
 
 
+# A zstd file of many frames may end in a table of their sizes, kept in a frame
+# that decoders skip (the format is public: "zstd seekable format"). With it a
+# reader can enter the file at any frame.
+
+# Magic numbers of the skippable frame and of the table's end.
+SKIPPABLE, TABLE_END = 0x184D2A5E, 0x8F92EAB1
+_FOOTER, _ENTRY = "<IBI", "<II"
+
+
+def seek_table_bytes(frames):
+    """The table for frames given as (compressed, uncompressed) sizes."""
+    body = b"".join(struct.pack(_ENTRY, *f) for f in frames) + struct.pack(_FOOTER, len(frames), 0, TABLE_END)
+    return struct.pack(_ENTRY, SKIPPABLE, len(body)) + body
+
+
+def seek_table(path):
+    """([compressed start], [uncompressed start], uncompressed size) of the
+    frames of a zstd file, or None if it has no table."""
+    if codec_of(path) != "zstd":
+        return None
+    system, inner = resolve(path)
+    with system.open_input_file(inner) as f:
+        size = f.size()
+        if size < struct.calcsize(_FOOTER):
+            return None
+        f.seek(size - struct.calcsize(_FOOTER))
+        count, flags, end = struct.unpack(_FOOTER, f.read(struct.calcsize(_FOOTER)))
+        entry = struct.calcsize(_ENTRY) + (4 if flags & 0x80 else 0)
+        length = count * entry + struct.calcsize(_FOOTER)
+        if end != TABLE_END or flags & 0x7F or length + struct.calcsize(_ENTRY) > size:
+            return None
+        f.seek(size - length - struct.calcsize(_ENTRY))
+        if struct.unpack(_ENTRY, f.read(struct.calcsize(_ENTRY))) != (SKIPPABLE, length):
+            return None
+        table = f.read(count * entry)
+    packed, plain, at, offset = [], [], 0, 0
+    for i in range(count):
+        packed.append(at)
+        plain.append(offset)
+        c, u = struct.unpack_from(_ENTRY, table, i * entry)
+        at, offset = at + c, offset + u
+    return packed, plain, offset
+
+
+def open_at(path, offset, table):
+    """Byte stream of the uncompressed content from ``offset`` on."""
+    packed, plain, _ = table
+    frame = max(bisect.bisect_right(plain, offset) - 1, 0)
+    system, inner = resolve(path)
+    raw = system.open_input_file(inner)
+    if packed:
+        raw.seek(packed[frame])
+    stream = decoder(raw, "zstd")
+    left = offset - (plain[frame] if plain else 0)
+    while left > 0:
+        skipped = stream.read(min(1 << 20, left))
+        if not skipped:
+            break
+        left -= len(skipped)
+    return stream
+
+
 class Published:
     """A file written under a name of its own and moved into place when it is
     complete, so a repeated attempt replaces it whole."""

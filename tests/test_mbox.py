@@ -199,3 +199,46 @@ def test_filters_prune_files(spark, tmp_path):
     reader = mbox.PruningMboxReader({"path": str(tmp_path)})
     assert len(list(reader.pushFilters([mbox.EqualTo(("archive_file",), f"{tmp_path}/b.mbox")]))) == 1
     assert [p.pieces[0][0] for p in reader.partitions()] == [f"{tmp_path}/b.mbox"]
+
+
+def test_zstd_with_frame_table_is_split(spark, tmp_path):
+    """One large zstd file gives several partitions and the same rows; other
+    readers skip the table."""
+    from mailspark.sources import archives as IO
+
+    mails = [mail(n % 28 + 1, message_id=f"<m{n}@x>", body=f"{n} " * 400 + "\n") for n in range(60)]
+    plain = tmp_path / "a.mbox"
+    plain.write_bytes(mbox_text(mails))
+    IO.compress_archives(spark, [str(plain)], "zstd", frame_bytes=5000).collect()
+    packed = f"{plain}.zst"
+    table = mbox.seek_table(packed)
+    assert len(table[0]) == -(-plain.stat().st_size // 5000) and table[2] == plain.stat().st_size
+    whole = zstandard.ZstdDecompressor().stream_reader(open(packed, "rb"), read_across_frames=True)
+    assert whole.read() == plain.read_bytes()
+    files = [(packed, os.path.getsize(packed))]
+    splits = mbox.plan_splits(files, 1000)
+    assert len(splits) > 20
+    rows = [(o, n) for s in splits for b in mbox.read_pieces(s.pieces)
+            for o, n in zip(b.column("mbox_offset").to_pylist(), b.column("mbox_length").to_pylist())]
+    want = [(r.mbox_offset, r.mbox_length) for r in mbox.read_mbox(spark, str(plain)).collect()]
+    assert sorted(rows) == sorted(want) and len(want) == 60
+    without = tmp_path / "b.mbox.zst"
+    without.write_bytes(zstandard.ZstdCompressor().compress(plain.read_bytes()))
+    assert mbox.seek_table(str(without)) is None
+    assert len(mbox.plan_splits([(str(without), 10**9)], 1000)) == 1
+
+
+def test_zstd_ranges_are_extracted_by_several_tasks(spark, tmp_path, monkeypatch):
+    from mailspark.operators import ranges
+    from mailspark.sources import archives as IO
+
+    monkeypatch.setattr(ranges, "RANGE_BYTES", 4000)
+    mails = [mail(n % 28 + 1, message_id=f"<m{n}@x>", body=f"{n} " * 300 + "\n") for n in range(40)]
+    plain = tmp_path / "a.mbox"
+    plain.write_bytes(mbox_text(mails))
+    IO.compress_archives(spark, [str(plain)], "zstd", frame_bytes=3000).collect()
+    located = mbox.read_mbox(spark, f"{plain}.zst").drop("raw")
+    out = IO.extract_messages(located).withColumn("task", F.spark_partition_id()).collect()
+    data = plain.read_bytes()
+    assert all(bytes(r.raw) == data[r.mbox_offset:r.mbox_offset + r.mbox_length] for r in out)
+    assert len(out) == 40 and all(r.status == "extracted" for r in out)
