@@ -22,7 +22,7 @@ RULES = (
     ("few_words", "n_words < 10"),
     ("repeated_windows", "100 * n_repeat_words > 20 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
-    ("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("repeated_lines", "2 * n_dup_lines > n_lines"),
     ("capitals", "2 * n_upper > word_chars"),
     ("short_or_long_words", "10 * word_chars < 25 * n_words OR word_chars > 12 * n_words"),
     ("echoes", "100 * n_echoes > 30 * n_words"),
