@@ -57,8 +57,10 @@ class DigestIndex:
         slim = written(docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.unhex(F.sha2(normalised(whole_text(docs)), 256)).alias("digest")), "digests")
-        groups = slim.groupBy("digest").agg(
-            F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("group_size"))
+        # Written, since the optimizer would move the anti-join below the
+        # aggregate, and shuffle all rows of a hot text to one task.
+        groups = written(slim.groupBy("digest").agg(
+            F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("group_size")), "groups")
         fresh = groups.hint("merge").join(self.entries().select("digest"), "digest", "left_anti")
         (fresh.select("digest", F.col("last_id").alias("keep_id"), F.lit(batch).alias("batch"))
          .repartition(self.buckets, "digest").sortWithinPartitions("digest")
