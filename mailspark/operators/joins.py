@@ -96,11 +96,13 @@ def remote_id_counts(attached):
     )
 
 
-def attach_catalogue(archived, messages):
+def attach_catalogue(archived, messages, files=None):
     """Adds the catalogue's remote id to messages read from archives. Only the
-    catalogue rows of those archives are aggregated."""
-    files = keys_for_join(archived.select("archive_file").distinct())
-    known = messages.join(files, "archive_file", "left_semi").groupBy(
+    catalogue rows of those archives are aggregated: ``files`` (archive_file)
+    names them, else they are taken from the messages, which should then be
+    cheap to read twice."""
+    files = archived.select("archive_file").distinct() if files is None else files
+    known = messages.join(keys_for_join(files), "archive_file", "left_semi").groupBy(
         "archive_file", "rfc_message_id").agg(
         F.min("gmail_id").alias("gmail_id"))
     rows = archived.drop("gmail_id").join(known, ["archive_file", "rfc_message_id"], "left")

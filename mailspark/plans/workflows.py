@@ -21,7 +21,6 @@ from mailspark.session import written
 from mailspark.sources import archives as IO
 from mailspark.sources import mbox
 from mailspark.sources import tables as T
-from mailspark.sources.storage import list_files
 
 
 @dataclass
@@ -37,8 +36,8 @@ def import_archives(spark, paths, messages, mapping=None, skip_duplicates=True,
     """Messages of mbox archives that the catalogue lacks. One scan parses
     everything; duplicates are found on the slim rows. ``status`` has one row
     per scanned message."""
-    mbox.require_sources([paths] if isinstance(paths, str) else paths)
-    parsed = parse_messages(mbox.read_mbox(spark, paths), account_id, archived_at)
+    files = mbox.require_sources(paths)
+    parsed = parse_messages(mbox.read_mbox(spark, paths, files=files), account_id, archived_at)
     parsed = written(parsed, "parsed")
     if mapping is not None:
         parsed = J.attach_remote_ids(parsed, mapping)
@@ -62,8 +61,8 @@ WHOLE = ("subject", "from_addr", "to_addr", "body")
 def index_archives(spark, paths, path, columns=WHOLE, stemmed=True, buckets=I.BUCKETS):
     """Builds the text index of archives from the whole texts of their
     messages, under ``path``, and opens it. Each message is parsed once."""
-    mbox.require_sources([paths] if isinstance(paths, str) else paths)
-    parsed = parse_messages(mbox.read_mbox(spark, paths), whole_body=True)
+    files = mbox.require_sources(paths)
+    parsed = parse_messages(mbox.read_mbox(spark, paths, files=files), whole_body=True)
     texts = written(parsed.filter("parse_error IS NULL").select(*LOCATION, *columns), "texts")
     return I.write_index(I.build_index(texts, columns, stemmed), I.doc_stats(texts, columns), path,
                          buckets, columns, stemmed)
@@ -136,8 +135,8 @@ def merge_archives(spark, sources):
     """Messages of several archives with ``source_number``, the position of the
     source among the given ones. A missing source is an error."""
     sources = list(sources)
-    mbox.require_sources(sources)
-    return _numbered(mbox.read_mbox(spark, sources), sources)
+    files = mbox.require_sources(sources)
+    return _numbered(mbox.read_mbox(spark, sources, files=files), files)
 
 
 def consolidate(spark, sources, messages, folder, sort_by_date=True, deduplicate=True,
@@ -149,11 +148,12 @@ def consolidate(spark, sources, messages, folder, sort_by_date=True, deduplicate
     location and go straight to their shard; if the slim rows are few they are
     sent to all tasks, so that raw bytes move only once."""
     sources = list(sources)
-    mbox.require_sources(sources)
-    raw = mbox.read_mbox(spark, sources)
+    files = mbox.require_sources(sources)
+    raw = mbox.read_mbox(spark, sources, files=files)
     slim = parse_messages(raw).select(
         "rfc_message_id", *LOCATION, "mbox_length", "date", "from_addr", "size_bytes")
-    slim = written(J.attach_catalogue(_numbered(slim, sources), messages), "merge")
+    merged = _files(spark, files).select("archive_file")
+    slim = written(J.attach_catalogue(_numbered(slim, files), messages, merged), "merge")
     kept = D.dedup_merged(slim, strategy) if deduplicate else slim
     order = ["source_number", *LOCATION]
     if sort_by_date:
@@ -171,23 +171,22 @@ def consolidate(spark, sources, messages, folder, sort_by_date=True, deduplicate
     kept_at = kept.select(*LOCATION, F.lit(True).alias("_kept"))
     flagged = slim.join(kept_at, list(LOCATION), "left").withColumn(
         "kept", F.coalesce("_kept", F.lit(False))).drop("_kept")
-    catalogue = _moved(messages, placed, slim.select("archive_file").distinct())
+    catalogue = _moved(messages, placed, J.keys_for_join(merged))
     return Outcome(catalogue, {
         "summary": A.consolidation_summary(
             flagged.withColumn("source_archive", F.col("archive_file"))),
         "locations": placed, "merged": flagged})
 
 
-def _numbered(rows, sources):
+def _files(spark, files):
+    return spark.createDataFrame(
+        [(name, number) for name, _, number in files], "archive_file string, source_number int")
+
+
+def _numbered(rows, files):
     """Adds the position of the source a row was read from: the first one that
     names its file."""
-    files = {}
-    for number, source in enumerate(sources):
-        for path, _ in list_files(source):
-            files.setdefault(path, number)
-    numbers = rows.sparkSession.createDataFrame(
-        sorted(files.items()), "archive_file string, source_number int")
-    return rows.join(J.keys_for_join(numbers), "archive_file")
+    return rows.join(J.keys_for_join(_files(rows.sparkSession, files)), "archive_file")
 
 
 def _moved(messages, placed, source_files):

@@ -3,6 +3,7 @@ files. A plain file, and a zstd file with a table of its frames, is read in
 byte ranges; a range owns the messages whose separator line starts inside it.
 Small files share a partition."""
 
+import json
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -130,6 +131,8 @@ class MboxReader(DataSourceReader):
         self.options = dict(options)
 
     def files(self):
+        if "files" in self.options:
+            return {path: size for path, size in json.loads(self.options["files"])}
         files = {}
         for path in self.options.get("path", "").split("\n"):
             files.update(list_files(path) if path else [])
@@ -182,19 +185,29 @@ class MboxDataSource(DataSource):
         return PruningMboxReader(self.options) if pruning else MboxReader(self.options)
 
 
-def read_mbox(spark, paths, split_bytes=SPLIT_BYTES):
-    """Messages of mbox files, folders or globs."""
+def read_mbox(spark, paths, split_bytes=SPLIT_BYTES, files=None):
+    """Messages of mbox files, folders or globs. ``files`` is what
+    ``require_sources`` found for them; with it nothing is listed again."""
     spark.dataSource.register(MboxDataSource)
     paths = [paths] if isinstance(paths, str) else list(paths)
     # Spark refuses readers that take filters unless this setting is on.
     pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
-    return (spark.read.format("mbox").option("path", "\n".join(paths))
-            .option("splitBytes", str(split_bytes)).option("pushdown", pushdown)
-            .option("parallelism", spark.sparkContext.defaultParallelism).load())
+    reader = (spark.read.format("mbox").option("path", "\n".join(paths))
+              .option("splitBytes", str(split_bytes)).option("pushdown", pushdown)
+              .option("parallelism", spark.sparkContext.defaultParallelism))
+    if files is not None:
+        reader = reader.option("files", json.dumps([f[:2] for f in files]))
+    return reader.load()
 
 
 def require_sources(paths):
-    """Every path names at least one file, or FileNotFoundError."""
-    for path in paths:
-        if not storage.list_files(path):
+    """[(file, size, position of the first path that names it)], each path
+    listed once; a path without a file is an error."""
+    files = {}
+    for number, path in enumerate([paths] if isinstance(paths, str) else paths):
+        found = storage.list_files(path)
+        if not found:
             raise FileNotFoundError(f"archive not found: {path}")
+        for name, size in found:
+            files.setdefault(name, (name, size, number))
+    return sorted(files.values())
