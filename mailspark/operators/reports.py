@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from mailspark.functions import columns as C
+
 SEVERITIES = ("OK", "WARNING", "ERROR")
 
 
@@ -73,6 +75,13 @@ def archive_stats(messages):
     )
 
 
+def archive_list(messages):
+    """Each archive with its messages, bytes and the dates they span."""
+    return messages.groupBy("archive_file").agg(
+        F.count("*").alias("messages"), F.sum(C.effective_size()).alias("size_bytes"),
+        F.min("date").alias("oldest"), F.max("date").alias("newest"))
+
+
 def count_messages(archived, expected):
     """Per archive: messages found and expected. ``expected`` is
     (archive_file, expected)."""

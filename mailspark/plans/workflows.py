@@ -205,6 +205,14 @@ def _moved(messages, placed, source_files):
     return outside.select(*messages.columns).unionByName(inside)
 
 
+def status(messages, runs=None, limit=10):
+    """Totals of the catalogue, its archives, and the latest runs."""
+    reports = {"totals": A.archive_stats(messages), "archives": A.archive_list(messages)}
+    if runs is not None:
+        reports["runs"] = M.recent_runs(runs, limit)
+    return Outcome(messages, reports)
+
+
 def compress(spark, files, messages, compression="zstd", dry_run=False, in_place=False,
              keep_original=True):
     """Compresses archives and points the catalogue at the new files."""
