@@ -70,7 +70,7 @@ LISTS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"},
          "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
     r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'<>/]+)")
@@ -156,7 +156,8 @@ def blocks(page):
                 if tag not in INLINE_TAGS:
                     flush()
                 continue
-            if tag in INLINE_TAGS and not noise:
+            # Inside an inline element that is noise, its kind is kept track of.
+            if tag in INLINE_TAGS and not noise and all(s[0] != tag for s in stack):
                 continue
             flush()
             if tag not in INLINE_TAGS:

@@ -31,6 +31,14 @@ def test_noise_goes_and_article_stays(spark):
         assert r.text.split("\n") == [w.format(n=r.page_id) for w in WANT]
 
 
+def test_inline_noise_and_comments():
+    page = ("<p>Text <b>and</b> <span>more</span> <span class=ad>buy <span>now</span> cheap</span> end</p>"
+            "<!--><p>one</p><!---><p>two</p><!-- <p>no</p> --!><p>three <!-- x -->3</p>")
+    found, _ = html_text.blocks(page)
+    assert [t for _, t, noise, _ in found if not noise] == ["Text and more", "end", "one", "two", "three 3"]
+    assert " ".join(t for _, t, noise, _ in found if noise) == "buy now cheap"
+
+
 def test_template_is_learned_from_the_host(spark):
     """Without names that say so, what repeats on a host goes."""
     body = "<html><body><div class=x1>{}</div><div class=x2><p>Text {n} of this page<p>More {n}</div></body></html>"
