@@ -268,6 +268,7 @@ def stored_index(spark, sf_dir, stemmed=False):
     return path
 
 
+@kept
 def index(spark, sf_dir, stemmed=False):
     return I.open_index(spark, stored_index(spark, sf_dir, stemmed))
 

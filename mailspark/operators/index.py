@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +32,7 @@ POSTINGS = T.StructType(_KEY + [
     # True in one column only, so that counting it counts messages.
     T.StructField("first_in_message", T.BooleanType()),
 ])
+STORED = T.StructType([*POSTINGS, T.StructField("bucket", T.IntegerType())])
 
 
 def _postings_maker(columns, stemmed):
@@ -125,17 +127,22 @@ def open_index(spark, path):
                  about.tokens)
 
 
+def bucket_of(word, buckets):
+    """The bucket that ``write_index`` puts a word into."""
+    value = xxhash.xxh64_intdigest(word.encode(), 42)
+    return (value - (1 << 64) if value >> 63 else value) % buckets
+
+
 def read_postings(spark, path, words=None, buckets=BUCKETS, prefixes=()):
     """Postings of an index, pruned to the buckets of the searched words. A
     prefix is a range of terms: the files are sorted by term, so only their
     row groups within the range are read."""
-    postings = spark.read.parquet(f"{path}/postings")
+    postings = spark.read.schema(STORED).parquet(f"{path}/postings")
     if words is not None or prefixes:
         wanted = F.lit(False)
         if words:
-            buckets_of = spark.range(1).select(
-                F.array(*[_bucket(F.lit(w), buckets) for w in words])).first()[0]
-            wanted = F.col("bucket").isin(buckets_of) & F.col("term").isin(list(words))
+            found = sorted({bucket_of(w, buckets) for w in words})
+            wanted = F.col("bucket").isin(found) & F.col("term").isin(list(words))
         for p in prefixes:
             wanted = wanted | ((F.col("term") >= p) & (F.col("term") < p + "\U0010ffff"))
         postings = postings.filter(wanted)
@@ -206,8 +213,10 @@ def _counts(postings, terms):
         F.max("_dl").alias("_dl"), *[F.sum(n).alias(n) for n in counts])
 
 
-#: Archives of a result page that are looked up by name rather than joined.
-NAMED = 200
+#: Rows beyond a page that are fetched with it, to settle ties at its end.
+TIES = 1000
+
+FOUND = T.StructType(_KEY + [T.StructField("relevance_score", T.DoubleType())])
 
 
 @dataclass(frozen=True)
@@ -237,41 +246,48 @@ class Index:
             sorted(w for w, opened in slots if opened))
         found = written(_counts(postings, terms), "found")
         wanted = [i for i, t in enumerate(terms) if not t.negated]
-        matching = found.agg(*[F.count_if(F.col(f"_n{i}") > 0) for i in wanted]).first()
         positive = [F.col(f"_n{i}") > 0 for i in wanted]
         test = Q._any(positive) if any_of else Q._all(positive)
         test = test & Q._all(F.col(f"_n{i}") == 0 for i, t in enumerate(terms) if t.negated)
+        *matching, total = found.agg(*[F.count_if(c) for c in [*positive, test]]).first()
         score = Q.bm25([F.col(f"_n{i}") for i in wanted], [F.lit(n) for n in matching],
                        F.col("_dl"), F.lit(self.size), F.lit(self.tokens))
-        return found.filter(test).select(*LOCATION, score.alias("relevance_score"))
+        return found.filter(test).select(*LOCATION, score.alias("relevance_score")), total
 
     def matches(self, messages, terms, where=None, any_of=False):
         """All matching messages with ``relevance_score`` and
         ``total_results``."""
+        found, total = self._found(terms, any_of)
+        keys = joins.keys_for_join(found)
         rows = messages if where is None else messages.filter(where)
-        found = self._found(terms, any_of)
-        rows = rows.join(joins.keys_for_join(found), list(LOCATION))
-        slim = messages if where is None else messages.filter(where)
-        total = slim.select(*LOCATION).join(found, list(LOCATION)).agg(F.count("*")).scalar()
-        return rows.select(*messages.columns, "relevance_score", total.alias("total_results"))
+        count = F.lit(total) if where is None else rows.select(*LOCATION).join(
+            keys, list(LOCATION)).agg(F.count("*")).scalar()
+        return rows.join(keys, list(LOCATION)).select(
+            *messages.columns, "relevance_score", count.alias("total_results"))
 
     def page(self, messages, terms, where=None, any_of=False, limit=100, offset=0):
         """The best matches: rows that the page may hold, with the score and
         the number of all matches. Only their catalogue rows are looked up;
         a filter reads its own columns of the catalogue."""
-        found = self._found(terms, any_of)
+        found, total = self._found(terms, any_of)
         if where is not None:
             inside = messages.filter(where).select(*LOCATION)
             found = written(inside.join(joins.keys_for_join(found), list(LOCATION)), "passing")
+            total = found.count()
         # Ties at the end of the page are settled by catalogue columns.
-        last = found.orderBy(F.desc("relevance_score")).limit(limit + offset).agg(
-            F.min("relevance_score")).first()[0]
-        best = found.filter(F.col("relevance_score") >= F.lit(last))
-        files = [r[0] for r in best.select("archive_file").distinct().limit(NAMED + 1).collect()]
-        rows = messages if len(files) > NAMED else messages.filter(
-            F.col("archive_file").isin(files))
+        wanted = limit + offset
+        top = found.select(*LOCATION, "relevance_score").orderBy(
+            F.desc("relevance_score")).limit(wanted + TIES).collect()
+        last = top[wanted - 1][2] if 0 < wanted <= len(top) else None
+        if last is not None and len(top) == wanted + TIES and top[-1][2] == last:
+            best, rows = found.filter(F.col("relevance_score") >= F.lit(last)), messages
+        else:
+            top = [r for r in top if last is None or r[2] >= last]
+            best = self.spark.createDataFrame([tuple(r) for r in top], FOUND)
+            rows = messages.filter(F.col("archive_file").isin(sorted({r[0] for r in top})))
+        # At most the page and its ties.
         return rows.join(joins.keys_for_join(best), list(LOCATION)).select(
-            *messages.columns, "relevance_score", F.lit(found.count()).alias("total_results"))
+            *messages.columns, "relevance_score", F.lit(total).alias("total_results"))
 
 
 def compare_index(messages, indexed):
