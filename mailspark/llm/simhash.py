@@ -55,16 +55,21 @@ def fingerprint(text):
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(df, id_column="doc_id", text="text"):
-    """(doc_id, fp): the fingerprint of each whole text as a signed bigint.
-    Null and empty texts have 0. Other columns are left out."""
+def _simhash(text):
+    """Column of the fingerprint of a text column, as a signed bigint."""
 
     @F.pandas_udf("long")
     def simhash(texts: pd.Series) -> pd.Series:
         values = [fingerprint(t) for t in texts.fillna("")]
         return pd.Series(np.array(values, np.uint64).view(np.int64))
 
-    return df.select(F.col(f"`{id_column}`").alias("doc_id"), simhash(F.col(f"`{text}`")).alias("fp"))
+    return simhash(text)
+
+
+def fingerprints(df, id_column="doc_id", text="text"):
+    """(doc_id, fp): the fingerprint of each whole text as a signed bigint.
+    Null and empty texts have 0. Other columns are left out."""
+    return df.select(F.col(f"`{id_column}`").alias("doc_id"), _simhash(F.col(f"`{text}`")).alias("fp"))
 
 
 def _signed(mask):
@@ -233,6 +238,19 @@ def links(fps, radius=RADIUS, tree=TREE, depth=DEPTH):
     )
 
 
+def _labelled(df, id_column, text, radius):
+    """(doc_id, fp, label, component_id) for each row; the label tells all
+    components apart, those of null ids too."""
+    docs = written(fingerprints(df, id_column, text), "fingerprints")
+    fps = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    labels = components(links(fps, radius))
+    linked = fps.join(labels, F.col("fp") == F.col("node"), "left").select(
+        "fp", "least", F.coalesce("label", "fp").alias("label"))
+    least = linked.groupBy("label").agg(F.min("least").alias("component_id"))
+    classes = linked.join(least, "label").select("fp", "label", "component_id")
+    return docs.join(classes.hint("shuffle_hash"), "fp").select("doc_id", "fp", "label", "component_id")
+
+
 def near_duplicates(df, id_column="doc_id", text="text", radius=RADIUS):
     """(doc_id, fp, component_id) for each row: its fingerprint and the least
     doc_id that can be reached over links of at most ``radius`` bits, its own
@@ -245,27 +263,36 @@ def near_duplicates(df, id_column="doc_id", text="text", radius=RADIUS):
     cost nothing later; they are joined back by fingerprint, streamed, where
     adaptive execution splits a hot one.
     """
-    docs = written(fingerprints(df, id_column, text), "fingerprints")
-    fps = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    labels = components(links(fps, radius))
-    linked = fps.join(labels, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("label", "fp").alias("label"))
-    least = linked.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = linked.join(least, "label").select("fp", "component_id")
-    return docs.join(classes.hint("shuffle_hash"), "fp").select("doc_id", "fp", "component_id")
+    return _labelled(df, id_column, text, radius).drop("label")
 
 
 def survivors(df, radius=RADIUS):
-    """The whole rows of one document per component: its least doc_id. Rows
-    that repeat that id and fingerprint: the first by their other columns."""
+    """One whole row of each component: that of its least doc_id. Where rows
+    of the component repeat that id, or all have none, it is that of the least
+    fingerprint, then the first by the other columns.
+
+    Ids that one row has are joined back by id alone. Rows of repeated and null
+    ids are joined back by id and fingerprint, made anew for those rows only.
+    """
     names = df.columns
-    keep = near_duplicates(df, radius=radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = keep.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__copies")).withColumnRenamed("doc_id", "__keep")
+    found = written(_labelled(df, "doc_id", "text", radius).withColumn(
+        "leads", F.col("doc_id").eqNullSafe(F.col("component_id"))), "components")
+    ids = found.groupBy("doc_id").agg(
+        F.max("leads").alias("leads"), (F.count(F.lit(1)) > 1).alias("__repeated")).filter("leads").select(
+        F.col("doc_id").alias("__keep"), "__repeated")
     kept = df.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__keep")))
+    # A fingerprint is in one component: a row per component, by fingerprint.
+    marks = found.filter("leads").groupBy("label").agg(
+        F.min("fp").alias("__mark"), F.first("doc_id").alias("__leader")).drop("label")
     row = F.struct(*[F.col(f"`{c}`") for c in names])
-    repeated = kept.filter("__copies > 1").groupBy("__keep").agg(
-        F.min_by(row, F.xxhash64(*[F.col(f"`{c}`") for c in names])).alias("row")).select("row.*")
-    return kept.filter("__copies = 1").select(*[F.col(f"`{c}`") for c in names]).unionByName(repeated)
+    repeated = (
+        kept.filter("__repeated").withColumn("__fp", _simhash(F.col("text")))
+        .join(marks.hint("shuffle_hash"), (F.col("__fp") == F.col("__mark"))
+              & F.col("doc_id").eqNullSafe(F.col("__leader")))
+        .groupBy("__mark").agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`") for c in names])).alias("row"))
+        .select("row.*")
+    )
+    return kept.filter("NOT __repeated").select(*[F.col(f"`{c}`") for c in names]).unionByName(repeated)
 
 
 def op4_simhash_bktree(spark, sf_dir):

@@ -150,6 +150,24 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(documents(spark).limit(0)).count() == 0
 
 
+def test_near_survivors_of_null_and_repeated_ids(spark):
+    """One id, or none, on different texts: each component keeps a row."""
+    texts = ["the first text is about boats and rivers in the far north of the land",
+             "a second one tells of bread and how to bake it at home every day",
+             "some third piece deals with stars planets and comets seen at night",
+             "number four has nothing to do with any other of these short texts"]
+    rows = [(None, t, "a") for t in texts[:3]] + [(None, texts[0], "a")]
+    rows += [(5, texts[3], "a"), (5, texts[3] + " " + texts[1][::-1], "a"), (7, texts[2][::-1], "a")]
+    # Id 9 leads one of its two components only.
+    rows += [(9, texts[0][::-1], "a"), (9, texts[2][::-1], "a")]
+    want = sorted([texts[0], texts[1], texts[2], rows[4][1], rows[5][1], texts[2][::-1], texts[0][::-1]])
+    values = {simhash.fingerprint(t) for _, t, _ in rows}
+    assert len(values) == 7 == len({t for t in brute_classes(sorted(values))})
+    kept = simhash.survivors(documents(spark, rows)).collect()
+    assert sorted(r.text for r in kept) == want
+    assert sorted(str(r.doc_id) for r in kept) == ["5", "5", "7", "9", "None", "None", "None"]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(5, 5), (200, 201)]
     edges = spark.createDataFrame(chain, "u long, v long")
