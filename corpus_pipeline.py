@@ -24,12 +24,14 @@ def near(spark, docs, sf_dir):
 def mixed(spark, docs, sf_dir):
     """All documents, laid out in the order of the mixture: files follow by
     number, and every run of them holds the sources by weight."""
-    return mixing.in_order(mixing.mix(docs))
+    return mixing.in_order(mixing.mix(docs), rows=docs.count())
 
 
 def tokens(spark, docs, sf_dir):
-    """Token ids of each document, next to its id, language and source."""
-    return bpe.encode(docs).drop("text", "n_chars")
+    """Token ids of each document, next to its id, language, source and its
+    position in the mixture: its place in the files that the stage before has
+    laid out."""
+    return bpe.encode(mixing.numbered(docs)).drop("text", "n_chars")
 
 
 STAGES = [

@@ -18,10 +18,13 @@ from fractions import Fraction
 from functools import reduce
 from math import floor, gcd
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailspark.llm.common import group_key, ranked, shuffled, table
+from mailspark.session import written
 
 #: Rows of a block.
 BLOCK = 8
@@ -182,6 +185,22 @@ def in_order(mixed, partitions=None, rows=None):
             .drop("stratum", "block", "position"))
 
 
+def numbered(df):
+    """The rows of a table of files, as it was read, with ``position``: their
+    place (0-based, without gaps) in the order of the files, by number, and of
+    the rows in each. What is no such table is written first."""
+    try:
+        rows = df.withColumns({"__file": F.col("_metadata.file_name"), "__row": F.col("_metadata.row_index")})
+    except AnalysisException:
+        return numbered(written(df, "in-order"))
+    number = [F.regexp_extract("__file", e, 1).cast("long") for e in (r"part-(\d+)", r"-c(\d+)")]
+    so_far = W.orderBy(*number, "__file").rowsBetween(W.unboundedPreceding, -1)
+    files = rows.groupBy("__file").agg((F.max("__row") + 1).alias("__n")).select(
+        F.col("__file").alias("__of"), F.coalesce(F.sum("__n").over(so_far), F.lit(0)).alias("__first"))
+    return (rows.join(F.broadcast(files), F.col("__file") == F.col("__of"))
+            .withColumn("position", F.col("__first") + F.col("__row")).drop("__file", "__row", "__of", "__first"))
+
+
 def op8_pfair_mix(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source")).select(
         "doc_id", "source", "stratum", "block", "position")

@@ -127,6 +127,19 @@ def test_mixing_stage_orders_the_files(spark, sf_dir, tmp_path):
     assert order == want
 
 
+def test_mixture_reaches_the_result(spark, sf_dir):
+    """Every prefix of the result by position holds the sources by weight."""
+    from collections import Counter
+
+    from tests.llm.test_sharding_mixing import follows
+
+    rows = sorted(corpus_pipeline.run(spark, sf_dir).collect(), key=lambda r: r.position)
+    assert [r.position for r in rows] == list(range(len(rows)))
+    sizes = Counter(r.source for r in rows)
+    weights = {s: n ** mixing.TEMPERATURE for s, n in sizes.items()}
+    follows([r.source for r in rows], sizes, weights, mixing.BLOCK)
+
+
 @pytest.mark.parametrize("rows", [TEXTS, []])
 def test_odd_rows_pass(spark, sf_dir, rows):
     docs = documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
