@@ -1,27 +1,29 @@
 """An order that mixes sources by target weights (Pfair scheduling).
 
-Each source's rows, in a seeded order, are cut into blocks. By its target
-weight w, block i of a source has a release time floor(i / w) and a deadline
-ceil((i + 1) / w), counted in blocks; at each time the released block with the
-earliest deadline is taken. At every point of the order, each source then has
-less than one block more or less than its weight asks for.
-
-Weights are whole parts of ``RESOLUTION``, so the schedule repeats: at the end
-of a period every source has got a whole number of blocks, and the next period
-is the same. One period is scheduled on the driver, bounded by the resolution
-and not by the data; tasks look the place of a block up by its number within
-the period. When a source runs out, the others go on by their weights.
+Each source's rows, in a seeded order, are cut into blocks. While all sources
+last, block i of a source of weight w (of all weights) has a release time
+floor(i / w) and a deadline ceil((i + 1) / w), counted in blocks; at each time
+the released block with the earliest deadline is taken. When a source would run
+out at its weight, the others share its part by theirs from then on, so that
+each source has a share that is due to it at each time; releases and deadlines
+follow from that share. At every point of the order, each source has less than
+one block more or less than what is due to it.
+
+Weights are exact fractions, and every source has its own. Each decision rests
+on those before, so one task makes the table of blocks; it holds a few numbers
+per source, no rows and no blocks. All else is spread.
 """
 
 import heapq
+from bisect import bisect_left
 from fractions import Fraction
 from functools import reduce
-from math import floor, gcd
+from math import floor, gcd, lcm
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mailspark.llm.common import group_key, ranked, shuffled, table
 from mailspark.session import written
@@ -29,7 +31,7 @@ from mailspark.session import written
 #: Rows of a block.
 BLOCK = 8
 
-#: Parts that the target weights are rounded to, each source one at least.
+#: Parts of whole weights, where they are asked for.
 RESOLUTION = 1000
 
 #: Sources with a weight of their own; the smallest beyond share one.
@@ -56,121 +58,141 @@ def parts(weights, resolution=RESOLUTION):
     return {s: n // common for s, n in out.items()}
 
 
-def period(quotas):
-    """Earliest deadline first over one period of sum(quotas) times: the time
-    of each block, by source."""
-    length = sum(quotas.values())
-    release = {s: [i * length // q for i in range(q)] for s, q in quotas.items()}
-    deadline = {s: [-(-(i + 1) * length // q) for i in range(q)] for s, q in quotas.items()}
-    waiting = sorted((r, s, i) for s, rs in release.items() for i, r in enumerate(rs))
-    ready, times, at = [], {s: [0] * q for s, q in quotas.items()}, 0
-    for time in range(length):
-        while at < len(waiting) and waiting[at][0] <= time:
-            _, s, i = waiting[at]
-            heapq.heappush(ready, (deadline[s][i], s, i))
-            at += 1
-        due, s, i = heapq.heappop(ready)
-        assert time < due
-        times[s][i] = time
-    return times
-
-
-def schedule(blocks, quotas):
-    """Segments of the whole order: dicts of ``start`` (time), ``length`` and
-    ``repeats`` of a period, and per source its first block, quota and times.
-
-    Full periods follow the weights until a source has less than its quota
-    left. A last period then gives each source its quota or what it has left,
-    at even rates, and the sources that are through drop out.
+def taken(blocks, weights):
+    """The (source, block) taken at each time: earliest deadline first.
+
+    ``blocks`` and ``weights`` are by source. Up to the fluid time v a source is
+    due the lesser of weight * v and its blocks; the blocks due of all sources
+    are the time. Whole numbers throughout, so nothing adds up.
     """
-    left = {s: n for s, n in blocks.items() if n}
-    done, start, segments = dict.fromkeys(left, 0), 0, []
-    while left:
-        repeats = min(left[s] // quotas[s] for s in left)
-        share = {s: quotas[s] if repeats else min(quotas[s], n) for s, n in left.items()}
-        repeats = max(1, repeats)
-        length = sum(share.values())
-        segments.append({"start": start, "length": length, "repeats": repeats, "times": period(share),
-                         "quota": share, "first": dict(done)})
-        start += length * repeats
-        for s, q in share.items():
-            done[s] += q * repeats
-            left[s] -= q * repeats
-        left = {s: n for s, n in left.items() if n}
-    return segments
+    names = sorted(s for s, n in blocks.items() if n)
+    exact = [Fraction(weights[s]) for s in names]
+    if exact and min(exact) <= 0:
+        raise ValueError("target weights must be positive")
+    scale = lcm(*[x.denominator for x in exact])
+    w, n = [int(x * scale) for x in exact], [int(blocks[s]) for s in names]
+    # Sources in the order they run out; blocks and weights before and after.
+    ends = sorted(range(len(names)), key=lambda s: (Fraction(n[s], w[s]), s))
+    gone, active = [0], [sum(w)]
+    for s in ends:
+        gone.append(gone[-1] + n[s])
+        active.append(active[-1] - w[s])
+    at, done = [0] * len(names), [0] * len(names)
+
+    def due(s, x):
+        """Time at which x blocks of a source are due, down and up."""
+        k = at[s]
+        if n[ends[k]] * w[s] < x * w[ends[k]]:
+            k = at[s] = bisect_left(ends, True, lo=k, key=lambda e: n[e] * w[s] >= x * w[e])
+        return gone[k] + x * active[k] // w[s], gone[k] - (-x * active[k] // w[s])
+
+    waiting, ready = [(0, s) for s in range(len(names))], []
+    deadline, release = [0] * len(names), [0] * len(names)
+    for s in range(len(names)):
+        release[s], deadline[s] = due(s, 1)
+    for time in range(sum(n)):
+        while waiting and waiting[0][0] <= time:
+            s = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (deadline[s], s))
+        last, s = heapq.heappop(ready)
+        assert time < last
+        yield names[s], done[s]
+        done[s] += 1
+        if done[s] < n[s]:
+            heapq.heappush(waiting, (release[s], s))
+            release[s], deadline[s] = due(s, done[s] + 1)
+
+
+def period(quotas):
+    """The time of each block, by source, where the weights are the blocks."""
+    return schedule(quotas, quotas)[0]["times"]
+
+
+def schedule(blocks, weights):
+    """The whole order as one segment: a dict of ``start``, ``length``,
+    ``repeats`` and, by source, the ``times`` of its blocks."""
+    times = {s: [] for s, n in blocks.items() if n}
+    for time, (s, _) in enumerate(taken(blocks, weights)):
+        times[s].append(time)
+    return [{"start": 0, "length": sum(blocks.values()), "repeats": 1, "times": times}] if times else []
+
+
+def _placed(weigh, block, size=1 << 16):
+    """Task code: rows (group, rows) of all sources to the table of blocks:
+    group, block and the position of its first row."""
+
+    def run(batches):
+        rows = {g: int(n) for batch in batches for g, n in zip(batch["__group"], batch["__rows"])}
+        found, start = [], 0
+        for g, i in taken({g: -(-n // block) for g, n in rows.items()}, weigh(rows)):
+            found.append((g, i, start))
+            start += min(block, rows[g] - i * block)
+            if len(found) == size:
+                yield pd.DataFrame(found, columns=["__of", "__number", "__start"])
+                found = []
+        if found:
+            yield pd.DataFrame(found, columns=["__of", "__number", "__start"])
+
+    return run
 
 
 def mix(df, targets=None, block=BLOCK, source="source", key="doc_id", seed=SEED,
-        resolution=RESOLUTION, strata=STRATA):
+        resolution=None, strata=STRATA):
     """The rows with ``stratum`` (source; null for rows of no source and of
-    the sources that share a weight), ``block`` (number within the stratum)
-    and ``position`` (0-based, without gaps) in the mixed order.
+    sources that share a weight), ``block`` (number within the stratum) and
+    ``position`` (0-based, without gaps) in the mixed order.
 
     ``targets`` gives weights by source; sources that it doesn't name share
     the weight ``targets[None]``, or as much as the least of the named ones.
-    Without targets a source weighs its rows to the power of 0.7. Every row
-    comes once. Rows alike in key follow a hash of their other columns. Input
-    columns of the result's names are replaced; empty tables give empty ones.
+    Without targets each source, and the rows of none, weighs its rows to the
+    power of 0.7. Every row comes once. Rows alike in key follow a hash of
+    their other columns. Input columns of the result's names are replaced;
+    empty tables give empty ones.
 
-    The counts of at most ``strata`` sources go to the driver. Rows are ranked
-    in pieces, so a hot source is spread, and look their block up in a
-    broadcast of at most 2 * strata * resolution times.
+    On request only, weights are rounded to whole parts of ``resolution``, and
+    the smallest sources beyond ``strata`` share a weight.
+
+    Rows are ranked in pieces, so a hot source is spread, and joined with the
+    table of blocks, a row for each block.
     """
     keep = [c for c in df.columns if c.lower() not in ("stratum", "block", "position")]
-    spark, name = df.sparkSession, group_key(F.col(f"`{source}`"))
-    if targets is None:
+    name = group_key(F.col(f"`{source}`"))
+    if targets is not None:
+        own = [f"={s}" for s in targets if s is not None]
+        named = {g: Fraction(targets[g[1:]]) for g in own}
+        others = Fraction(targets.get(None, min(targets.values())))
+        if min([others, *named.values()]) <= 0:
+            raise ValueError("target weights must be positive")
+        stratum = F.when(name.isin(own), name).otherwise("null") if own else F.lit("null")
+    elif strata is not None:
         top = [r[0] for r in df.groupBy(name.alias("g")).count()
                .orderBy(F.desc("count"), "g").limit(strata).collect()]
-        own = top if len(top) < strata else top[:-1]
+        own = [g for g in (top if len(top) < strata else top[:-1]) if g != "null"]
+        stratum = F.when(name.isin(own), name).otherwise("null") if own else F.lit("null")
     else:
-        own = [f"={s}" for s in targets if s is not None]
-    own = [g for g in own if g != "null"]
-    stratum = F.when(name.isin(own), name).otherwise("null") if own else F.lit("null")
+        stratum = name
+
+    def weigh(rows):
+        if targets is None:
+            found = {g: Fraction(n ** TEMPERATURE) for g, n in rows.items()}
+        else:
+            found = {g: named.get(g, others) for g in rows}
+        return parts(found, resolution) if resolution and found else found
+
     work = df.select(*[F.col(f"`{c}`") for c in keep]).withColumns(
         {"__group": stratum, "__order": shuffled(F.col(f"`{key}`"), seed)})
     rows, _ = ranked(work, "__group", "__order", "__rank", "__size")
-    counts = {r[0]: r[1] for r in work.groupBy("__group").count().collect()}
-    if targets is None:
-        weights = {g: Fraction(n ** TEMPERATURE) for g, n in counts.items()}
-    else:
-        others = targets.get(None, min(targets.values()))
-        weights = {g: Fraction(targets[g[1:]]) if g != "null" else Fraction(others) for g in counts}
-    plan, short = [], []
-    if counts:
-        quotas = parts(weights, resolution)
-        segments = schedule({g: -(-n // block) for g, n in counts.items()}, quotas)
-        for s in segments:
-            for g, times in s["times"].items():
-                q, first = s["quota"][g], s["first"][g]
-                plan.append((g, first, first + q * s["repeats"], q, s["start"], s["length"], times))
-        for g, n in counts.items():
-            if n % block:
-                last = next(p for p in reversed(plan) if p[0] == g)
-                time = last[4] + (last[2] - last[1]) // last[3] * last[5] - last[5] + last[6][-1]
-                short.append((time, block - n % block))
-    kind = T.StructType([
-        T.StructField("__group", T.StringType()), T.StructField("__from", T.LongType()),
-        T.StructField("__to", T.LongType()), T.StructField("__quota", T.LongType()),
-        T.StructField("__start", T.LongType()), T.StructField("__length", T.LongType()),
-        T.StructField("__times", T.ArrayType(T.IntegerType()))])
-    plan = spark.createDataFrame(plan, kind)
-    number = F.expr(f"__rank div {block}")
-    inside = F.col("__block") - F.col("__from")
-    time = (F.col("__start") + F.expr("(__block - __from) div __quota") * F.col("__length")
-            + F.get("__times", (inside % F.col("__quota")).cast("int")))
-    # Each source's last block may be short; what earlier ones lack is taken off.
-    lacking = F.lit(0).cast("long")
-    for at, rows_short in short:
-        lacking = lacking + F.when(F.col("__time") > at, F.lit(rows_short)).otherwise(0)
+    counts = work.groupBy("__group").agg(F.count(F.lit(1)).alias("__rows"))
+    plan = counts.repartition(1).mapInPandas(
+        _placed(weigh, block), "__of string, __number long, __start long")
     return (
-        rows.withColumn("__block", number).withColumnRenamed("__group", "__of")
-        .join(F.broadcast(plan), (F.col("__of") == F.col("__group")) & (F.col("__block") >= F.col("__from"))
-              & (F.col("__block") < F.col("__to")))
-        .withColumn("__time", time)
+        rows.withColumn("__block", F.expr(f"__rank div {block}"))
+        .join(plan.hint("shuffle_hash"),
+              (F.col("__group") == F.col("__of")) & (F.col("__block") == F.col("__number")))
         .select(*[F.col(f"`{c}`") for c in keep],
                 F.when(F.col("__of") != "null", F.expr("substring(__of, 2)")).alias("stratum"),
                 F.col("__block").alias("block"),
-                (F.col("__time") * block + F.col("__rank") % block - lacking).cast("long").alias("position"))
+                (F.col("__start") + F.col("__rank") % block).cast("long").alias("position"))
     )
 
 

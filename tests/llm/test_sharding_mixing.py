@@ -103,3 +103,55 @@ def test_laid_out_in_order(spark, tmp_path):
     files = sorted((tmp_path / "mixed").glob("part-*"))
     found = [i for f in files for i in pq.read_table(f)["doc_id"].to_pylist()]
     assert found == [r.doc_id for r in sorted(mixed.collect(), key=lambda r: r.position)]
+
+
+def due(blocks, weights, time):
+    """Blocks due to each source at a time, by filling up in turns."""
+    have, left = dict.fromkeys(blocks, Fraction(0)), Fraction(time)
+    while left:
+        total = sum(Fraction(weights[s]) for s in blocks if have[s] < blocks[s])
+        step = min([left / total, *((blocks[s] - have[s]) / Fraction(weights[s])
+                                    for s in blocks if have[s] < blocks[s])])
+        for s in blocks:
+            if have[s] < blocks[s]:
+                have[s] += step * Fraction(weights[s])
+                left -= step * Fraction(weights[s])
+    return have
+
+
+def follows(order, rows, weights, block):
+    """Each source has less than one block more or less than its due, after
+    each block of the order (a source per row)."""
+    blocks = {s: -(-n // block) for s, n in rows.items()}
+    have, time = Counter(), 0
+    for at, s in enumerate(order):
+        have[s] += 1
+        if have[s] % block and have[s] < rows[s]:
+            assert order[at + 1] == s
+            continue
+        time += 1
+        if time % 7 == 0 or time < 50:
+            for k, want in due(blocks, weights, time).items():
+                assert abs(-(-have[k] // block) - want) < 1, (k, time)
+    assert have == rows
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.sampled_from("abcdef"), st.tuples(st.integers(1, 60), st.floats(1e-4, 9)), min_size=1))
+def test_order_follows_what_is_due(sources):
+    rows, weights = {s: n for s, (n, _) in sources.items()}, {s: w for s, (_, w) in sources.items()}
+    follows([s for s, _ in mixing.taken(rows, weights)], rows, weights, 1)
+
+
+def test_true_weights_over_many_blocks():
+    """Weights that are no thousandths stay exact; a small one isn't raised."""
+    weights = {"a": Fraction(1, 10000), "b": Fraction(1, 3), "c": Fraction(2, 7), "d": Fraction(30467, 80000)}
+    weights["d"] = 1 - weights["a"] - weights["b"] - weights["c"]
+    have = Counter()
+    for time, (s, i) in enumerate(mixing.taken(dict.fromkeys(weights, 60_000), weights), 1):
+        assert i == have[s]
+        have[s] += 1
+        assert all(abs(have[k] - w * time) < 1 for k, w in weights.items())
+        if time == 100_000:
+            break
+    assert have["a"] in (9, 10, 11)
