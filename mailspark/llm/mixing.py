@@ -34,9 +34,6 @@ BLOCK = 8
 #: Parts of whole weights, where they are asked for.
 RESOLUTION = 1000
 
-#: Sources with a weight of their own; the smallest beyond share one.
-STRATA = 256
-
 #: Without given targets, a source weighs its rows to this power.
 TEMPERATURE = 0.7
 
@@ -137,7 +134,7 @@ def _placed(weigh, block, size=1 << 16):
 
 
 def mix(df, targets=None, block=BLOCK, source="source", key="doc_id", seed=SEED,
-        resolution=None, strata=STRATA):
+        resolution=None, strata=None):
     """The rows with ``stratum`` (source; null for rows of no source and of
     sources that share a weight), ``block`` (number within the stratum) and
     ``position`` (0-based, without gaps) in the mixed order.

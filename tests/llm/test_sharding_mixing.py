@@ -155,3 +155,24 @@ def test_true_weights_over_many_blocks():
         if time == 100_000:
             break
     assert have["a"] in (9, 10, 11)
+
+
+def test_every_source_has_its_weight(spark):
+    """400 sources and rows of none, each a stratum of its own."""
+    made = [(i, "x", None if s == 0 else f"s{s}") for s in range(401) for i in range(s * 1000, s * 1000 + 3 + s % 9)]
+    rows = mixing.mix(documents(spark, made), block=2).collect()
+    sizes = Counter(str(r.source) for r in rows)
+    assert len(sizes) == 401 and all(r.stratum == r.source for r in rows)
+    rows.sort(key=lambda r: r.position)
+    assert [r.position for r in rows] == list(range(len(made)))
+    order, blocks = [str(r.source) for r in rows], {s: -(-n // 2) for s, n in sizes.items()}
+    weights = {s: Fraction(n ** mixing.TEMPERATURE) for s, n in sizes.items()}
+    have, time = Counter(), 0
+    for s in order:
+        have[s] += 1
+        if have[s] % 2 and have[s] < sizes[s]:
+            continue
+        time += 1
+        if time % 400 == 0:
+            for k, want in due(blocks, weights, time).items():
+                assert abs(-(-have[k] // 2) - want) < 1, (k, time)
