@@ -49,6 +49,39 @@ def test_template_is_learned_from_the_host(spark):
     assert got[100].startswith("Always the same")
 
 
+def test_names_of_wrappers_lose_no_article(spark):
+    """Names that say noise don't take what the page is about."""
+    long = "A sentence of the article number {n} that is long enough to be one. " * 4
+    wrappers = ["div class='post no-sidebar'", "div id='content' class='has-sidebar'",
+                "div class='layout with-header'", "section class='legal'", "div class='page sidebar-left'"]
+    rows = []
+    for h, w in enumerate(wrappers):
+        page = (f"<body><div class=x1>Always the same</div><{w}><h1>Head {{n}}</h1><p>{long}</p>"
+                f"<div class=sidebar>Links</div></{w.split()[0]}><div class=comments>Reader {{n}}</div></body>")
+        rows += [(h * 100 + n, f"http://h{h}.example.com/{n}", page.format(n=n)) for n in range(8)]
+        rows += [(h * 100 + 50, f"http://once{h}.example.com/", page.replace("Always the same", "").format(n=50))]
+    got = {r.page_id: r.text for r in html_text.main_text(pages(spark, rows)).collect()}
+    for i, text in got.items():
+        assert text == f"Head {i % 100}\n" + long.format(n=i % 100).strip(), i
+
+
+def test_template_inside_content_goes(spark):
+    page = ("<body><div id=content><div class=box>Try our new thing</div><p>Text {n} of page {n}</p>"
+            "<div class=hint>Written by us</div></div></body>")
+    rows = [(n, f"http://t.example.com/{n}", page.format(n=n)) for n in range(9)]
+    got = html_text.main_text(pages(spark, rows)).collect()
+    assert all(r.text == f"Text {r.page_id} of page {r.page_id}" for r in got)
+
+
+def test_articles_in_nodes_of_one_page(spark):
+    """Ids of their own on each page, under much that is the same."""
+    same = "".join(f"<div class=b{i}>Same text {i}</div>" for i in range(30))
+    page = "<body>" + same + "<div id=p{n}><p>Text {n} of page {n}</p></div></body>"
+    rows = [(n, f"http://p.example.com/{n}", page.format(n=n)) for n in range(6)]
+    got = html_text.main_text(pages(spark, rows)).collect()
+    assert all(r.text == f"Text {r.page_id} of page {r.page_id}" for r in got)
+
+
 def test_copies_are_no_template(spark):
     """Copies of a page, and hosts of copies only, keep their article."""
     one = "<body><div class=x><p>A text that comes many times</div></body>"
