@@ -40,6 +40,10 @@ LEAST_NAMED = LEAST / 2
 #: article.
 OVERRULED = 4
 
+#: Hosts whose different pages vary in less than this share of their text hold
+#: copies of one page: nothing is judged there.
+ALIKE = 0.02
+
 #: Share of a node's importance that its layout makes up; content the rest.
 LAYOUT = 0.1
 
@@ -267,7 +271,8 @@ def node_importance(parsed):
     Only different pages count, so copies of an article don't look like a
     template. Layout varies by the entropy of its forms over the pages of a
     node, to the base of the pages. A block seen on k of m pages is worth
-    1 - log_m(k); content is the mean over the node's different blocks.
+    1 - log_m(k); content is the mean over the node's different blocks. A host
+    whose pages hardly vary is left out.
     """
     # One page of each content per host: the one of least payload hash wins.
     distinct = parsed.groupBy("host", "page").agg(
@@ -300,7 +305,10 @@ def node_importance(parsed):
         .groupBy("host", "node").agg(F.sum("blocks").alias("blocks"), F.sum("logs").alias("logs"))
     )
     worth = F.greatest(F.lit(0.0), 1 - F.col("logs") / F.col("blocks") / F.log(m.cast("double")))
-    return layout.join(content, ["host", "node"]).select(
+    alike = blocks.groupBy("host").agg(
+        F.sum(F.col("length") * k).alias("all"), F.sum(F.when(k == 1, F.col("length")).otherwise(0)).alias("once")
+    ).filter(F.col("once") < ALIKE * F.col("all")).select("host")
+    return layout.join(content, ["host", "node"]).join(alike, "host", "left_anti").select(
         "host", "node", "pages",
         (LAYOUT * F.col("layout") + (1 - LAYOUT) * worth).alias("importance"))
 
@@ -344,9 +352,7 @@ def _joined(payload, listed):
         if top is None or inside[top] <= OVERRULED * plain:
             break
         stay.add(top)
-    kept = [text for text, named, _ in rows if stay.issuperset(named)]
-    # Where all would go, the pages of the host are alike: not a template.
-    return "\n".join(kept or [line.split("\t", 3)[3] for line in body.split("\n") if body])
+    return "\n".join(text for text, named, _ in rows if stay.issuperset(named))
 
 
 def main_text(df, id_column="page_id"):

@@ -82,6 +82,20 @@ def test_articles_in_nodes_of_one_page(spark):
     assert all(r.text == f"Text {r.page_id} of page {r.page_id}" for r in got)
 
 
+def test_page_without_article_is_empty(spark):
+    """On a host of many pages; a host of nearly the same pages isn't judged."""
+    body = "<body><div class=x1>Home News About</div>{}<div class=x3>All our pages are made by hand</div></body>"
+    rows = [(n, f"http://e.example.com/{n}", body.format(f"<div class=x2><p>Text {n} of this page</div>"))
+            for n in range(9)]
+    rows += [(100, "http://e.example.com/none", body.format("")), (101, "http://e.example.com/not", body.format(""))]
+    one = "<body><div class=x><p>" + "A text that comes many times. " * 40 + "</div><div class=n>{}</div></body>"
+    rows += [(200 + n, f"http://f.example.com/{n}", one.format(n)) for n in range(20)]
+    got = {r.page_id: r.text for r in html_text.main_text(pages(spark, rows)).collect()}
+    assert got[100] == got[101] == ""
+    assert all(got[n] == f"Text {n} of this page" for n in range(9))
+    assert all(got[200 + n].startswith("A text that comes many times.") for n in range(20))
+
+
 def test_copies_are_no_template(spark):
     """Copies of a page, and hosts of copies only, keep their article."""
     one = "<body><div class=x><p>A text that comes many times</div></body>"
