@@ -32,8 +32,8 @@ PATTERNS = {
     "card": ("[0-9][\\x20-]?[0-9]", r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": ("\\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
     "alias": ("(?i)[(\\[{\\x20](?:at|dot)[)\\]}\\x20]",
-              r"(?i)(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]{1,64}\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?"
-              r"[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20)\x20?[A-Za-z]{2,24})+"),
+              r"(?i)(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]++\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?"
+              r"[A-Za-z0-9-]++(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20)\x20?[A-Za-z]{2,}+)+"),
     "local_phone": ("[0-9][).\\x20-]", r"(?<![0-9A-Za-z+(.-])(?<!\+[0-9]{1,3}\x20)(?:\([0-9]{2,5}\)\x20?|[0-9]{3,5}[\x20.-])"
                     r"[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z]|[\x20.-][0-9])"),
     "id_number": ("[0-9]-[0-9]", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"),
@@ -41,7 +41,7 @@ PATTERNS = {
                r"(?<![\p{L}0-9])(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Sra?|Mme|Mlle)\.?\x20"
                r"\p{Lu}[\p{L}'-]{1,40}(?:\x20\p{Lu}[\p{L}'-]{1,40}){0,2}"),
     "secret": ("(?i)(?:token|passw|secret|key)", r"(?i)(?<![A-Za-z0-9])(?:api[_\x20-]?key|access[_\x20-]?key|auth[_\x20-]?"
-               r"token|token|password|passwd|secret)\x20{0,3}[=:]\x20{0,3}[\"']?[A-Za-z0-9+/_.~-]{8,512}"),
+               r"token|token|password|passwd|secret)\x20{0,3}[=:]\x20{0,3}[\"']?[A-Za-z0-9+/_.~-]{8,}+"),
 }
 
 #: Gazetteers and context words.
@@ -100,7 +100,7 @@ def _votes(kind, m, before, after):
         "secret": (m.rlike(r"[=:][^=:]*[0-9]") & m.rlike(r"[=:][^=:]*[A-Za-z]") & (F.char_length(m) >= 24),
                    m.rlike(r"(?i)[=:]\x20*[\"']?[a-z.]+$")),
     }[kind]
-    tld = F.lower(F.regexp_extract(m, r"([A-Za-z]+)$", 1))
+    tld = F.lower(F.regexp_extract(m, r"(?<![A-Za-z])([A-Za-z]++)$", 1))
     gazetteer = {
         "email": (tld.isin(DOMAINS), never),
         "alias": (tld.isin(DOMAINS), ~tld.isin(DOMAINS)),

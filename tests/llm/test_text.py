@@ -191,6 +191,19 @@ def test_base_spans(spark):
     assert {"secret", "alias", "person", "id_number", "local_phone"} <= kinds
 
 
+def test_long_secrets_and_aliases_are_whole(spark):
+    key = "".join(random.Random(7).choice("abcXYZ0189+/_-") for _ in range(6000))
+    local = "first.last+" + "x" * 50_000
+    alias = f"{local} (at) {'sub-' * 30}host (dot) {'c' * 40}"
+    rows = [(1, f"see token={key}, then", "a"), (2, f"write {alias}!", "a"), (3, f"secret: {'k' * 100_000}1", "a")]
+    found = {r.doc_id: r.spans for r in pii.candidates(documents(spark, rows)).collect()}
+    texts = {i: t for i, t, _ in rows}
+    got = {i: [(pii.KINDS[s.kind], texts[i][s.start:s.end]) for s in spans] for i, spans in found.items()}
+    assert got[1] == [("secret", f"token={key}")]
+    assert got[2] == [("alias", alias)]
+    assert got[3] == [("secret", texts[3])]
+
+
 def test_classifier(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = {r.doc_id: r.spans for r in pii.find(docs).collect()}
