@@ -9,12 +9,11 @@ from mailspark.functions import columns as C
 from mailspark.functions import text as X
 from mailspark.operators import index as I
 from mailspark.operators import search as Q
+from mailspark.operators import segments as SG
 from mailspark.session import scratch
 
 #: Whole texts are searched, not their previews.
 WHOLE = ("subject", "from_addr", "to_addr", "body")
-#: The tables are small; a large index takes the library's default.
-INDEX_BUCKETS = 32
 PLAIN = {"columns": WHOLE, "stemmed": False}
 
 
@@ -259,18 +258,26 @@ def doc_stats(spark, sf_dir):
     return I.doc_stats(msgs(spark, sf_dir), WHOLE)
 
 
+def buckets_for(spark, sf_dir):
+    """One index bucket per thousand messages, up to the library's default."""
+    return min(SG.BUCKETS, max(8, msgs(spark, sf_dir).count() // 1000))
+
+
 @kept
 def stored_index(spark, sf_dir, stemmed=False):
     """The index of all whole texts, written down."""
-    m, path = msgs(spark, sf_dir), scratch(spark, "index")
-    postings = I.build_index(m, WHOLE, stemmed=stemmed)
-    I.write_index(postings, I.doc_stats(m, WHOLE), path, INDEX_BUCKETS, WHOLE, stemmed)
+    path = scratch(spark, "index")
+    SG.create(spark, path, WHOLE, stemmed, buckets_for(spark, sf_dir)).add(msgs(spark, sf_dir))
     return path
 
 
 @kept
+def opened(spark, sf_dir, *stemmed):
+    return SG.open_index(spark, stored_index(spark, sf_dir, *stemmed))
+
+
 def index(spark, sf_dir, stemmed=False):
-    return I.open_index(spark, stored_index(spark, sf_dir, stemmed))
+    return opened(spark, sf_dir, *[True] * stemmed)
 
 
 def by_index(spark, sf_dir):
@@ -333,6 +340,37 @@ def search_index(spark, sf_dir):
     return found(Q.search_fulltext(m, "the and", limit=50, **options))
 
 
+HARMLESS = "doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"
+
+
+@kept
+def grown_index(spark, sf_dir):
+    """The index made in three additions, without toxic messages."""
+    m = msgs(spark, sf_dir)
+    index = SG.create(spark, scratch(spark, "index"), WHOLE, False, buckets_for(spark, sf_dir))
+    for part in range(3):
+        index = index.add(m.filter(F.pmod("doc_id", F.lit(3)) == part))
+    toxic = views.load(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
+    return index.drop(m.join(toxic, "doc_id", "left_semi"))
+
+
+@query(ranked_sql([word_count("the"), word_count("and")], "n0 > 0 AND n1 > 0", limit=50).replace(
+    "FROM msgs)", f"FROM msgs WHERE {HARMLESS})"))
+def index_segments(spark, sf_dir):
+    """Three segments with tombstones are searched like one index."""
+    m = msgs(spark, sf_dir).drop("body")
+    return found(Q.search_fulltext(m, "the and", limit=50, index=grown_index(spark, sf_dir)))
+
+
+@query(with_msgs(f"SELECT archive_file, mbox_offset, {DL} AS dl FROM toks WHERE {HARMLESS}", TOKS_SQL))
+def index_merged(spark, sf_dir):
+    """The messages of the segments merged into one."""
+    merged = grown_index(spark, sf_dir)
+    if len(merged.segments) > 1:
+        merged = SG.open_index(spark, merged.path).merge(everything=True)
+    return merged.docs().select("archive_file", "mbox_offset", "dl")
+
+
 STEMMED_PARTS = [f"u AS MATERIALIZED ({UNNEST})", stems_sql("u"), """hits AS (
   SELECT archive_file AS f, mbox_offset AS o, count(*) FILTER (WHERE stem = 'the') AS k0,
     count(*) FILTER (WHERE stem = 'and') AS k1 FROM u JOIN stems USING (term) GROUP BY 1, 2)"""]

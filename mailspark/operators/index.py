@@ -1,29 +1,19 @@
-"""The text index as tables: one posting row per (message, column, term).
+"""Postings: one row per (message, column, term), made inside each task.
 
-Postings are made inside each task, so the only shuffle of a build is the one
-that lays them out by term. Lookups prune to the buckets of the searched
-terms."""
-
-from dataclasses import dataclass
+``operators.segments`` stores them as an index that searches read."""
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailspark.functions import text as X
 from mailspark.functions.porter import stem as porter_stem
-from mailspark.operators import joins
 from mailspark.operators import search as Q
 from mailspark.schema import LOCATION
-from mailspark.session import written
-
-BUCKETS = 256
 
-_KEY = [T.StructField("archive_file", T.StringType()), T.StructField("mbox_offset", T.LongType())]
-POSTINGS = T.StructType(_KEY + [
+_POSTING = T.StructType([
     T.StructField("column", T.StringType()),
     T.StructField("term", T.StringType()),
     T.StructField("tf", T.LongType()),
@@ -32,10 +22,9 @@ POSTINGS = T.StructType(_KEY + [
     # True in one column only, so that counting it counts messages.
     T.StructField("first_in_message", T.BooleanType()),
 ])
-STORED = T.StructType([*POSTINGS, T.StructField("bucket", T.IntegerType())])
 
 
-def _postings_maker(columns, stemmed):
+def _postings_maker(columns, stemmed, keys):
     def postings(batch):
         size = batch.num_rows
         rows, cols, seats, texts = [], [], [], []
@@ -64,8 +53,7 @@ def _postings_maker(columns, stemmed):
         pick = pa.array(row[start])
         return pa.RecordBatch.from_arrays(
             [
-                batch.column("archive_file").take(pick),
-                batch.column("mbox_offset").take(pick),
+                *[batch.column(k).take(pick) for k in keys],
                 pa.array(list(columns), pa.string()).take(pa.array(col[start])),
                 codes.dictionary.take(pa.array(term[start])),
                 pa.array(np.diff(ends), pa.int64()),
@@ -74,18 +62,20 @@ def _postings_maker(columns, stemmed):
                 pa.array(length[row[start]], pa.int64()),
                 pa.array(new_term[start]),
             ],
-            names=POSTINGS.names,
+            names=[*keys, *_POSTING.names],
         )
 
     return lambda batches: (postings(b) for b in batches if b.num_rows)
 
 
-def build_index(messages, columns=X.INDEXED, stemmed=True):
-    """Postings of all messages. Positions count from 0 within a column; ``dl``
-    is the message length over all columns."""
+def build_index(messages, columns=X.INDEXED, stemmed=True, keys=LOCATION):
+    """Postings of all messages, one row per (message, column, term), a message
+    being told by its keys. Positions count from 0 within a column; ``dl`` is
+    the message length over all columns."""
     columns = tuple(columns)
-    tokens = Q.tokenized(messages, columns).select(*LOCATION, *[f"_t_{c}" for c in columns])
-    return tokens.mapInArrow(_postings_maker(columns, stemmed), POSTINGS)
+    tokens = Q.tokenized(messages, columns).select(*keys, *[f"_t_{c}" for c in columns])
+    made = T.StructType([tokens.schema[k] for k in keys] + _POSTING.fields)
+    return tokens.mapInArrow(_postings_maker(columns, stemmed, keys), made)
 
 
 def doc_stats(messages, columns=X.INDEXED):
@@ -100,194 +90,95 @@ def term_stats(postings):
         F.count_if("first_in_message").alias("df"), F.sum("tf").alias("occurrences"))
 
 
-def _bucket(term, buckets):
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
-def write_index(postings, lengths, path, buckets=BUCKETS, columns=X.INDEXED, stemmed=True):
-    """Index tables under ``path``: postings by term bucket and sorted by term,
-    the length of each message, and one row about the whole (messages, tokens,
-    how it was made). The rebalance step evens out the files: the bucket of a
-    common term is written by many tasks, rare ones share a task."""
-    spark = postings.sparkSession
-    laid_out = postings.withColumn("bucket", _bucket(F.col("term"), buckets))
-    (laid_out.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
-     .write.partitionBy("bucket").parquet(f"{path}/postings"))
-    lengths.write.parquet(f"{path}/doc_stats")
-    spark.read.parquet(f"{path}/doc_stats").agg(
-        F.count("*").alias("messages"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens"),
-        F.lit(buckets).alias("buckets"), F.lit(stemmed).alias("stemmed"),
-        F.array(*[F.lit(c) for c in columns]).alias("columns")).write.parquet(f"{path}/about")
-    return open_index(spark, path)
-
-
-def open_index(spark, path):
-    about = spark.read.parquet(f"{path}/about").first()
-    return Index(spark, path, tuple(about.columns), about.stemmed, about.buckets, about.messages,
-                 about.tokens)
-
-
-def bucket_of(word, buckets):
-    """The bucket that ``write_index`` puts a word into."""
-    value = xxhash.xxh64_intdigest(word.encode(), 42)
-    return (value - (1 << 64) if value >> 63 else value) % buckets
-
-
-def read_postings(spark, path, words=None, buckets=BUCKETS, prefixes=()):
-    """Postings of an index, pruned to the buckets of the searched words. A
-    prefix is a range of terms: the files are sorted by term, so only their
-    row groups within the range are read."""
-    postings = spark.read.schema(STORED).parquet(f"{path}/postings")
-    if words is not None or prefixes:
-        wanted = F.lit(False)
-        if words:
-            found = sorted({bucket_of(w, buckets) for w in words})
-            wanted = F.col("bucket").isin(found) & F.col("term").isin(list(words))
-        for p in prefixes:
-            wanted = wanted | ((F.col("term") >= p) & (F.col("term") < p + "\U0010ffff"))
-        postings = postings.filter(wanted)
-    return postings.drop("bucket")
-
+# ------------------------------------------------------------------ counting
 
-# ---------------------------------------------------------------------- lookup
 
-
-def _slots(term):
+def slots(term):
     """(word, is a prefix) of each token of a term."""
     last = len(term.tokens) - 1
     opened = term.kind in ("prefix", "open phrase")
     return [(w, opened and i == last) for i, w in enumerate(term.tokens)]
 
 
-def _starts(slots, every):
+def _starts(words, every):
     """Where a phrase starts in one column, from the position lists of its
     words."""
     def at(step, slot):
         return F.transform(F.col(f"_p{every.index(slot)}"), lambda seat: seat - step)
 
-    hits = at(0, slots[0])
-    for step, slot in enumerate(slots[1:], 1):
+    hits = at(0, words[0])
+    for step, slot in enumerate(words[1:], 1):
         hits = F.array_intersect(hits, at(step, slot))
     return hits
 
 
+def _near_starts(first, second, distance):
+    """Column of how many starts of the first phrase have one of the second at
+    most ``distance`` words away: it begins after the first one's end, or ends
+    before its start. Two sorted lists are walked along each other, so the time
+    does not depend on how many pairs are near."""
+
+    def between(lists, low, high):
+        return np.searchsorted(lists, high, "right") > np.searchsorted(lists, low, "left")
+
+    @F.pandas_udf(T.LongType())
+    def count(ones: pd.Series, others: pd.Series) -> pd.Series:
+        out = []
+        for one, other in zip(ones, others):
+            if one is None or other is None or not len(one) or not len(other):
+                out.append(0)
+                continue
+            one, other = (np.sort(np.asarray(x, np.int64)) for x in (one, other))
+            hit = between(other, one + len(first), one + len(first) + distance)
+            hit |= between(other, one - distance - len(second), one - len(second))
+            # A phrase stands near itself.
+            out.append(len(one) if first == second else int(hit.sum()))
+        return pd.Series(out, dtype="int64")
+
+    return count
+
+
 def _occurrences(term, every):
     """How often a term occurs in one column."""
-    slots = _slots(term)
+    words = slots(term)
     if term.kind != "near":
-        hits = _starts(slots, every)
-    else:
-        a, b = slots[:term.first], slots[term.first:]
-        others = _starts(b, every)
-        hits = F.filter(_starts(a, every), lambda i: F.exists(others, lambda j: (
-            ((j >= i + len(a)) & (j <= i + len(a) + term.distance))
-            | ((j + len(b) <= i) & (j + len(b) >= i - term.distance))
-            | (F.lit(a == b) & (j == i)))))
-    return F.coalesce(F.size(hits), F.lit(0)).cast("long")
-
-
-def _counts(postings, terms):
-    """Per message: its length and how often each term occurs. One pass over
-    the postings of the searched words, shuffled by message."""
-    every = list(dict.fromkeys(s for t in terms for s in _slots(t)))
-
-    def holds(slot):
-        word, opened = slot
-        return F.col("term").startswith(word) if opened else F.col("term") == word
+        return F.coalesce(F.size(_starts(words, every)), F.lit(0)).cast("long")
+    a, b = words[:term.first], words[term.first:]
+    return _near_starts(a, b, term.distance)(_starts(a, every), _starts(b, every))
+
+
+def holds(slot):
+    """Test of a posting's term."""
+    word, opened = slot
+    return F.col("term").startswith(word) if opened else F.col("term") == word
+
+
+def is_plain(term):
+    """Whether counts settle the term; otherwise positions or columns do."""
+    return term.kind in ("word", "prefix") and term.columns is None
+
 
+def counts(postings, terms, keys=LOCATION):
+    """Per message: its length ``_dl`` and how often each term occurs, as
+    ``_n0``, ``_n1``, ... One pass over the postings of the searched words,
+    shuffled by message."""
+    every = list(dict.fromkeys(s for t in terms for s in slots(t)))
     hits = postings.filter(Q._any(holds(s) for s in every))
-    if all(t.kind in ("word", "prefix") and t.columns is None for t in terms):
-        return hits.groupBy(*LOCATION).agg(F.max("dl").alias("_dl"), *[
-            F.coalesce(F.sum(F.when(holds(_slots(t)[0]), F.col("tf"))), F.lit(0)).alias(f"_n{i}")
+    if all(is_plain(t) for t in terms):
+        return hits.groupBy(*keys).agg(F.max("dl").alias("_dl"), *[
+            F.coalesce(F.sum(F.when(holds(slots(t)[0]), F.col("tf"))), F.lit(0)).alias(f"_n{i}")
             for i, t in enumerate(terms)])
     # A prefix may stand for several terms; their positions are put together.
     seats = [F.flatten(F.collect_list(F.when(holds(s), F.col("positions")))) if s[1]
              else F.max(F.when(holds(s), F.col("positions"))) for s in every]
-    per_column = hits.repartition(*LOCATION).groupBy(*LOCATION, "column").agg(
+    per_column = hits.repartition(*keys).groupBy(*keys, "column").agg(
         F.max("dl").alias("_dl"), *[c.alias(f"_p{k}") for k, c in enumerate(seats)])
-    counts = {}
+    found = {}
     for i, t in enumerate(terms):
         here = F.lit(True) if t.columns is None else F.col("column").isin(list(t.columns))
-        counts[f"_n{i}"] = F.when(here, _occurrences(t, every)).otherwise(F.lit(0).cast("long"))
-    return per_column.withColumns(counts).groupBy(*LOCATION).agg(
-        F.max("_dl").alias("_dl"), *[F.sum(n).alias(n) for n in counts])
-
-
-#: Rows beyond a page that are fetched with it, to settle ties at its end.
-TIES = 1000
-
-FOUND = T.StructType(_KEY + [T.StructField("relevance_score", T.DoubleType())])
-
-
-@dataclass(frozen=True)
-class Index:
-    """A stored text index. Searches read the postings of their words, once,
-    and no text; ``messages`` is the catalogue that the results are shown
-    from."""
-
-    spark: SparkSession
-    path: str
-    columns: tuple
-    stemmed: bool
-    buckets: int
-    size: int
-    tokens: int
-
-    def _found(self, terms, any_of):
-        """Location and score of all matching messages, as a table."""
-        if not any(not t.negated for t in terms):
-            raise ValueError("a search needs a term that must match")
-        for t in terms:
-            Q._columns(t, self.columns)
-        terms = [Q._stemmed(t) if self.stemmed else t for t in terms]
-        slots = {s for t in terms for s in _slots(t)}
-        postings = read_postings(
-            self.spark, self.path, sorted(w for w, opened in slots if not opened), self.buckets,
-            sorted(w for w, opened in slots if opened))
-        found = written(_counts(postings, terms), "found")
-        wanted = [i for i, t in enumerate(terms) if not t.negated]
-        positive = [F.col(f"_n{i}") > 0 for i in wanted]
-        test = Q._any(positive) if any_of else Q._all(positive)
-        test = test & Q._all(F.col(f"_n{i}") == 0 for i, t in enumerate(terms) if t.negated)
-        *matching, total = found.agg(*[F.count_if(c) for c in [*positive, test]]).first()
-        score = Q.bm25([F.col(f"_n{i}") for i in wanted], [F.lit(n) for n in matching],
-                       F.col("_dl"), F.lit(self.size), F.lit(self.tokens))
-        return found.filter(test).select(*LOCATION, score.alias("relevance_score")), total
-
-    def matches(self, messages, terms, where=None, any_of=False):
-        """All matching messages with ``relevance_score`` and
-        ``total_results``."""
-        found, total = self._found(terms, any_of)
-        keys = joins.keys_for_join(found)
-        rows = messages if where is None else messages.filter(where)
-        count = F.lit(total) if where is None else rows.select(*LOCATION).join(
-            keys, list(LOCATION)).agg(F.count("*")).scalar()
-        return rows.join(keys, list(LOCATION)).select(
-            *messages.columns, "relevance_score", count.alias("total_results"))
-
-    def page(self, messages, terms, where=None, any_of=False, limit=100, offset=0):
-        """The best matches: rows that the page may hold, with the score and
-        the number of all matches. Only their catalogue rows are looked up;
-        a filter reads its own columns of the catalogue."""
-        found, total = self._found(terms, any_of)
-        if where is not None:
-            inside = messages.filter(where).select(*LOCATION)
-            found = written(inside.join(joins.keys_for_join(found), list(LOCATION)), "passing")
-            total = found.count()
-        # Ties at the end of the page are settled by catalogue columns.
-        wanted = limit + offset
-        top = found.select(*LOCATION, "relevance_score").orderBy(
-            F.desc("relevance_score")).limit(wanted + TIES).collect()
-        last = top[wanted - 1][2] if 0 < wanted <= len(top) else None
-        if last is not None and len(top) == wanted + TIES and top[-1][2] == last:
-            best, rows = found.filter(F.col("relevance_score") >= F.lit(last)), messages
-        else:
-            top = [r for r in top if last is None or r[2] >= last]
-            best = self.spark.createDataFrame([tuple(r) for r in top], FOUND)
-            rows = messages.filter(F.col("archive_file").isin(sorted({r[0] for r in top})))
-        # At most the page and its ties.
-        return rows.join(joins.keys_for_join(best), list(LOCATION)).select(
-            *messages.columns, "relevance_score", F.lit(total).alias("total_results"))
+        found[f"_n{i}"] = F.when(here, _occurrences(t, every)).otherwise(F.lit(0).cast("long"))
+    return per_column.withColumns(found).groupBy(*keys).agg(
+        F.max("_dl").alias("_dl"), *[F.sum(n).alias(n) for n in found])
 
 
 def compare_index(messages, indexed):

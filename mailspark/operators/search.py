@@ -1,11 +1,12 @@
 """Search over message tables.
 
-Full-text searches take ``index=`` (``operators.index.open_index``) and then
+Full-text searches take ``index=`` (``operators.segments.open_index``) and then
 read the postings of their words only. Without one a search is a narrow pass
 over the texts: filters first, then term counts inside each row, then a top-k.
 Nothing is shuffled but the k best rows of each task; corpus statistics come
 from a scalar subquery."""
 
+import math
 import re
 from dataclasses import dataclass, replace
 
@@ -234,6 +235,18 @@ def bm25(counts, matching, length, total, tokens):
     )
 
 
+def bm25_sql(counts, lengths, matching, total, tokens):
+    """The same score as SQL text, where the statistics are known: ``counts``,
+    ``lengths`` and ``matching`` run in parallel."""
+    average = tokens / total if total else 1.0
+    terms = []
+    for tf, length, n in zip(counts, lengths, matching):
+        weight = max(math.log((total - n + 0.5) / (n + 0.5)), IDF_FLOOR)
+        terms.append(f"{weight!r}D * {tf} * {K1 + 1!r}D / ({tf} + {K1!r}D * "
+                     f"({1 - B!r}D + {B!r}D * {length} / {average!r}D))")
+    return "(" + " + ".join(terms) + ")"
+
+
 def text_columns(messages):
     """What a search looks at: whole texts where the table has them."""
     return tuple("body" if c == "body_preview" and "body" in messages.columns else c

@@ -14,6 +14,7 @@ from mailspark.operators import joins as J
 from mailspark.operators import quality as Q
 from mailspark.operators import reports as A
 from mailspark.operators import search as S
+from mailspark.operators import segments as SG
 from mailspark.operators import tables as M
 from mailspark.operators.parse import parse_messages
 from mailspark.schema import LOCATION
@@ -29,6 +30,7 @@ class Outcome:
 
     messages: DataFrame | None = None
     reports: dict = field(default_factory=dict)
+    index: SG.SegmentedIndex | None = None
 
 
 def import_archives(spark, paths, messages, mapping=None, skip_duplicates=True,
@@ -58,14 +60,25 @@ def import_archives(spark, paths, messages, mapping=None, skip_duplicates=True,
 WHOLE = ("subject", "from_addr", "to_addr", "body")
 
 
-def index_archives(spark, paths, path, columns=WHOLE, stemmed=True, buckets=I.BUCKETS):
+def index_archives(spark, paths, path, columns=WHOLE, stemmed=True, buckets=SG.BUCKETS):
     """Builds the text index of archives from the whole texts of their
     messages, under ``path``, and opens it. Each message is parsed once."""
+    index = SG.create(spark, path, columns, stemmed, buckets)
+    return index.add(written(_whole_texts(spark, paths, columns), "texts"))
+
+
+def _whole_texts(spark, paths, columns):
     files = mbox.require_sources(paths)
     parsed = parse_messages(mbox.read_mbox(spark, paths, files=files), whole_body=True)
-    texts = written(parsed.filter("parse_error IS NULL").select(*LOCATION, *columns), "texts")
-    return I.write_index(I.build_index(texts, columns, stemmed), I.doc_stats(texts, columns), path,
-                         buckets, columns, stemmed)
+    return parsed.filter("parse_error IS NULL").select(*LOCATION, *columns)
+
+
+def index_more(spark, paths, index):
+    """The next version of an index, with what it lacks of these archives.
+    Earlier segments stay; segments of like size are merged."""
+    texts = written(_whole_texts(spark, paths, index.columns), "texts")
+    held = index.docs().select(*LOCATION)
+    return index.add(texts.join(held, list(LOCATION), "left_anti")).merge()
 
 
 def _record_imports(per_file, account_id, runs_path, at):
@@ -259,22 +272,56 @@ def verify(spark, paths, messages, indexed, present):
         "health": Q.health_report(messages, indexed, present)})
 
 
-def repair(spark, paths, messages, postings, lengths, backfill=True, dry_run=True, **index):
+def _holding(paths, names):
+    """The files among the paths that a table names (archive_file). The driver
+    lists the files anyway."""
+    wanted = {r.archive_file for r in names.select("archive_file").distinct().collect()}
+    return [f for f in mbox.require_sources(paths) if f[0] in wanted]
+
+
+def repair(spark, paths, messages, postings=None, lengths=None, backfill=True, dry_run=True,
+           index=None, **options):
     """Index orphans dropped, missing messages indexed, and bad locations
-    filled in from the archives. A dry run only counts."""
+    filled in from the archives. A dry run only counts.
+
+    The index is either given as tables, which are made anew, or as a stored
+    ``index``: then only tombstones and a segment of what was missing are
+    written, and the next version is in the outcome. Of the archives only
+    those that hold a bad row or a missing message are read."""
+    held = lengths if index is None else index.docs()
     reports = {
-        "index": Q.repair_counts(messages, lengths),
+        "index": Q.repair_counts(messages, held),
         "offsets": S.invalid_offsets(messages).agg(F.count("*").alias("invalid_offsets")),
     }
     if dry_run:
-        return Outcome(messages, reports)
+        return Outcome(messages, reports, index)
     if backfill:
-        archived = written(parse_messages(mbox.read_mbox(spark, paths)), "parsed")
-        repaired = written(J.backfill_offsets(messages, archived), "repaired")
+        files = _holding(paths, S.invalid_offsets(messages))
+        repaired = messages.withColumn("backfilled", F.lit(False))
+        if files:
+            archived = written(parse_messages(mbox.read_mbox(spark, paths, files=files)), "parsed")
+            repaired = written(J.backfill_offsets(messages, archived), "repaired")
         reports["backfilled"] = repaired.agg(F.count_if("backfilled").alias("backfilled"))
         messages = repaired.drop("backfilled")
-    reports["postings"], reports["lengths"] = I.repair_index(messages, postings, lengths, **index)
-    return Outcome(messages, reports)
+    if index is not None:
+        index = _synced(spark, paths, messages, index)
+    else:
+        reports["postings"], reports["lengths"] = I.repair_index(messages, postings, lengths, **options)
+    return Outcome(messages, reports, index)
+
+
+def _synced(spark, paths, messages, index):
+    """The index without orphans and with what it lacked, from the texts in
+    the archives."""
+    differing = written(index.differences(messages), "differing")
+    index = index.drop(differing.filter("status = 'orphaned'"))
+    missing = differing.filter("status = 'missing'").select(*LOCATION)
+    files = _holding(paths, missing)
+    if not files:
+        return index
+    texts = parse_messages(mbox.read_mbox(spark, paths, files=files), whole_body=True).select(
+        *LOCATION, *index.columns)
+    return index.add(written(texts.join(J.keys_for_join(missing), list(LOCATION), "left_semi"), "texts"))
 
 
 def upgrade_catalogue(spark, catalogue, declared_version=None, paths=None, account_id="default"):

