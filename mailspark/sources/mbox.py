@@ -1,15 +1,18 @@
 """The ``mbox`` data source: one row per message of plain or compressed mbox
-files. A plain file, and a zstd file with a table of its frames, is read in
-byte ranges; a range owns the messages whose separator line starts inside it.
-Small files share a partition."""
+files. A plain file, and a compressed one that tells where its frames are, is
+read in byte ranges of its content; a range owns the messages whose separator
+line starts inside it. Small files share a partition."""
 
 import json
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 from mailspark.schema import RAW_MESSAGES
+from mailspark.session import written
 from mailspark.sources import storage
 from mailspark.sources.storage import (
     codec_of, list_files, open_at, open_decoded, open_random, seek_table,
@@ -31,7 +34,9 @@ ARROW = pa.schema([
 
 @dataclass
 class MboxSplit(InputPartition):
-    """(path, start, end) pieces; ``end`` is None for a compressed file."""
+    """(path, start, end) pieces; ``end`` is None for a compressed file that
+    is read whole. A fourth value is the frame to enter it by: its places in
+    the file and in the content."""
 
     pieces: tuple
 
@@ -78,10 +83,11 @@ def records(stream, start, end):
 def read_pieces(pieces):
     """Record batches of the messages of some pieces."""
     columns, size = ([], [], [], []), 0
-    for path, start, end in pieces:
+    for path, start, end, *point in pieces:
         codec = codec_of(path)
         if codec and end is not None:
-            stream = open_at(path, max(start - 1, 0), seek_table(path))
+            table = ([point[0][0]], [point[0][1]], end, None) if point else seek_table(path)
+            stream = open_at(path, max(start - 1, 0), table)
         else:
             stream = open_decoded(path, codec) if codec else open_random(path)
         with stream:
@@ -104,11 +110,20 @@ def _batch(columns):
         [pa.array(c, f.type) for c, f in zip(columns, ARROW)], schema=ARROW)
 
 
-def plan_splits(files, split_bytes):
+def plan_splits(files, split_bytes, points=None):
     """Cuts large files that can be entered in the middle, and packs what is
-    small together. The frame table is read of large zstd files only."""
+    small together. The frame table is read of large files only; ``points``
+    has frames of files without one, by path: [(place in the file, place in
+    the content)], the last one standing for the end."""
     out, pack, packed = [], [], 0
     for path, size in files:
+        if path in (points or {}):
+            *frames, (_, whole) = points[path]
+            # A range needs the byte before it, so it starts one behind a frame.
+            starts = [plain + 1 if plain else 0 for _, plain in frames]
+            out.extend(((path, start, end, tuple(frame)),) for frame, start, end in zip(
+                frames, starts, [*starts[1:], whole + 1]))
+            continue
         if size > split_bytes:
             table = seek_table(path)
             whole = size if codec_of(path) is None else table[2] if table else None
@@ -144,7 +159,8 @@ class MboxReader(DataSourceReader):
         # Little data is cut finer, so that every core gets a share.
         share = sum(files.values()) // int(self.options.get("parallelism", 1))
         size = min(size, max(share, SMALLEST_SPLIT))
-        return plan_splits(sorted(files.items()), size) or [MboxSplit(())]
+        points = json.loads(self.options.get("points", "{}"))
+        return plan_splits(sorted(files.items()), size, points) or [MboxSplit(())]
 
     def read(self, partition):
         yield from read_pieces(partition.pieces)
@@ -185,9 +201,11 @@ class MboxDataSource(DataSource):
         return PruningMboxReader(self.options) if pruning else MboxReader(self.options)
 
 
-def read_mbox(spark, paths, split_bytes=SPLIT_BYTES, files=None):
+def read_mbox(spark, paths, split_bytes=SPLIT_BYTES, files=None, points=None):
     """Messages of mbox files, folders or globs. ``files`` is what
-    ``require_sources`` found for them; with it nothing is listed again."""
+    ``require_sources`` found for them; with it nothing is listed again.
+    ``points`` (``access_points``) lets gzip files of other makers be read by
+    several tasks."""
     spark.dataSource.register(MboxDataSource)
     paths = [paths] if isinstance(paths, str) else list(paths)
     # Spark refuses readers that take filters unless this setting is on.
@@ -197,9 +215,48 @@ def read_mbox(spark, paths, split_bytes=SPLIT_BYTES, files=None):
               .option("parallelism", spark.sparkContext.defaultParallelism))
     if files is not None:
         reader = reader.option("files", json.dumps([f[:2] for f in files]))
+    if points:
+        reader = reader.option("points", json.dumps(points))
     return reader.load()
 
 
+def access_points(spark, files, split_bytes=SPLIT_BYTES):
+    """{path: [(place in the file, place in the content)]} of gzip files that
+    have several members but do not tell where. Ranges of the files are looked
+    through by many tasks, each member being decoded once; the driver learns
+    one point per split and the end. A file of one member has none and stays
+    with one task."""
+    large = [(f[0], f[1]) for f in files if codec_of(f[0]) == "gzip" and f[1] > split_bytes]
+    if not large:
+        return {}
+
+    def find(batches):
+        for b in batches:
+            for path, start, end in zip(*(b.column(c).to_pylist() for c in ("path", "start", "end"))):
+                found = list(storage.gzip_members(path, start, end))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path] * len(found), pa.string()), pa.array([m[0] for m in found], pa.int64()),
+                     pa.array([m[1] for m in found], pa.int64())], names=["path", "place", "size"])
+
+    step = F.lit(split_bytes)
+    pieces = spark.createDataFrame(large, "path string, bytes long").select(
+        "path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, step)).alias("start"))
+    members = written(
+        pieces.select("path", "start", (F.col("start") + step).alias("end")).repartition("path", "start")
+        .mapInArrow(find, "path string, place long, size long"), "members")
+    inside = W.partitionBy("path").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
+    places = members.withColumn("plain", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    firsts = places.groupBy("path", F.floor(F.col("plain") / step).alias("split")).agg(
+        F.min_by("place", "plain").alias("place"), F.min("plain").alias("plain"))
+    ends = members.groupBy("path").agg(F.sum("size").alias("plain"))
+    out = {}
+    for r in firsts.orderBy("path", "plain").collect():
+        out.setdefault(r.path, []).append((r.place, r.plain))
+    for r in ends.collect():
+        out[r.path].append((None, r.plain))
+    return {path: found for path, found in out.items() if len(found) > 2}
+
+
 def require_sources(paths):
     """[(file, size, position of the first path that names it)], each path
     listed once; a path without a file is an error."""

@@ -9,6 +9,7 @@ import lzma
 import posixpath
 import re
 import struct
+import zlib
 
 from pyarrow import fs
 
@@ -127,7 +128,7 @@ def decoder(raw, codec):
 def compress_bytes(data, codec):
     """One complete frame; frames may be joined to one file."""
     if codec == "gzip":
-        return gzip.compress(data, mtime=0)
+        return _sized_member(data)
     if codec == "lzma":
         return lzma.compress(data)
     import zstandard
@@ -151,43 +152,236 @@ def seek_table_bytes(frames):
 
 
 def seek_table(path):
-    """([compressed start], [uncompressed start], uncompressed size) of the
-    frames of a zstd file, or None if it has no table."""
-    if codec_of(path) != "zstd":
+    """([compressed start], [uncompressed start], uncompressed size, [length])
+    of the frames of a compressed file that tells them: a zstd file with a
+    table, an xz file by the indexes of its streams, a gzip file whose members
+    carry their sizes. None for others. Lengths are of xz blocks only."""
+    tables = {"zstd": _zstd_table, "lzma": _xz_table, "gzip": _gzip_table}
+    read = tables.get(codec_of(path))
+    if read is None:
         return None
     system, inner = resolve(path)
     with system.open_input_file(inner) as f:
-        size = f.size()
-        if size < struct.calcsize(_FOOTER):
-            return None
-        f.seek(size - struct.calcsize(_FOOTER))
-        count, flags, end = struct.unpack(_FOOTER, f.read(struct.calcsize(_FOOTER)))
-        entry = struct.calcsize(_ENTRY) + (4 if flags & 0x80 else 0)
-        length = count * entry + struct.calcsize(_FOOTER)
-        if end != TABLE_END or flags & 0x7F or length + struct.calcsize(_ENTRY) > size:
-            return None
-        f.seek(size - length - struct.calcsize(_ENTRY))
-        if struct.unpack(_ENTRY, f.read(struct.calcsize(_ENTRY))) != (SKIPPABLE, length):
-            return None
-        table = f.read(count * entry)
-    packed, plain, at, offset = [], [], 0, 0
-    for i in range(count):
+        return read(f, f.size())
+
+
+def _at(f, offset, size):
+    f.seek(offset)
+    return f.read(size)
+
+
+def _zstd_table(f, size):
+    if size < struct.calcsize(_FOOTER):
+        return None
+    count, flags, end = struct.unpack(_FOOTER, _at(f, size - struct.calcsize(_FOOTER), struct.calcsize(_FOOTER)))
+    entry = struct.calcsize(_ENTRY) + (4 if flags & 0x80 else 0)
+    length = count * entry + struct.calcsize(_FOOTER)
+    if end != TABLE_END or flags & 0x7F or length + struct.calcsize(_ENTRY) > size:
+        return None
+    head = _at(f, size - length - struct.calcsize(_ENTRY), struct.calcsize(_ENTRY))
+    if struct.unpack(_ENTRY, head) != (SKIPPABLE, length):
+        return None
+    table = f.read(count * entry)
+    return _summed([struct.unpack_from(_ENTRY, table, i * entry) for i in range(count)])
+
+
+def _summed(frames, at=0):
+    """Frames given as (compressed, uncompressed) sizes, one after another."""
+    packed, plain, offset = [], [], 0
+    for c, u in frames:
         packed.append(at)
         plain.append(offset)
-        c, u = struct.unpack_from(_ENTRY, table, i * entry)
         at, offset = at + c, offset + u
-    return packed, plain, offset
+    return packed, plain, offset, None
+
+
+# An xz file is a row of streams. A stream is a header, blocks, an index of the
+# blocks' sizes and a footer that tells the index's size (the format is
+# public). A block can be decoded by itself behind the header of its stream.
+
+# Magic bytes of a stream's header and footer.
+XZ_START, XZ_END = b"\xfd7zXZ\0", b"YZ"
+_EDGE = 12
+
+
+def _number(data, at):
+    """(value, next position) of a number in seven-bit groups, low ones
+    first."""
+    value = shift = 0
+    while True:
+        byte = data[at]
+        value |= (byte & 0x7F) << shift
+        at, shift = at + 1, shift + 7
+        if byte < 0x80:
+            return value, at
+
+
+def _xz_table(f, size):
+    """Read from the end, as the footers are found there. Besides the starts
+    it keeps the length of each block and the header of its stream."""
+    streams, end = [], size
+    while end > 0:
+        if end >= 4 and _at(f, end - 4, 4) == b"\0\0\0\0":
+            end -= 4
+            continue
+        if end < 2 * _EDGE:
+            return None
+        footer = _at(f, end - _EDGE, _EDGE)
+        length = 4 * (struct.unpack_from("<I", footer, 4)[0] + 1)
+        if footer[-2:] != XZ_END or length + 2 * _EDGE > end:
+            return None
+        index = _at(f, end - _EDGE - length, length)
+        if struct.unpack("<I", index[-4:])[0] != zlib.crc32(index[:-4]) or index[0]:
+            return None
+        count, at = _number(index, 1)
+        sizes = []
+        for _ in range(count):
+            unpadded, at = _number(index, at)
+            plain, at = _number(index, at)
+            sizes.append((unpadded, plain))
+        start = end - 2 * _EDGE - length - sum(-(-c // 4) * 4 for c, _ in sizes)
+        header = _at(f, start, _EDGE) if start >= 0 else b""
+        if not header.startswith(XZ_START):
+            return None
+        streams.append((start, header, sizes))
+        end = start
+    packed, plain, offset, blocks = [], [], 0, []
+    for start, header, sizes in reversed(streams):
+        starts, _, _, _ = _summed([(-(-c // 4) * 4, u) for c, u in sizes], start + _EDGE)
+        for at, (length, u) in zip(starts, sizes):
+            packed.append(at)
+            plain.append(offset)
+            blocks.append((header, length))
+            offset += u
+    return packed, plain, offset, blocks
+
+
+class _XzBlocks(io.RawIOBase):
+    """Content of the blocks of an xz file from one of them on."""
+
+    def __init__(self, raw, table, block):
+        self.raw, self.table, self.block = raw, table, block
+        self.decoder, self.left = None, 0
+
+    def readable(self):
+        return True
+
+    def readinto(self, buffer):
+        packed, _, _, blocks = self.table
+        while True:
+            if self.decoder is None:
+                if self.block >= len(packed):
+                    return 0
+                header, self.left = blocks[self.block]
+                self.raw.seek(packed[self.block])
+                self.decoder = lzma.LZMADecompressor(lzma.FORMAT_XZ)
+                self.decoder.decompress(header)
+                self.block += 1
+            fed = b""
+            if self.decoder.needs_input and self.left:
+                fed = self.raw.read(min(1 << 16, self.left))
+                if not fed:
+                    raise EOFError("the xz file ends inside a block")
+                self.left -= len(fed)
+            out = self.decoder.decompress(fed, len(buffer))
+            if out:
+                buffer[:len(out)] = out
+                return len(out)
+            if not self.left and self.decoder.needs_input:
+                self.decoder = None
+
+    def close(self):
+        self.raw.close()
+        super().close()
+
+
+# A gzip file is a row of members, whose headers may carry fields of any kind.
+# Members made here carry their sizes, so that a reader can go from one to the
+# next; to other readers they are ordinary members.
+
+# Start of a member with an extra field, and the field's name.
+GZIP_START, GZIP_SIZES = b"\x1f\x8b\x08\x04", b"MS"
+_SIZED = "<4sIBBH2sHQQ"
+
+
+def _sized_member(data):
+    """A gzip member of the data that carries both its sizes."""
+    deflate = zlib.compressobj(9, zlib.DEFLATED, -15)
+    body = deflate.compress(data) + deflate.flush()
+    total = struct.calcsize(_SIZED) + len(body) + 8
+    return (struct.pack(_SIZED, GZIP_START, 0, 2, 255, 20, GZIP_SIZES, 16, total, len(data))
+            + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF))
+
+
+def _gzip_table(f, size):
+    frames, at = [], 0
+    while at < size:
+        head = _at(f, at, struct.calcsize(_SIZED))
+        if len(head) < struct.calcsize(_SIZED):
+            return None
+        start, _, _, _, extra, name, _, total, plain = struct.unpack(_SIZED, head)
+        if (start, extra, name) != (GZIP_START, 20, GZIP_SIZES) or total < len(head):
+            return None
+        frames.append((total, plain))
+        at += total
+    return _summed(frames) if at == size else None
+
+
+CHUNK = 1 << 20
+
+
+def gzip_members(path, start, end):
+    """(compressed start, uncompressed size) of the members of any gzip file
+    that start in a range of it. What looks like a start is one if it can be
+    decoded up to the member's checksum."""
+    system, inner = resolve(path)
+    with system.open_input_file(inner) as f:
+        at = start
+        while at < end:
+            held = _at(f, at, CHUNK + 3)
+            hit = held.find(GZIP_START[:3])
+            if hit < 0 or at + hit >= end:
+                at += CHUNK
+                continue
+            at += hit
+            found = _member(f, at)
+            if found is None:
+                at += 1
+            else:
+                yield at, found[1]
+                at += found[0]
+
+
+def _member(f, at):
+    """(compressed, uncompressed) size of the member at a place, or None."""
+    f.seek(at)
+    decoder, packed, plain = zlib.decompressobj(31), 0, 0
+    try:
+        while not decoder.eof:
+            fed = decoder.unconsumed_tail
+            if not fed:
+                fed = f.read(1 << 16)
+                packed += len(fed)
+                if not fed:
+                    return None
+            plain += len(decoder.decompress(fed, CHUNK))
+    except zlib.error:
+        return None
+    return packed - len(decoder.unused_data), plain
 
 
 def open_at(path, offset, table):
     """Byte stream of the uncompressed content from ``offset`` on."""
-    packed, plain, _ = table
+    packed, plain, _, blocks = table
     frame = max(bisect.bisect_right(plain, offset) - 1, 0)
     system, inner = resolve(path)
     raw = system.open_input_file(inner)
-    if packed:
-        raw.seek(packed[frame])
-    stream = decoder(raw, "zstd")
+    if blocks is not None:
+        stream = io.BufferedReader(_XzBlocks(raw, table, frame), 1 << 20)
+    else:
+        if packed:
+            raw.seek(packed[frame])
+        stream = decoder(raw, codec_of(path))
     left = offset - (plain[frame] if plain else 0)
     while left > 0:
         skipped = stream.read(min(1 << 20, left))

@@ -11,7 +11,8 @@ import zstandard
 from pyspark.sql import functions as F
 
 from mailspark.operators import parse as P
-from mailspark.sources import mbox
+from mailspark.sources import archives as IO
+from mailspark.sources import mbox, storage
 from mailspark.sources import tables as T
 from tests.data import mail, mbox_text
 
@@ -51,8 +52,10 @@ def test_ranges_equal_mailbox(tmp_path, monkeypatch, name, split):
     assert got == by_mailbox(path, len(FILES[name]))
 
 
-def test_small_files_share_a_partition():
-    files = [(f"f{i}.mbox", 10) for i in range(10)] + [("big.mbox", 95), ("c.mbox.gz", 400)]
+def test_small_files_share_a_partition(tmp_path):
+    packed = str(tmp_path / "c.mbox.gz")
+    (tmp_path / "c.mbox.gz").write_bytes(gzip.compress(b"of one member without sizes"))
+    files = [(f"f{i}.mbox", 10) for i in range(10)] + [("big.mbox", 95), (packed, 400)]
     splits = [s.pieces for s in mbox.plan_splits(files, 30)]
     assert sum(len(s) for s in splits) == 10 + 4 + 1
     assert max(len(s) for s in splits) == 3
@@ -204,8 +207,6 @@ def test_filters_prune_files(spark, tmp_path):
 def test_zstd_with_frame_table_is_split(spark, tmp_path):
     """One large zstd file gives several partitions and the same rows; other
     readers skip the table."""
-    from mailspark.sources import archives as IO
-
     mails = [mail(n % 28 + 1, message_id=f"<m{n}@x>", body=f"{n} " * 400 + "\n") for n in range(60)]
     plain = tmp_path / "a.mbox"
     plain.write_bytes(mbox_text(mails))
@@ -230,8 +231,6 @@ def test_zstd_with_frame_table_is_split(spark, tmp_path):
 
 def test_zstd_ranges_are_extracted_by_several_tasks(spark, tmp_path, monkeypatch):
     from mailspark.operators import ranges
-    from mailspark.sources import archives as IO
-
     monkeypatch.setattr(ranges, "RANGE_BYTES", 4000)
     mails = [mail(n % 28 + 1, message_id=f"<m{n}@x>", body=f"{n} " * 300 + "\n") for n in range(40)]
     plain = tmp_path / "a.mbox"
@@ -242,3 +241,80 @@ def test_zstd_ranges_are_extracted_by_several_tasks(spark, tmp_path, monkeypatch
     data = plain.read_bytes()
     assert all(bytes(r.raw) == data[r.mbox_offset:r.mbox_offset + r.mbox_length] for r in out)
     assert len(out) == 40 and all(r.status == "extracted" for r in out)
+
+
+# -------------------------------------------------- other codecs by their frames
+
+
+def many_mails(count=400):
+    return mbox_text([mail(n, body=f"line {n}\n" * (n % 37) + "From here on\n") for n in range(count)])
+
+
+def in_tasks(spark, path, **options):
+    rows = mbox.read_mbox(spark, str(path), **options)
+    return rows.rdd.getNumPartitions(), sorted(map(tuple, rows.select("mbox_offset", "mbox_length", "raw").collect()))
+
+
+@pytest.mark.parametrize("codec", ["gzip", "lzma", "zstd"])
+def test_frames_of_every_codec_are_split(spark, tmp_path, monkeypatch, codec):
+    """A file of many frames gives the rows of the plain file from several
+    partitions, and other tools read it."""
+    monkeypatch.setattr(mbox, "SMALLEST_SPLIT", 1000)
+    plain = tmp_path / "a.mbox"
+    plain.write_bytes(many_mails())
+    IO.compress_archives(spark, [str(plain)], codec, frame_bytes=5000).collect()
+    packed = next(p for p in tmp_path.iterdir() if p.name.startswith("a.mbox."))
+    with storage.open_decoded(str(packed)) as whole:
+        assert whole.read() == plain.read_bytes()
+    if codec == "gzip":
+        assert gzip.decompress(packed.read_bytes()) == plain.read_bytes()
+    want = in_tasks(spark, plain)[1]
+    tasks, rows = in_tasks(spark, packed, split_bytes=4000)
+    assert tasks > 2 and rows == want
+    table = storage.seek_table(str(packed))
+    assert table[2] == plain.stat().st_size and len(table[0]) > 5
+    for offset in (0, 1, 4999, 5000, 5001, 40_000, table[2] - 1, table[2]):
+        with storage.open_at(str(packed), offset, table) as stream:
+            assert stream.read(700) == plain.read_bytes()[offset:offset + 700]
+
+
+def test_xz_of_other_makers_is_split(spark, tmp_path, monkeypatch):
+    """Streams of one block each, with padding between them, and the old
+    format, which tells nothing."""
+    monkeypatch.setattr(mbox, "SMALLEST_SPLIT", 1000)
+    text = many_mails()
+    parts = [text[i:i + 20_000] for i in range(0, len(text), 20_000)]
+    path = tmp_path / "b.mbox.xz"
+    path.write_bytes(b"".join(lzma.compress(p, check=lzma.CHECK_CRC32) + b"\0" * 4 * (i % 3)
+                              for i, p in enumerate(parts)))
+    (tmp_path / "b.mbox").write_bytes(text)
+    tasks, rows = in_tasks(spark, path, split_bytes=5000)
+    assert tasks > 2 and rows == in_tasks(spark, tmp_path / "b.mbox")[1]
+    (tmp_path / "c.mbox.xz").write_bytes(lzma.compress(text, lzma.FORMAT_ALONE))
+    assert storage.seek_table(str(tmp_path / "c.mbox.xz")) is None
+    broken = bytearray(path.read_bytes())
+    broken[-20] ^= 1
+    (tmp_path / "d.mbox.xz").write_bytes(broken)
+    assert storage.seek_table(str(tmp_path / "d.mbox.xz")) is None
+    (tmp_path / "e.mbox.xz").write_bytes(b"")
+    assert storage.seek_table(str(tmp_path / "e.mbox.xz")) == ([], [], 0, [])
+
+
+def test_gzip_members_of_other_makers_are_found(spark, tmp_path, monkeypatch):
+    """Members without sizes are found by looking for them; bytes that look
+    like the start of one are none."""
+    monkeypatch.setattr(mbox, "SMALLEST_SPLIT", 1000)
+    text = many_mails() + b"\n" + b"\x1f\x8b\x08\x00 no member" * 50 + b"\n"
+    path, parts = tmp_path / "b.mbox.gz", [text[i:i + 9000] for i in range(0, len(text), 9000)]
+    path.write_bytes(b"".join(gzip.compress(p, compresslevel=0) for p in parts))
+    (tmp_path / "b.mbox").write_bytes(text)
+    want = in_tasks(spark, tmp_path / "b.mbox")[1]
+    assert storage.seek_table(str(path)) is None
+    files = mbox.require_sources(str(path))
+    points = mbox.access_points(spark, files, 30_000)
+    assert points[str(path)][0] == [0, 0] or points[str(path)][0] == (0, 0)
+    assert points[str(path)][-1][1] == len(text)
+    tasks, rows = in_tasks(spark, path, files=files, points=points)
+    assert tasks == len(points[str(path)]) - 1 > 2 and rows == want
+    (tmp_path / "one.mbox.gz").write_bytes(gzip.compress(text, compresslevel=0))
+    assert mbox.access_points(spark, mbox.require_sources(str(tmp_path / "one.mbox.gz")), 30_000) == {}
