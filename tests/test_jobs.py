@@ -389,6 +389,48 @@ def test_new_checkpoint_loses_nothing(spark, tmp_path):
     assert run("other", "compacted") == [f"<m{i}@x>" for i in range(1, 5)]
 
 
+def test_later_batches_read_no_earlier_one(spark, tmp_path, monkeypatch):
+    """Late copies are caught by the state, also after a restart; what cannot
+    be parsed is written down, once."""
+    (tmp_path / "in").mkdir()
+
+    def land(name, rows):
+        (tmp_path / "in" / name).write_text("\n".join(json.dumps(
+            {"id": i, "threadId": "t", "raw": raw}) for i, raw in rows))
+
+    def good(n):
+        return f"g{n}", base64.urlsafe_b64encode(mail(n, message_id=f"<m{n}@x>")).decode()
+
+    calls, earlier = [], imports._earlier
+    monkeypatch.setattr(imports, "_earlier", lambda s, p, own: calls.append(own) or earlier(s, p, own))
+
+    def run(state, out="out"):
+        stream = imports.landed_json(spark, str(tmp_path / "in"), max_files=1)
+        query = imports.import_stream(stream, str(tmp_path / out), str(tmp_path / state))
+        query.awaitTermination()
+        assert query.exception() is None
+        return (names(imports.read_imported(spark, str(tmp_path / out))),
+                sorted(r.gmail_id for r in imports.read_failures(spark, str(tmp_path / out)).collect()))
+
+    land("a.json", [good(1), good(2), ("bad1", "%%%"), good(2)])
+    land("b.json", [good(2), good(3), ("bad1", "%%%"), ("bad2", None)])
+    bad = ["bad1", "bad2"]
+    assert run("state") == ([f"<m{i}@x>" for i in (1, 2, 3)], bad)
+    first = len(calls)
+    assert [c for c in calls if c and not c.endswith("-000000000")] == []
+    land("c.json", [good(1), good(4)])
+    assert run("state") == ([f"<m{i}@x>" for i in (1, 2, 3, 4)], bad)
+    assert len(calls) == first
+    # Another checkpoint takes over: the ids of the catalogue fill its state.
+    land("d.json", [good(4), good(5)])
+    assert run("other")[0] == [f"<m{i}@x>" for i in range(1, 6)]
+    land("e.json", [good(n) for n in range(1, 7)])
+    calls.clear()
+    assert run("other")[0] == [f"<m{i}@x>" for i in range(1, 7)]
+    assert calls == []
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != imports.ROCKSDB
+
+
 # ----------------------------------------------------------------------- plans
 
 
