@@ -437,6 +437,24 @@ def import_stream(spark, sf_dir):
     return imports.read_imported(spark, target).select("rfc_message_id", "subject")
 
 
+@query(with_msgs("""SELECT DISTINCT 'imported' AS kind, rfc_message_id AS id FROM msgs
+    WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+  UNION ALL SELECT 'failed', gmail_id FROM msgs WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"""))
+def import_stream_failures(spark, sf_dir):
+    """Messages labelled toxic have landed unreadable; every row is accounted
+    for, and a second start of the job finds nothing new."""
+    source, target, state = (scratch(spark, n) for n in ("landed", "stream", "state"))
+    whole = spark.read.json(landed(spark, sf_dir))
+    bad = toxic(spark, sf_dir).withColumnRenamed("gmail_id", "id")
+    whole.join(bad, "id", "left").withColumn("raw", F.when(F.col("_bad"), F.lit("%%%")).otherwise(
+        F.col("raw"))).drop("_bad").write.json(source)
+    for _ in range(2):
+        imports.import_stream(imports.landed_json(spark, source), target, state, archived_at=at()).awaitTermination()
+    return imports.read_imported(spark, target).select(
+        F.lit("imported").alias("kind"), F.col("rfc_message_id").alias("id")).unionByName(
+        imports.read_failures(spark, target).select(F.lit("failed").alias("kind"), F.col("gmail_id").alias("id")))
+
+
 @query(with_msgs("""SELECT CAST(count(*) AS BIGINT) AS extracted, 0 AS failed, count(*) AS files,
     CAST(sum(stored_length) AS BIGINT) AS bytes FROM stored
   WHERE doc_id IN (SELECT doc_id FROM labels)""", RAW_SQL))
