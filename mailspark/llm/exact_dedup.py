@@ -9,6 +9,7 @@ lower-cased; null counts as empty.
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from mailspark.llm.common import table, whole_text
@@ -27,19 +28,52 @@ def normalised(text):
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+#: Layout of an index; one of another version is refused.
+LAYOUT = 2
+
+
+def digests(docs):
+    """(doc_id, digest) of each row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                       F.unhex(F.sha2(normalised(whole_text(docs)), 256)).alias("digest"))
+
+
 class DigestIndex:
-    """Index of the texts seen so far, as a table under ``path``."""
+    """Index of the texts seen so far, as a table under ``path``. Its layout is
+    stored beside it, under ``path`` + ``-layout``."""
 
     def __init__(self, spark, path, buckets=None):
         """Opens the index, or makes an empty one. ``buckets`` (default: the
-        shuffle partitions) is fixed when the index is made."""
-        self.spark, self.path = spark, path
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        shuffle partitions) is fixed when the index is made; the stored count
+        is used from then on, whatever the session's settings, and naming
+        another one is an error. So is a table without a stored layout: its
+        count is not known, and by a wrong one most entries would be missed."""
+        self.spark, self.path = spark, path.rstrip("/")
+        stored = self._stored()
+        if stored is None:
+            self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        elif stored.layout != LAYOUT or buckets not in (None, stored.buckets):
+            raise ValueError(f"{path} has layout {stored.layout} with {stored.buckets} buckets")
+        else:
+            self.buckets = stored.buckets
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
-            f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet "
+            f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, batch STRING, rows BIGINT) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS "
             f"LOCATION '{path}'")
+        if stored is None:
+            if not self.entries().isEmpty():
+                raise ValueError(f"{path} is no index, or one whose layout is lost")
+            spark.createDataFrame([(LAYOUT, self.buckets)], "layout int, buckets int").coalesce(1).write.parquet(
+                f"{self.path}-layout")
+
+    def _stored(self):
+        try:
+            return self.spark.read.parquet(f"{self.path}-layout").first()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
 
     def entries(self):
         return self.spark.table(self.name)
@@ -48,27 +82,32 @@ class DigestIndex:
         """Deduplicates a batch and appends its new texts.
 
         Returns a row per document: doc_id, keep_id, group_size (rows of the
-        batch with that text), kept, known (the index had the text before) and
-        digest. The largest doc_id of a new text stays; of a known text, the
-        document of the earlier batch. Rows that repeat the kept doc_id are
-        that document and are all marked; ``survivors`` gives one of them. A
-        group of null ids only has keep_id null and is marked whole.
+        batch with that text, and of the batch that brought it, if known),
+        kept, known (the index had the text before) and digest. The largest
+        doc_id of a new text stays; of a known text, the document of the
+        earlier batch. Rows that repeat the kept doc_id are that document and
+        are all marked; ``survivors`` gives one of them. A group of null ids
+        only has keep_id null and is marked whole.
         """
-        slim = written(docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.unhex(F.sha2(normalised(whole_text(docs)), 256)).alias("digest")), "digests")
+        return self.ingest_digests(written(digests(docs), "digests"), batch)
+
+    def ingest_digests(self, slim, batch):
+        """``ingest`` of rows (doc_id, digest) that are written down."""
         # Written, since the optimizer would move the anti-join below the
         # aggregate, and shuffle all rows of a hot text to one task.
         groups = written(slim.groupBy("digest").agg(
             F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("group_size")), "groups")
         fresh = groups.hint("merge").join(self.entries().select("digest"), "digest", "left_anti")
-        (fresh.select("digest", F.col("last_id").alias("keep_id"), F.lit(batch).alias("batch"))
+        (fresh.select("digest", F.col("last_id").alias("keep_id"), F.lit(batch).alias("batch"),
+                      F.col("group_size").alias("rows"))
          .repartition(self.buckets, "digest").sortWithinPartitions("digest")
          .write.insertInto(self.name))
         self.spark.catalog.refreshTable(self.name)
+        known = F.col("batch") != batch
         settled = (
             groups.hint("merge").join(self.entries(), "digest")
-            .select("digest", "keep_id", "group_size", (F.col("batch") != batch).alias("known"))
+            .select("digest", "keep_id", known.alias("known"),
+                    (F.col("group_size") + F.when(known, F.col("rows")).otherwise(0)).alias("group_size"))
         )
         rows = slim.count()
         hot = written(settled.filter(F.col("group_size") * HOT_SHARE > rows), "hot-digests")
@@ -125,8 +164,18 @@ def survivors(docs, index=None, batch="documents"):
 
 
 def op9_digest_index(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return new_index(spark).ingest(docs, "documents").select(
+    """The table comes in two batches, the upper half of the ids first, so the
+    document of the earlier batch is that of the largest id."""
+    slim = written(digests(table(spark, sf_dir, "documents")), "digests")
+    middle = slim.agg(F.avg("doc_id")).first()[0]
+    later = F.coalesce(F.col("doc_id") > F.lit(middle), F.lit(False))
+    index = new_index(spark)
+    first = index.ingest_digests(slim.filter(later), "later ids")
+    second = written(index.ingest_digests(slim.filter(~later), "earlier ids"), "second-batch")
+    # Texts of both batches: what the second one counted holds for the first.
+    both = second.filter("known").groupBy("digest").agg(F.max("group_size").alias("total"))
+    first = first.join(both, "digest", "left").withColumn("group_size", F.coalesce("total", "group_size"))
+    return first.drop("total").unionByName(second).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -55,6 +56,47 @@ def test_exact_batches(spark, tmp_path):
     assert "Bucketed: true" in plan
 
 
+def test_index_reopened_under_other_settings(spark, tmp_path):
+    """The bucket count is the index's own, not the session's."""
+    docs = documents(spark, [(i, f"text number {i}", "a") for i in range(200)])
+    name, path = "spark.sql.shuffle.partitions", str(tmp_path / "index")
+    before = spark.conf.get(name)
+    try:
+        for count, batch in ((8, "one"), (3, "two"), (13, "three")):
+            spark.conf.set(name, count)
+            rows = exact_dedup.DigestIndex(spark, path).ingest(docs, batch).collect()
+            assert len(rows) == 200 and all(r.known == (batch != "one") for r in rows)
+            assert all(r.kept == (batch == "one") for r in rows)
+    finally:
+        spark.conf.set(name, before)
+    again = exact_dedup.DigestIndex(spark, path, 8)
+    assert again.buckets == 8 and again.entries().count() == 200
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, path, 4)
+    spark.createDataFrame([(b"x" * 32, 1, "old", 1)], "digest binary, keep_id long, batch string, rows long").write.parquet(
+        str(tmp_path / "bare"))
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, str(tmp_path / "bare"))
+
+
+def test_second_batch_meets_the_first(spark, tmp_path):
+    """Half of a group of copies in either batch, with null and repeated ids."""
+    rows = [(i, f"Copy of {'many' if i % 3 == 0 else i % 7}", "a") for i in range(90)]
+    rows += [(None, "copy of many", "a"), (None, "alone", "a"), (89, "COPY OF MANY", "b")]
+    documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = exact_dedup.op9_digest_index(spark, str(tmp_path)).collect()
+    groups = {}
+    for i, text, _ in rows:
+        groups.setdefault(text.lower(), []).append(i)
+    want = []
+    for i, text, _ in rows:
+        ids = groups[text.lower()]
+        last = max((x for x in ids if x is not None), default=None)
+        want.append((i, last, len(ids), i == last))
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.keep_id, r.group_size, r.kept)) for r in got)
+
+
+
 def brute_fingerprint(text):
     words = lowered(text).replace("\x0b", " ").replace("\x0c", " ")
     for c in "\t\n\r":
