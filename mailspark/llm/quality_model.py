@@ -233,7 +233,9 @@ def train(df, labels, vectors, sample=SAMPLE):
     """Network fitted on at most ``sample`` labelled documents that are not
     held out. A document with several labels has the more frequent one (a tie:
     1); labels without an id or value, and of unknown documents, don't count.
-    None without labels of both kinds."""
+    Of rows that repeat an id, the text of the least digest is learned from, so
+    the scores don't depend on the order of the rows. None without labels of
+    both kinds."""
     order = F.md5(F.concat(F.lit(f"{SEED}:"), F.col("doc_id").cast("string")))
     chosen = (
         labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~held_out(F.col("doc_id")))
@@ -241,8 +243,10 @@ def train(df, labels, vectors, sample=SAMPLE):
         .orderBy(order, "doc_id").limit(sample)
     )
     chosen = written(chosen, "label-sample")
+    text = F.coalesce("text", F.lit(""))
     rows = (
         df.join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
+        .groupBy("doc_id", "label").agg(F.min_by(text, F.sha2(text, 256)).alias("text"))
         .select("doc_id", "label", _pooled(vectors)("text").alias("x")).collect()
     )
     rows = {r["doc_id"]: r for r in rows}

@@ -145,3 +145,13 @@ def test_odd_rows_pass(spark, sf_dir, rows):
     docs = documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
     out = list(stages(spark, docs, sf_dir))[-1].collect()
     assert len(out) == len({r.doc_id for r in out})
+
+
+def test_scores_with_repeated_ids_do_not_depend_on_the_order(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    again = docs.filter("doc_id < 40").selectExpr("doc_id", "concat('another text ', text, ' spam spam') AS text")
+    whole = docs.unionByName(again)
+    one, other = ({(r.doc_id, r.score) for r in quality_model.scored(rows, labels).collect()}
+                  for rows in (whole.repartition(7), whole.orderBy("text").coalesce(2)))
+    assert {(i, round(s, 9)) for i, s in one} == {(i, round(s, 9)) for i, s in other}
