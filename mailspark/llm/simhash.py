@@ -287,7 +287,9 @@ def survivors(df, radius=RADIUS):
     row = F.struct(*[F.col(f"`{c}`") for c in names])
     repeated = (
         kept.filter("__repeated").withColumn("__fp", _simhash(F.col("text")))
-        .join(marks.hint("shuffle_hash"), (F.col("__fp") == F.col("__mark"))
+        # Null-safe, though none is null: else the fingerprint's not being null
+        # would be tested on all rows, before the join.
+        .join(marks.hint("shuffle_hash"), F.col("__fp").eqNullSafe(F.col("__mark"))
               & F.col("doc_id").eqNullSafe(F.col("__leader")))
         .groupBy("__mark").agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`") for c in names])).alias("row"))
         .select("row.*")
