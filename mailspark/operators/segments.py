@@ -455,13 +455,17 @@ class SegmentedIndex:
         return counted.filter(_matching(terms, any_of)).selectExpr(
             "segment", "doc", f"{score} AS relevance_score")
 
-    def _search(self, terms, any_of):
-        """(segment, doc, relevance_score) of all matches, and their number."""
+    def _search(self, terms, any_of, held=None):
+        """(segment, doc, relevance_score) of all matches, and their number.
+        Counts from positions are kept, and told in ``held``, for a caller that
+        reads them again and lets go of them."""
         rows = self._candidates(terms)
         if all(I.is_plain(t) for t in terms):
             _, total, *matching = self._totals(rows, terms, any_of)
             return self._ranked(self._counted(terms), terms, any_of, matching), total
         found = self._placed(terms, rows)
+        if held is not None:
+            held.append(found.persist())
         total, *matching = found.selectExpr(f"count_if({_matching(terms, any_of)})", *[
             f"count_if(_n{i} > 0)" for i in _positive(terms)]).first()
         return self._ranked(found, terms, any_of, matching), total
@@ -515,10 +519,15 @@ class SegmentedIndex:
             if all(I.is_plain(t) for t in terms):
                 top, total = self._best(searched, any_of, wanted, passing)
             else:
-                found, total = self._search(searched, any_of)
-                if passing is not None and total:
-                    total = passing.join(self._located(found), list(LOCATION)).count()
-                top = self._first(found, wanted, passing) if total and wanted else []
+                held = []
+                try:
+                    found, total = self._search(searched, any_of, held)
+                    if passing is not None and total:
+                        total = passing.join(self._located(found), list(LOCATION)).count()
+                    top = self._first(found, wanted, passing) if total and wanted else []
+                finally:
+                    for rows in held:
+                        rows.unpersist()
         if top is None:
             return self.matches(messages, terms, where, any_of)
         best = self.spark.createDataFrame([tuple(r) for r in top], _TOP)
