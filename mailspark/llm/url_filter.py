@@ -10,8 +10,11 @@ left out of the counts.
 
 The models are tables: each URL gives its character n-grams, which are counted
 once, shorter n-grams are sums of longer ones, and the probability of each
-n-gram is joined back. Nothing is pruned; the tables grow with the corpus and
-are joined by size, not broadcast by hand.
+n-gram is joined back. Rows of n-grams carry the number of their URL, so bytes
+grow with its length. Nothing is pruned; the tables grow with the corpus and are
+joined by a shuffle, but for the n-grams that are more than 1 in ``OFTEN`` of all
+(fewer than ``OFTEN``, whatever the data), which are broadcast: those that every
+URL has make no hot key.
 """
 
 import math
@@ -37,6 +40,9 @@ HELD_OUT = 5
 #: Width of the bins of scores that the calibration reads.
 BIN = 0.01
 
+#: n-grams that make up more than one in this many are joined by broadcast.
+OFTEN = 1000
+
 PAD, END = "\x02", "\x03"
 
 #: Rules as (verdict, host, path).
@@ -71,19 +77,22 @@ def ruled(df, url="url", rules=RULES):
     return out.withColumns({"rule": rule, "decided": verdict})
 
 
-def _grams(urls):
-    """One row per character of a URL, its end included: the n-gram of the
-    character and the ``ORDER`` before it."""
-    padded = F.concat(F.lit(PAD * ORDER), "url", F.lit(END))
-    return urls.withColumn("gram", F.explode(F.transform(
-        F.sequence(F.lit(1), F.char_length("url") + 1), lambda i: F.substr(padded, i, F.lit(ORDER + 1)))))
+def _grams(urls, *keep):
+    """One row per character of a URL, its end included: the columns to keep,
+    and the n-gram of the character and the ``ORDER`` before it."""
+    # One array of characters a URL: taking the i-th out of a text would walk
+    # it from its start each time.
+    letters = F.split(F.concat(F.lit(PAD * ORDER), "url", F.lit(END)), "")
+    grams = F.transform(F.sequence(F.lit(1), F.size("letters") - ORDER),
+                        lambda i: F.array_join(F.slice("letters", i, ORDER + 1), ""))
+    return urls.select(*keep, letters.alias("letters")).select(*keep, F.explode(grams).alias("gram"))
 
 
 def gram_ratios(urls):
-    """(gram, fitted, full): the log ratio of the probability of a gram's last
-    character in rejected against accepted URLs; ``fitted`` from the counts
-    without the held-out URLs, ``full`` from all. ``urls`` is (url, n, decided,
-    held)."""
+    """(gram, seen, fitted, full): in how many places of different URLs a gram
+    is, and the log ratio of the probability of its last character in rejected
+    against accepted URLs; ``fitted`` from the counts without the held-out
+    URLs, ``full`` from all. ``urls`` is (url, n, decided, held)."""
     weights = {}
     for kind in ("allow", "block"):
         mine = F.col("decided").eqNullSafe(kind)
@@ -91,7 +100,8 @@ def gram_ratios(urls):
         weights[f"{kind}_fitted"] = F.sum(F.when(mine & ~F.col("held"), F.col("n")).otherwise(0))
     names = list(weights)
     counts = written(
-        _grams(urls).groupBy("gram").agg(*[w.cast("long").alias(c) for c, w in weights.items()]), "grams")
+        _grams(urls, "n", "decided", "held").groupBy("gram").agg(
+            F.count(F.lit(1)).alias("seen"), *[w.cast("long").alias(c) for c, w in weights.items()]), "grams")
     levels = [counts]
     for k in range(ORDER, 0, -1):
         levels.append(levels[-1].groupBy(F.expr(f"right(gram, {k})").alias("gram")).agg(
@@ -111,10 +121,23 @@ def gram_ratios(urls):
             shorter = level.select(F.col("gram").alias("suffix"),
                                    *[p.alias(f"shorter_{c}") for c, p in made.items()])
         else:
-            return level.select("gram", *[
+            return level.select("gram", "seen", *[
                 F.log(made[f"block_{v}"] / made[f"allow_{v}"]).alias(v) for v in ("fitted", "full")])
 
 
+def url_scores(urls, ratios):
+    """(number, fitted, full): means of the ratios of each URL's grams. ``urls``
+    is (number, url), ``ratios`` as made by ``gram_ratios``."""
+    grams = _grams(urls, "number")
+    total = ratios.agg(F.sum("seen")).first()[0] or 0
+    often = ratios.filter(F.col("seen") * OFTEN > total)
+    rest = grams.join(F.broadcast(often.select("gram")), "gram", "left_anti").join(ratios.hint("merge"), "gram")
+    often = grams.join(F.broadcast(often), "gram")
+    parts = [d.select("number", "fitted", "full") for d in (often, rest)]
+    return parts[0].unionByName(parts[1]).groupBy("number").agg(
+        F.avg("fitted").alias("fitted"), F.avg("full").alias("full"))
+
+
 def calibrated(bins):
     """(slope, offset) of the probability of rejection by score, fitted by
     Newton's method to rows (score, rejected, n); classes weigh the same. With
@@ -155,13 +178,11 @@ def judged(df, id_column="page_id", url="url", rules=RULES):
     pages = ruled(df.select(F.col(f"`{id_column}`").alias("page_id"),
                             F.coalesce(F.col(f"`{url}`").cast("string"), F.lit("")).alias("url")), "url", rules)
     held = F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0
-    urls = written(pages.groupBy("url", "decided").agg(F.count(F.lit(1)).alias("n"))
-                   .withColumn("held", held & F.col("decided").isNotNull()), "urls")
+    # Numbered before they are written, so that the numbers stay.
+    urls = written(pages.groupBy("url", "decided").agg(F.count(F.lit(1)).alias("n")).withColumns(
+        {"held": held & F.col("decided").isNotNull(), "number": F.monotonically_increasing_id()}), "urls")
     ratios = written(gram_ratios(urls), "gram-ratios")
-    scored = written(
-        _grams(urls.select("url", "n", "decided", "held")).join(ratios, "gram")
-        .groupBy("url", "n", "decided", "held")
-        .agg(F.avg("fitted").alias("fitted"), F.avg("full").alias("full")), "url-scores")
+    scored = written(urls.join(url_scores(urls, ratios), "number"), "url-scores")
     # The scores of the held-out URLs, in bins: bounded by the range of scores.
     bins = scored.filter("held").groupBy(
         F.round(F.col("fitted") / BIN).alias("bin"), (F.col("decided") == "block").alias("rejected")

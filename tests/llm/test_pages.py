@@ -211,6 +211,27 @@ def test_models_tell_kinds_apart(spark):
     assert all(got[i] == "allow" for i in range(300, 320)) and all(got[i] == "block" for i in range(320, 340))
 
 
+@pytest.mark.parametrize("often", [1, 20, 10**9])
+def test_scores_of_urls(spark, monkeypatch, often):
+    """Means over all grams, however many of them are broadcast; long URLs have
+    rows of a number and a gram."""
+    monkeypatch.setattr(url_filter, "OFTEN", often)
+    made = [("http://a.com/" + "xy\u00e9\U0001f600" * 20_000, "allow"), ("http://b.net/es/x", "block"), ("", None),
+            ("http://a.com/\n", None), ("x" * 3, "block")]
+    urls = spark.createDataFrame([(i, u, 1, d, False) for i, (u, d) in enumerate(made)],
+                                 "number long, url string, n long, decided string, held boolean")
+    assert url_filter._grams(urls, "number").columns == ["number", "gram"]
+    ratios = url_filter.gram_ratios(urls).cache()
+    by_gram = {r.gram: r.full for r in ratios.collect()}
+    got = {r.number: r.full for r in url_filter.url_scores(urls, ratios).collect()}
+    assert len(got) == len(made)
+    k = url_filter.ORDER
+    for i, (u, _) in enumerate(made):
+        padded = url_filter.PAD * k + u + url_filter.END
+        want = [by_gram[padded[j:j + k + 1]] for j in range(len(u) + 1)]
+        assert got[i] == pytest.approx(sum(want) / len(want), abs=1e-9)
+
+
 def test_calibration():
     a, b = url_filter.calibrated([(-1.0, False, 50), (1.0, True, 5), (0.5, False, 5), (-0.5, True, 1)])
     assert a > 0 and a * 1.0 + b > 0 > a * -1.0 + b
