@@ -4,9 +4,16 @@ Candidate spans are found in every whole text: the base kinds by strict
 patterns, further kinds by loose ones. Six labelers (format, gazetteer, words
 before, words that speak against it, boundaries, repetition) vote on each
 candidate: 1 personal, -1 not, 0 abstains. Expectation-maximisation over the
-counts of vote patterns estimates how reliable each labeler is; its posteriors
-train the span classifier, which decides about the loose candidates. Base
-spans always stay.
+counts of vote patterns estimates, for each kind of its own, how reliable each
+labeler is; its posteriors train the span classifier, which reads the votes, the
+length and letters of the span and what stands before it, and decides about the
+loose candidates. Base spans always stay.
+
+A match is itself a vote for its kind: the first belief is one more than the sum
+of the votes. No labeler counts against what it votes for, an abstaining one says
+nothing, and half of the share of personal spans of a kind stays that of the first
+belief; so candidates that look all the same are kept by their votes, however
+many there are of them or of other kinds.
 
 All of it is DataFrame functions. Positions come from the lengths of matches
 and of the pieces between them; texts aren't moved: a pass over them writes
@@ -39,7 +46,7 @@ PATTERNS = {
     "id_number": ("[0-9]-[0-9]", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"),
     "person": ("(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Sr|Sra|Mme|Mlle)\\b",
                r"(?<![\p{L}0-9])(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Sra?|Mme|Mlle)\.?\x20"
-               r"\p{Lu}[\p{L}'-]{1,40}(?:\x20\p{Lu}[\p{L}'-]{1,40}){0,2}"),
+               r"\p{Lu}[\p{L}'-]++(?:\x20\p{Lu}[\p{L}'-]++)*+"),
     "secret": ("(?i)(?:token|passw|secret|key)", r"(?i)(?<![A-Za-z0-9])(?:api[_\x20-]?key|access[_\x20-]?key|auth[_\x20-]?"
                r"token|token|password|passwd|secret)\x20{0,3}[=:]\x20{0,3}[\"']?[A-Za-z0-9+/_.~-]{8,}+"),
 }
@@ -58,7 +65,14 @@ AGAINST_WORDS = ("version v ver isbn page p chapter section figure fig table tot
 LABELERS = 6
 LENGTHS = (8, 12, 16, 24)
 ROUNDS = 12
-_VOTES = 3 ** LABELERS
+
+#: Features of a candidate and their sizes, as its code holds them, the first
+#: one in the lowest place: the votes; the length; digits only, letters of one
+#: case, of both, or letters and digits; before it nothing, a word, a mark or else.
+VOTES = {f"v{i}": 3 for i in range(LABELERS)}
+FEATURES = {**VOTES, "length": len(LENGTHS) + 1, "letters": 4, "lead": 4}
+PLACES = {f: math.prod(list(FEATURES.values())[:i]) for i, f in enumerate(FEATURES)}
+PLACES["kind"] = math.prod(FEATURES.values())
 
 
 def _digits(c):
@@ -121,12 +135,17 @@ def _votes(kind, m, before, after):
 
 
 def _code(kind, m, before, after):
-    """Kind, length and votes of a candidate as one number."""
+    """Kind and features of a candidate as one number."""
     n = F.char_length(m)
-    length = sum(((n >= edge).cast("int") for edge in LENGTHS), F.lit(0))
-    code = length + F.lit(KINDS.index(kind) * (len(LENGTHS) + 1))
-    for v in reversed(_votes(kind, m, before, after)):
-        code = code * 3 + v
+    parts = dict(zip(VOTES, _votes(kind, m, before, after)))
+    parts["length"] = sum(((n >= edge).cast("int") for edge in LENGTHS), F.lit(0))
+    parts["letters"] = (F.when(~m.rlike(r"\p{L}"), 0).when(m.rlike("[0-9]"), 3)
+                        .when(m.rlike(r"\p{Ll}") & m.rlike(r"\p{Lu}"), 2).otherwise(1))
+    parts["lead"] = (F.when(before.rlike(r"(?:^|\n)[\x20\t]*$"), 0).when(before.rlike(r"[\p{L}0-9]\x20?$"), 1)
+                     .when(before.rlike(r"[:=,;.!?(\[{<\"'-]\x20?$"), 2).otherwise(3))
+    code = F.lit(KINDS.index(kind) * PLACES["kind"])
+    for f, part in parts.items():
+        code = code + part * PLACES[f]
     return code.cast("int")
 
 
@@ -207,75 +226,81 @@ def candidates(df, id_column="doc_id", text="text"):
     return out.select(*keep, F.concat(*kinds).alias("spans"))
 
 
-def _vote_of(code, labeler):
-    return F.expr(f"cast(({code} div {3 ** labeler}) % 3 as int)")
+def _part(code, feature):
+    """The value of a feature, or the kind, in a code."""
+    value = F.floor(code / PLACES[feature]).cast("int")
+    return value % FEATURES[feature] if feature in FEATURES else value
 
 
 def _patterns(spans):
-    """Counts by code, with its parts: at most kinds x lengths x 3^labelers
-    rows, whatever the data."""
+    """Counts by code, with its parts: as many rows at most as there are codes,
+    whatever the data."""
     counts = spans.select(F.explode("spans").alias("s")).groupBy(F.col("s.code").alias("code")).agg(
         F.count(F.lit(1)).alias("n"))
-    return written(counts.select(
-        "n", *[_vote_of("code", i).alias(f"v{i}") for i in range(LABELERS)],
-        F.expr(f"cast((code div {_VOTES}) % {len(LENGTHS) + 1} as int)").alias("length"),
-        F.expr(f"cast(code div {_VOTES * (len(LENGTHS) + 1)} as int)").alias("kind")), "vote-patterns")
+    return written(counts.select("n", *[_part(F.col("code"), f).alias(f) for f in PLACES]), "vote-patterns")
+
+
+def _first_belief():
+    """The match is a vote, and each labeler has one."""
+    return 1 / (1 + F.exp(-sum((F.col(v) - 1 for v in VOTES), F.lit(1)).cast("double")))
 
 
 def _fitted(patterns, posterior, features):
-    """Log odds per value of each feature, and of the prior, from posteriors:
-    one aggregate over the patterns; counts are smoothed by one."""
-    sums = [F.sum(F.col("n") * posterior).alias("on"), F.sum(F.col("n") * (1 - posterior)).alias("off")]
-    for f, size in features.items():
-        for v in range(size):
-            here = F.col(f) == v
-            sums.append(F.sum(F.when(here, F.col("n") * posterior)).alias(f"{f}_{v}_on"))
-            sums.append(F.sum(F.when(here, F.col("n") * (1 - posterior))).alias(f"{f}_{v}_off"))
-    r = patterns.agg(*sums).first().asDict()
-    r = {k: v or 0.0 for k, v in r.items()}
+    """Per kind, the log odds of the prior and per value of each feature, from
+    posteriors: one aggregate over the patterns; counts are smoothed by one."""
+    values = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in features]))
+    rows = patterns.select("kind", "n", posterior.alias("p"), _first_belief().alias("first"), values.alias("f"))
+    found, zero = {}, dict.fromkeys(("on", "off", "first", "n"), 0.0)
+    for r in rows.groupBy("kind", "f.feature", "f.value").agg(
+            F.sum(F.col("n") * F.col("p")).alias("on"), F.sum(F.col("n") * (1 - F.col("p"))).alias("off"),
+            F.sum(F.col("n") * F.col("first")).alias("first"), F.sum("n").alias("n")).collect():
+        found.setdefault(r["kind"], {})[r["feature"], r["value"]] = r
+    # Each candidate has one value of a feature: any feature gives the totals.
     # Rounded, so that the order of sums doesn't show.
-    odds = lambda on, off, a, b: round(math.log((on + 1) / (a + 1)) - math.log((off + 1) / (b + 1)), 9)
-    return odds(r["on"], r["off"], 0, 0), {
-        f: [odds(r[f"{f}_{v}_on"], r[f"{f}_{v}_off"], r["on"], r["off"]) for v in range(size)]
-        for f, size in features.items()}
+    totals = {kind: {c: round(sum(r[c] for (f, _), r in parts.items() if f == "v0"), 6) for c in zero}
+              for kind, parts in found.items()}
+
+    def odds(on, off, all_on=0.0, all_off=0.0):
+        return round(math.log((on + 1) / (all_on + 1)) - math.log((off + 1) / (all_off + 1)), 9)
 
+    def weight(kind, f, v):
+        r = found[kind].get((f, v), zero)
+        w = odds(r["on"], r["off"], totals[kind]["on"], totals[kind]["off"])
+        return w if f not in VOTES else (min(w, 0.0), 0.0, max(w, 0.0))[v]
 
-def _logit(prior, weights, column):
-    total = F.lit(prior)
-    for f, w in weights.items():
-        total = total + F.get(F.array(*[F.lit(x) for x in w]), column(f))
+    return {kind: (odds(t["on"] + t["first"], t["off"] + t["n"] - t["first"]),
+                   {f: [weight(kind, f, v) for v in range(FEATURES[f])] for f in features})
+            for kind, t in totals.items()}
+
+
+def _logit(model, part):
+    """Log odds of a candidate, whose kind and features ``part`` gives."""
+    def of(values, place):
+        return F.get(F.expr("array(" + ",".join(f"{float(x)!r}D" for x in values) + ")"), place)
+
+    none = (0.0, {f: [0.0] * size for f, size in FEATURES.items()})
+    kinds = [model.get(k, none) for k in range(len(KINDS))]
+    total = of([prior for prior, _ in kinds], part("kind"))
+    for f in next(iter(model.values()), none)[1]:
+        total = total + of([x for _, weights in kinds for x in weights[f]], part("kind") * FEATURES[f] + part(f))
     return total
 
 
 def trained(spans, rounds=ROUNDS):
-    """(prior, weights by feature) of the span classifier, trained on the
-    posteriors of expectation-maximisation over the labelers' votes."""
+    """By kind, (prior, weights by feature) of the span classifier, trained on
+    the posteriors of expectation-maximisation over the labelers' votes."""
     patterns = _patterns(spans)
-    votes = {f"v{i}": 3 for i in range(LABELERS)}
-    total = sum((F.col(v) - 1 for v in votes), F.lit(0))
-    posterior = 1 / (1 + F.exp(-total.cast("double")))
+    posterior = _first_belief()
     for _ in range(rounds):
-        prior, weights = _fitted(patterns, posterior, votes)
-        posterior = 1 / (1 + F.exp(-_logit(prior, weights, F.col)))
-    return _fitted(patterns, posterior, {**votes, "length": len(LENGTHS) + 1, "kind": len(KINDS)})
+        posterior = 1 / (1 + F.exp(-_logit(_fitted(patterns, posterior, VOTES), F.col)))
+    return _fitted(patterns, posterior, FEATURES)
 
 
 def decided(spans, classifier, id_column="doc_id"):
     """The spans that stay: all base ones, and those that the classifier takes
     for personal data."""
-    prior, weights = classifier
-
-    def part(code):
-        def of(f):
-            if f == "length":
-                return F.floor(code / _VOTES).cast("int") % (len(LENGTHS) + 1)
-            if f == "kind":
-                return F.floor(code / (_VOTES * (len(LENGTHS) + 1))).cast("int")
-            return F.floor(code / 3 ** int(f[1:])).cast("int") % 3
-        return of
-
     return spans.select(F.col(f"`{id_column}`"), F.filter("spans", lambda s: (s["kind"] < len(BASE)) | (
-        _logit(prior, weights, part(s["code"])) > 0)).alias("spans"))
+        _logit(classifier, lambda f: _part(s["code"], f)) > 0)).alias("spans"))
 
 
 def find(df, id_column="doc_id", text="text"):

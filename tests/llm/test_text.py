@@ -214,6 +214,8 @@ def test_classifier(spark, sf_dir):
         for s in spans:
             if s.kind >= 4:
                 assert pii.KINDS[s.kind] == "secret" and "token" in texts[i][s.start:s.end]
+    planted = {i for i, t in texts.items() if t and re.search(r'token = "[0-9a-f]{20,}"', t)}
+    assert planted == {i for i, spans in rows.items() if any(s.kind >= 4 for s in spans)}
 
 
 def test_weak_supervision_recovers_reliabilities(spark):
@@ -224,12 +226,46 @@ def test_weak_supervision_recovers_reliabilities(spark):
     for _ in range(4000):
         y = rng.random() < 0.5
         votes = [(2 if y else 0) if rng.random() < a else (0 if y else 2) for a in accuracy]
-        rows.append(([(5, 0, 1, sum(v * 3 ** i for i, v in enumerate(votes)) + 3 ** 6 * 5 * 5)],))
+        rows.append(([(5, 0, 1, sum(v * 3 ** i for i, v in enumerate(votes)) + pii.PLACES["kind"] * 5)],))
         truth.append(y)
     spans = spark.createDataFrame(rows, "spans array<struct<kind int, start long, end long, code int>>")
-    _, weights = pii.trained(spans)
+    weights = pii.trained(spans)[5][1]
     spread = [weights[f"v{i}"][2] - weights[f"v{i}"][0] for i in range(6)]
     assert spread[0] > spread[2] > spread[4] and spread[1] > spread[3]
     kept = pii.decided(spans.withColumn("doc_id", spans.spans[0].code), pii.trained(spans)).collect()
     assert len(kept) == 4000
-    assert pii.trained(spans.limit(0))
+    assert pii.trained(spans.limit(0)) == {}
+
+
+def test_names_are_whole_runs(spark):
+    texts = [f"see Dr. {'A' + 'b' * 60} now", "ask Mrs. Ana Maria de", "for Prof. Eva Lu Ann Kay Doe.",
+             "Mr. " + "Xy " * 50_000 + "."]
+    found = pii.candidates(documents(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()
+    got = {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.spans] for r in found}
+    assert got == {0: ["Dr. " + "A" + "b" * 60], 1: ["Mrs. Ana Maria"], 2: ["Prof. Eva Lu Ann Kay Doe"],
+                   3: [texts[3][:-2]]}
+
+
+def loose(spark, rows):
+    found = pii.find(documents(spark, rows))
+    return {r.doc_id: [pii.KINDS[s.kind] for s in r.spans if s.kind >= 4] for r in found.collect()}
+
+
+KEY = 'use token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda" now'
+
+
+def test_secrets_stay_at_every_size(spark):
+    """Candidates that look alike are kept by their votes, however many there
+    are, and whatever other kinds hold."""
+    others = [(1000 + i, "order 415-555-0000 and item 000-00-0000 " * 5, "a") for i in range(60)]
+    for times, more in ((1, []), (400, []), (13, others)):
+        got = loose(spark, [(i, KEY, "a") for i in range(times)] + more)
+        assert all(got[i] == ["secret"] for i in range(times)) and len(got) == times + len(more)
+
+
+def test_classifier_tells_candidates_apart(spark):
+    """Of one kind, those that the labelers speak for stay, the others go."""
+    good = [(i, f"my ssn 123-45-{6000 + i}, call", "a") for i in range(40)]
+    bad = [(100 + i, f"order 000-00-0000, test {i}", "a") for i in range(40)]
+    got = loose(spark, good + bad)
+    assert all(got[i] == ["id_number"] for i in range(40)) and not any(got[100 + i] for i in range(40))
