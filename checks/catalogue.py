@@ -9,6 +9,7 @@ from mailspark.operators import dedup as D
 from mailspark.operators import index as I
 from mailspark.operators import joins as J
 from mailspark.operators import quality as QA
+from mailspark.operators import reconcile as RC
 from mailspark.operators import ranges as R
 from mailspark.operators import reports as A
 from mailspark.operators import tables as M
@@ -283,7 +284,13 @@ COMPARED = """compared AS (SELECT archive_file, rfc_message_id,
 
 @query(with_msgs("SELECT * FROM compared", SIDES, COMPARED))
 def compare_archive_catalogue(spark, sf_dir):
-    return J.compare_ids(*sides(spark, sf_dir))
+    return RC.compare_ids(*sides(spark, sf_dir))
+
+
+@query(with_msgs("SELECT * FROM compared WHERE status <> 'ok'", SIDES, COMPARED))
+def differing_archive_catalogue(spark, sf_dir):
+    """The differences alone, found by digests."""
+    return RC.differing_ids(*sides(spark, sf_dir))
 
 
 @query(with_msgs("""SELECT rfc_message_id, 'lost' AS status FROM (
@@ -292,7 +299,7 @@ def compare_archive_catalogue(spark, sf_dir):
     SELECT rfc_message_id FROM archived EXCEPT SELECT rfc_message_id FROM cat)""", SIDES))
 def expected_vs_written(spark, sf_dir):
     written, expected = sides(spark, sf_dir)
-    return J.expected_vs_written(expected, written)
+    return RC.expected_vs_written(expected, written)
 
 
 @query(with_msgs("""SELECT archive_file, mbox_offset, 'orphaned' AS status FROM archived

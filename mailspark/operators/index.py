@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from mailspark.functions import text as X
 from mailspark.functions.porter import stem as porter_stem
 from mailspark.operators import search as Q
+from mailspark.operators.reconcile import narrowed
 from mailspark.schema import LOCATION
 
 _POSTING = T.StructType([
@@ -183,8 +184,9 @@ def counts(postings, terms, keys=LOCATION):
 
 def compare_index(messages, indexed):
     """Both differences between catalogue and index: rows of either side
-    without a partner on the other."""
-    rows, keys = messages.select(*LOCATION), indexed.select(*LOCATION).distinct()
+    without a partner on the other. Where they agree only digests are compared."""
+    rows, keys = narrowed(messages, indexed, LOCATION)
+    keys = keys.distinct()
     orphaned = keys.join(rows, list(LOCATION), "left_anti").withColumn("status", F.lit("orphaned"))
     missing = rows.join(keys, list(LOCATION), "left_anti").withColumn("status", F.lit("missing"))
     return orphaned.unionByName(missing)

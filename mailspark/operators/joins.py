@@ -130,31 +130,6 @@ def is_archived(ids, messages, key="gmail_id"):
         "archived", F.col("_known").isNotNull()).drop("_known")
 
 
-def compare_ids(archived, messages, by=("archive_file", "rfc_message_id")):
-    """Every distinct id of both sides with ``status``: ok, orphaned (only in
-    the catalogue) or missing (only in the archive)."""
-    by = list(by)
-    left = archived.select(*by).distinct().withColumn("_a", F.lit(True))
-    right = messages.select(*by).distinct().withColumn("_c", F.lit(True))
-    status = (F.when(F.col("_a").isNull(), "orphaned").when(F.col("_c").isNull(), "missing")
-              .otherwise("ok"))
-    return left.join(right, by, "full_outer").select(*by, status.alias("status"))
-
-
-def expected_vs_written(expected, written, key="rfc_message_id"):
-    """Ids that differ between what was to be written and what was."""
-    compared = compare_ids(written, expected, [key])
-    return compared.filter("status <> 'ok'").select(
-        key, F.when(F.col("status") == "orphaned", "lost").otherwise("unexpected").alias("status"))
-
-
-def assert_written(expected, written, key="rfc_message_id"):
-    differing = expected_vs_written(expected, written, key).limit(10).collect()
-    if differing:
-        shown = ", ".join(f"{row[0]} ({row[1]})" for row in differing)
-        raise ValueError(f"written archive differs from the messages: {shown}")
-
-
 def backfill_offsets(messages, archived):
     """Messages with bad locations repaired from what the archives hold,
     matched on archive and Message-ID; ``backfilled`` tells which."""

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from mailspark import schema
 from mailspark.operators import index as I
-from mailspark.operators import joins as J
+from mailspark.operators import reconcile as RC
 from mailspark.operators import reports as A
 from mailspark.operators import search as Q
 
@@ -36,7 +36,7 @@ def missing_archives(messages, present):
 def verify_consistency(messages, archived, indexed, by=("archive_file", "rfc_message_id")):
     """One row per check with what was found; passed means nothing was."""
     ids = _found(
-        J.compare_ids(archived, messages, by), "check",
+        RC.differing_ids(archived, messages, by), "check",
         orphaned_records=_status("orphaned"), missing_records=_status("missing"))
     keys = A.key_violations(messages).select(
         F.concat(F.lit("duplicate_"), "key").alias("check"), F.col("violations").alias("found"))

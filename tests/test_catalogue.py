@@ -11,6 +11,7 @@ from mailspark.operators import dedup as D
 from mailspark.operators import index as I
 from mailspark.operators import joins as J
 from mailspark.operators import quality as QA
+from mailspark.operators import reconcile as RC
 from mailspark.operators import ranges as R
 from mailspark.operators import reports as A
 from mailspark.operators import tables as M
@@ -176,11 +177,11 @@ def test_broadcast_only_below_the_bound(spark, monkeypatch):
 def test_compare_and_assert(spark):
     one = table(spark, [message("a"), message("b", offset=1)])
     two = table(spark, [message("b", offset=1), message("c", offset=2)])
-    status = {r.rfc_message_id[1]: r.status for r in J.compare_ids(one, two).collect()}
+    status = {r.rfc_message_id[1]: r.status for r in RC.compare_ids(one, two).collect()}
     assert status == {"a": "missing", "b": "ok", "c": "orphaned"}
-    J.assert_written(one, one)
+    RC.assert_written(one, one)
     with pytest.raises(ValueError, match="lost"):
-        J.assert_written(two, one.filter("gmail_id = 'b'"))
+        RC.assert_written(two, one.filter("gmail_id = 'b'"))
 
 
 def test_append_and_upsert(spark):
