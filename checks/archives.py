@@ -50,15 +50,18 @@ RAW_SQL = """posts AS (SELECT *, CASE WHEN right(r, 1) = chr(10) THEN r ELSE r |
   FROM posts)"""
 
 
-#: Small shards, so that small tables give several; their number grows with the data.
-SHARD = 1 << 20
+def shard_bytes(messages):
+    """A sixteenth of the data, so that small tables too give several archives;
+    between 1 MiB and the library's own size."""
+    total = messages.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
+    return min(IO.SHARD_BYTES, max(1 << 20, total // 16))
 
 
-def write_archive(messages, compression=None, shard_bytes=SHARD):
+def write_archive(messages, compression=None):
     """Writes messages to a new folder; gives (folder, locations)."""
     folder = scratch(messages.sparkSession, "mail")
     placed = IO.write_mbox(messages.drop("body"), folder, ("date", "rfc_message_id"),
-                           compression, shard_bytes=shard_bytes)
+                           compression, shard_bytes=shard_bytes(messages))
     return re.sub("^file:/*", "/", folder), placed
 
 
@@ -140,15 +143,21 @@ def scan_message_ids(spark, sf_dir):
         "rfc_message_id", "mbox_length")
 
 
-@query(with_msgs("""SELECT count(*) > 0 AS has_files, CAST(sum(stored_length) AS BIGINT) AS bytes,
-    0 AS missing FROM stored""", RAW_SQL))
+@query(with_msgs("""SELECT gmail_id, true AS inside, CAST(NULL AS VARCHAR) AS compression, 0 AS missing,
+    (SELECT CAST(sum(stored_length) AS BIGINT) FROM stored) AS bytes FROM stored""", RAW_SQL))
 def discover_files(spark, sf_dir):
+    """Each message, whether the file listed under its archive's name holds its
+    place, and the size of all files."""
     folder, placed = archive(spark, sf_dir)
     listing = T.discover(spark, folder, "*.mbox")
     wanted = placed.select(F.col("archive_file").alias("path")).distinct()
     missing = T.missing_sources(wanted, listing).agg(F.count("*")).scalar()
-    return listing.agg((F.count("*") > 0).alias("has_files"), F.sum("size_bytes").alias("bytes"),
-                       F.max(missing).alias("missing"))
+    total = listing.agg(F.sum("size_bytes")).scalar()
+    end = F.col("mbox_offset") + F.col("mbox_length")
+    places = placed.select("gmail_id", "archive_file", "mbox_offset", "mbox_length")
+    return places.join(listing, F.col("archive_file") == F.col("path"), "left").select(
+        "gmail_id", (end <= F.col("size_bytes")).alias("inside"), "compression",
+        missing.alias("missing"), total.alias("bytes"))
 
 
 @kept
@@ -428,13 +437,29 @@ def merge_archives(spark, sf_dir):
         ["archive_file", "mbox_offset"]).select("rfc_message_id", "mbox_length", "source_number")
 
 
-@query(with_msgs("SELECT DISTINCT rfc_message_id, subject FROM msgs"))
+#: What a landed message says of itself; of several with one id any may come first.
+OWN = ("gmail_id", "thread_id", "from_addr", "to_addr", "date", "date_raw", "labels", "checksum", "size_bytes")
+
+
+@query(with_msgs(f"""SELECT DISTINCT rfc_message_id, subject, left(body, 1000) AS body_preview,
+    '2025-01-01 00:00:00' AS archived_timestamp, 'default' AS account_id,
+    {', '.join(f"CASE WHEN n = 1 THEN {c} END AS {c}" for c in OWN)}
+  FROM (SELECT rfc_message_id, subject, body, gmail_id, thread_id, from_addr, to_addr, date_raw,
+      strftime(date, {TS}) AS date, 'INBOX,' || lang AS labels, sha256(r) AS checksum,
+      CAST(octet_length(encode(r)) AS BIGINT) AS size_bytes,
+      count(*) OVER (PARTITION BY rfc_message_id) AS n
+    FROM (SELECT *, 'From: ' || from_addr || chr(10) || 'To: ' || to_addr || chr(10) || 'Subject: '
+        || subject || chr(10) || 'Message-ID: ' || rfc_message_id || chr(10) || 'Date: ' || date_raw
+        || chr(10) || 'X-GM-THRID: ' || thread_id || chr(10) || chr(10) || body AS r FROM msgs))"""))
 def import_stream(spark, sf_dir):
     source = landed(spark, sf_dir)
     target, state = scratch(spark, "stream"), scratch(spark, "state")
     stream = imports.landed_json(spark, source)
     imports.import_stream(stream, target, state, archived_at=at()).awaitTermination()
-    return imports.read_imported(spark, target).select("rfc_message_id", "subject")
+    single = msgs(spark, sf_dir).groupBy("rfc_message_id").agg((F.count("*") == 1).alias("_single"))
+    own = [F.when(F.col("_single"), F.col(c)).alias(c) for c in OWN]
+    return imports.read_imported(spark, target).join(single, "rfc_message_id", "left").select(
+        "rfc_message_id", "subject", "body_preview", "archived_timestamp", "account_id", *own)
 
 
 @query(with_msgs("""SELECT DISTINCT 'imported' AS kind, rfc_message_id AS id FROM msgs
@@ -455,28 +480,37 @@ def import_stream_failures(spark, sf_dir):
         imports.read_failures(spark, target).select(F.lit("failed").alias("kind"), F.col("gmail_id").alias("id")))
 
 
-@query(with_msgs("""SELECT CAST(count(*) AS BIGINT) AS extracted, 0 AS failed, count(*) AS files,
-    CAST(sum(stored_length) AS BIGINT) AS bytes FROM stored
-  WHERE doc_id IN (SELECT doc_id FROM labels)""", RAW_SQL))
+@query(with_msgs("""SELECT gmail_id, 'extracted' AS status, stored_length AS bytes,
+    sha256(from_line || chr(10) || raw || chr(10)) AS checksum, count(*) OVER () AS extracted, 0 AS failed
+  FROM stored WHERE doc_id IN (SELECT doc_id FROM labels)""", RAW_SQL))
 def write_eml(spark, sf_dir):
+    """Each message asked for next to the file of its name."""
     _, placed = archive(spark, sf_dir)
     folder = scratch(spark, "eml")
     wanted = labelled(spark, sf_dir).select(F.concat(F.lit("m"), "doc_id").alias("gmail_id"))
     outcome = IO.write_eml(IO.extract_ids(placed, wanted), folder)
-    files = spark.read.format("binaryFile").load(folder).agg(
-        F.struct(F.count("*").alias("n"), F.sum("length").alias("b"))).scalar()
-    return IO.extraction_summary(outcome).select(
-        "extracted", "failed", files["n"].alias("files"), files["b"].alias("bytes"))
-
-
-@query(with_msgs("""SELECT (SELECT count(*) FROM msgs) AS messages,
-    (SELECT CAST(sum(imported) AS BIGINT) FROM (SELECT CASE WHEN k THEN 0 ELSE 1 END AS imported
-     FROM ids)) AS recorded""", KNOWN_SQL, RAW_SQL, IMPORT_SQL))
+    files = spark.read.format("binaryFile").load(folder).select(
+        F.regexp_extract("path", r"([^/]+)\.eml$", 1).alias("gmail_id"),
+        F.col("length").alias("bytes"), F.sha2("content", 256).alias("checksum"))
+    found = IO.extraction_summary(outcome).select(F.struct("extracted", "failed")).scalar()
+    return outcome.join(files, "gmail_id", "full_outer").select(
+        "gmail_id", "status", "bytes", "checksum",
+        found["extracted"].alias("extracted"), found["failed"].alias("failed"))
+
+
+@query(with_msgs("""SELECT '2025-01-01 00:00:00' AS run_timestamp, 'import' AS query, 'default' AS account_id,
+    'import' AS operation_type, CAST(count(*) AS BIGINT) AS messages_archived, true AS as_counted
+  FROM ids WHERE NOT k""", KNOWN_SQL, RAW_SQL, IMPORT_SQL))
 def record_run(spark, sf_dir):
+    """The records of an import, and whether each has the number of messages
+    that came from its archive."""
     folder, _ = archive(spark, sf_dir)
     runs = scratch(spark, "runs")
     outcome = WF.import_archives(spark, folder, known(spark, sf_dir), archived_at=at(),
                                  runs_path=runs)
-    recorded = spark.read.parquet(runs).agg(F.sum("messages_archived")).scalar()
-    return outcome.reports["status"].agg(F.count("*").alias("messages")).select(
-        "messages", recorded.alias("recorded"))
+    counted = outcome.reports["status"].filter("status = 'IMPORTED'").groupBy("archive_file").agg(
+        F.count("*").alias("_n"))
+    return spark.read.parquet(runs).join(counted, "archive_file", "full_outer").groupBy(
+        "run_timestamp", "query", "account_id", "operation_type").agg(
+        F.sum("messages_archived").alias("messages_archived"),
+        F.bool_and(F.col("messages_archived").eqNullSafe(F.col("_n"))).alias("as_counted"))

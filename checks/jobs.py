@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from checks import TS, kept, labelled, msgs, query, with_msgs
 from checks.archives import RAW_SQL, archive, at, misplaced, toxic
 from checks.catalogue import COLUMNS, ROW, SIZE, dedup_sql, ranked, runs
+from checks.searching import buckets_for
 from mailspark.operators import index as I
 from mailspark.operators import parse as P
 from mailspark.operators import search as Q
@@ -109,17 +110,19 @@ def index_archives_job(spark, sf_dir):
     """A word is searched in an index made of the archives; the catalogue has
     previews only."""
     folder, parsed = stored(spark, sf_dir)
-    index = WF.index_archives(spark, folder, scratch(spark, "index"), stemmed=False, buckets=32)
+    index = WF.index_archives(spark, folder, scratch(spark, "index"), stemmed=False, buckets=buckets_for(spark, sf_dir))
     hits = Q.all_of(parsed, Q.word("the").within("body"), index=index)
     return hits.groupBy("rfc_message_id").agg(F.count("*").alias("copies"))
 
 
-@query(with_msgs("""SELECT count(*) AS lines, count(*) FILTER (WHERE subject LIKE '%de%') AS with_de
-  FROM msgs"""))
+@query(with_msgs(f"""SELECT gmail_id, rfc_message_id, strftime(date, {TS}) AS date, from_addr AS "from",
+    to_addr AS "to", subject, archive_file, mbox_offset, 1.5::DOUBLE AS relevance_score,
+    CASE WHEN length(p) > 200 THEN left(p, 200) || '...' ELSE p END AS body_preview
+  FROM (SELECT *, trim(left(body, 1000), ' ' || chr(9) || chr(10) || chr(13)) AS p FROM msgs)"""))
 def write_results_json(spark, sf_dir):
     path = scratch(spark, "results")
     rows = msgs(spark, sf_dir).withColumn("relevance_score", F.lit(1.5))
     Q.write_results_json(rows, path, with_preview=True)
-    read = spark.read.schema("subject string, relevance_score double").json(path)
-    return read.filter("relevance_score = 1.5").agg(
-        F.count("*").alias("lines"), F.count_if(F.col("subject").contains("de")).alias("with_de"))
+    return spark.read.schema(
+        "gmail_id string, rfc_message_id string, date timestamp_ntz, `from` string, `to` string, subject string, "
+        "archive_file string, mbox_offset long, relevance_score double, body_preview string").json(path)

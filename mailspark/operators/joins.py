@@ -152,15 +152,15 @@ def backfill_offsets(messages, archived):
 def update_locations(messages, moves, duplicates=None, key="gmail_id"):
     """Catalogue with new archive, offset and length for the moved keys, and
     without the listed duplicates. ``moves`` is (key, archive_file,
-    mbox_offset, mbox_length), unique per key."""
-    moved = moves.select(
-        key, F.struct("archive_file", "mbox_offset", "mbox_length").alias("_to"))
-    rows = messages.join(moved, key, "left")
+    mbox_offset, mbox_length), unique per key. Few moves are sent to the
+    catalogue, which then isn't shuffled."""
     names = ("archive_file", "mbox_offset", "mbox_length")
-    rows = rows.withColumns({c: F.coalesce(f"_to.{c}", c) for c in names})
+    moved = keys_for_join(moves.select(key, *[F.col(c).alias(f"_to_{c}") for c in names]))
+    rows = messages.join(moved, key, "left")
+    rows = rows.withColumns({c: F.coalesce(f"_to_{c}", c) for c in names})
     rows = rows.select(*messages.columns)
     if duplicates is not None:
-        rows = rows.join(duplicates.select(key).distinct(), key, "left_anti")
+        rows = rows.join(keys_for_join(duplicates.select(key).distinct()), key, "left_anti")
     return rows.select(*messages.columns)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mailspark import schema
 from mailspark.operators import dedup
-from mailspark.operators.joins import known_among, latest_per
+from mailspark.operators.joins import keys_for_join, known_among, latest_per
 from mailspark.schema import LOCATION
 
 ID = "rfc_message_id"
@@ -45,9 +45,10 @@ def append_messages(batch, messages, skip_duplicates=True):
 
 def upsert_messages(messages, batch, order=None):
     """Catalogue after insert-or-replace by id: the last batch row of an id
-    takes the place of all its catalogue rows."""
+    takes the place of all its catalogue rows. A small batch's ids are sent to
+    the catalogue, which then isn't shuffled."""
     latest = latest_per(batch, [ID], order or [F.desc(c) for c in LOCATION])
-    untouched = messages.join(batch.select(ID).distinct(), ID, "left_anti")
+    untouched = messages.join(keys_for_join(batch.select(ID).distinct()), ID, "left_anti")
     return untouched.select(*messages.columns).unionByName(latest.select(*messages.columns))
 
 
@@ -55,7 +56,7 @@ def delete_messages(messages, ids=None, key="gmail_id", archive_file=None):
     """Catalogue without the given ids, or without an archive."""
     if archive_file is not None:
         return messages.filter(~F.col("archive_file").eqNullSafe(archive_file))
-    gone = ids.select(key).distinct()
+    gone = keys_for_join(ids.select(key).distinct())
     return messages.join(gone, key, "left_anti").select(*messages.columns)
 
 
@@ -63,7 +64,7 @@ def deleted_count(messages, ids=None, key="gmail_id", archive_file=None):
     if archive_file is not None:
         gone = messages.filter(F.col("archive_file") == archive_file)
     else:
-        gone = messages.join(ids.select(key).distinct(), key, "left_semi")
+        gone = messages.join(keys_for_join(ids.select(key).distinct()), key, "left_semi")
     return gone.agg(F.count("*").alias("deleted"))
 
 
@@ -139,7 +140,9 @@ def session_states(events):
     since = F.col("event_time") >= F.col("started_at")
     ending = since & F.col("event").isin("complete", "abort")
     counted = since & F.col("_count").isNotNull()
-    states = rows.groupBy(*created.columns).agg(
+    of_creation = [c for c in created.columns if c != "session_id"]
+    states = rows.groupBy("session_id").agg(
+        *[F.any_value(c).alias(c) for c in of_creation],
         F.max(F.when(since, F.col("event_time"))).alias("updated_at"),
         F.coalesce(F.max_by("_count", F.when(counted, F.struct("event_time", "_count"))), F.lit(0))
         .alias("processed_count"),

@@ -184,6 +184,38 @@ def test_compare_and_assert(spark):
         RC.assert_written(two, one.filter("gmail_id = 'b'"))
 
 
+def test_small_changes_leave_the_catalogue_in_place(spark, monkeypatch, tmp_path):
+    """Neither upsert, delete nor move shuffles the catalogue for a small
+    batch; past the bound they give the same rows by shuffle."""
+    table(spark, [message(f"k{i}", f"<{i}>", "a.mbox", i) for i in range(6)]).write.parquet(str(tmp_path / "cat"))
+    messages = spark.read.parquet(str(tmp_path / "cat"))
+    batch = table(spark, [message("new", "<1>", "b.mbox", 0)])
+    ids = spark.createDataFrame([("k1",), ("k2",), ("none",)], "gmail_id string")
+    moves = spark.createDataFrame([("k3", "c.mbox", 7, 9)],
+                                  "gmail_id string, archive_file string, mbox_offset long, mbox_length long")
+
+    def made():
+        return [M.upsert_messages(messages, batch), M.delete_messages(messages, ids),
+                M.deleted_count(messages, ids), J.update_locations(messages, moves, ids)]
+
+    def rows(frames):
+        return [sorted(map(str, df.collect())) for df in frames]
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small = made()
+        for df in small:
+            assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        kept = rows(small)
+        monkeypatch.setattr(J, "BROADCAST_BYTES", 0)
+        shuffled = made()
+        assert "SortMergeJoin" in shuffled[1]._jdf.queryExecution().executedPlan().toString()
+        assert rows(shuffled) == kept
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [len(r) for r in kept] == [6, 4, 1, 4]
+
+
 def test_append_and_upsert(spark):
     known = table(spark, [message("k", "<k>", "old.mbox", 0, subject="old")])
     batch = table(spark, [
