@@ -66,6 +66,12 @@ def _bucketed(rows, groups, salt):
         "_bucket", bucket).drop("_g", "_buckets")
 
 
+def agree(left, right, by):
+    """Whether both sides hold the same keys, equally often and none null: one
+    job, which shuffles digests only."""
+    return differing_groups(_sides(left, right, list(by)), secrets.randbits(62)).isEmpty()
+
+
 def narrowed(left, right, by, bucket_rows=BUCKET_ROWS):
     """The ``by`` columns of both sides, without the rows of buckets on which
     the sides agree; rows come as often as they are given there.
@@ -119,6 +125,8 @@ def expected_vs_written(expected, written, key="rfc_message_id"):
 
 
 def assert_written(expected, written, key="rfc_message_id"):
+    if agree(written, expected, [key]):
+        return
     differing = expected_vs_written(expected, written, key).limit(10).collect()
     if differing:
         shown = ", ".join(f"{row[0]} ({row[1]})" for row in differing)

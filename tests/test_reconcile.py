@@ -60,6 +60,19 @@ def test_nulls_copies_and_empty_sides(spark):
     assert not differing(once, twice)
 
 
+def test_agree(spark):
+    one = side(spark, [("a", "<1>"), ("b", "<1>"), ("b", "<2>")])
+    other = side(spark, [("b", "<2>"), ("a", "<1>"), ("b", "<1>")])
+    assert RC.agree(one, other, BY) and RC.agree(one.limit(0), other.limit(0), BY)
+    assert not RC.agree(one, side(spark, [("b", "<1>"), ("a", "<1>"), ("a", "<2>")]), BY)
+    assert not RC.agree(one, one.limit(0), BY)
+    # Copies on one side, or keys without a value, are left for the join.
+    assert not RC.agree(one, one.union(other.limit(1)), BY)
+    nulls = side(spark, [("a", None)])
+    assert not RC.agree(nulls, nulls, BY)
+    RC.assert_written(one, one.union(other))
+
+
 def test_sides_of_different_types(spark):
     left = spark.range(50).selectExpr("'a' AS archive_file", "CAST(id AS int) AS mbox_offset")
     right = spark.range(1, 51).selectExpr("'a' AS archive_file", "id AS mbox_offset")
