@@ -237,3 +237,22 @@ def test_index_of_archives_grows_and_is_repaired(spark, tmp_path):
     for n in range(1, 6):
         found = Q.search(out.messages, f"needle{n}", index=out.index).collect()
         assert [r.rfc_message_id for r in found] == ([f"<m{n}@example.com>"] if n > 1 else [])
+
+
+def test_rows_are_whole_before_they_move(spark, tmp_path):
+    """A row per (term, block) comes out of one pass over the texts, without
+    an aggregate; postings are stored in it, not beside it."""
+    made = [("a", i, " ".join(f"w{(i * k) % 17}" for k in range(i % 23))) for i in range(300)]
+    messages = spark.createDataFrame(made, "archive_file string, mbox_offset long, body string")
+    index = SG.create(spark, str(tmp_path), ("body",), stemmed=False, buckets=2).add(messages)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["blocks", "docs", "versions"]
+    stored = index._lookup("blocks", SG._BLOCKS, None)
+    assert stored.count() == stored.select("term", "block").distinct().count()
+    words = {(o, w): text.split().count(w) for _, o, text in made for w in text.split()}
+    at = {r.doc: r.mbox_offset for r in index.docs().collect()}
+    assert {(at[r.doc], r.term): r.tf for r in index._postings(None).collect()} == words
+    found = stored.selectExpr("term", "block", "bits", "most", "inline(entries)").collect()
+    assert {(at[64 * r.block + r.seat], r.term): r.tf for r in found} == words
+    assert all((r.bits >> r.seat) & 1 and r.most >= r.tf for r in found)
+    texts = messages.selectExpr("mbox_offset AS doc", "body").repartition("doc")
+    assert "Aggregate" not in plan(I.build_blocks(texts, ("body",), False, 64, SG._MADE))
