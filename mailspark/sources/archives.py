@@ -430,11 +430,35 @@ def compress_archives(spark, files, compression="zstd", dry_run=False,
     return rows.withColumns({"space_saved": saved, "compression_ratio": ratio})
 
 
+#: Tasks that compress the frames of a job, at most.
+FRAME_TASKS = 10_000
+
+
 def _frames(todo, frame_bytes):
-    """One row per frame of each file, spread over the tasks."""
+    """One row per frame of each file, dealt out evenly over as many tasks. A
+    number of partitions is given, as the rows are small: adaptive execution
+    would otherwise leave them all to one task."""
     last = F.greatest(F.ceil(F.col("original_size") / frame_bytes) - 1, F.lit(0))
     frames = todo.withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    return frames.repartition("source_file", "frame")
+    before, tasks = 0, []
+    for r in todo.select("source_file", (last + 1).alias("n")).collect():
+        tasks.append((r.source_file, before))
+        before += r.n
+    count = max(1, min(before, FRAME_TASKS))
+    firsts = todo.sparkSession.createDataFrame(tasks, "source_file string, _first long")
+    seat = F.pmod(F.col("_first") + F.col("frame"), F.lit(count)).cast("int")
+    return frames.join(F.broadcast(firsts), "source_file").withColumn("_task", seat).repartitionById(
+        count, "_task").select(*frames.columns)
+
+
+def _file_by_file(rows):
+    """The rows of each file in one task, the files dealt out evenly over as
+    many tasks."""
+    names = sorted(r.source_file for r in rows.select("source_file").distinct().collect())
+    count = max(1, min(len(names), FRAME_TASKS))
+    seats = rows.sparkSession.createDataFrame(
+        [(n, i % count) for i, n in enumerate(names)], "source_file string, _task int")
+    return rows.join(F.broadcast(seats), "source_file").repartitionById(count, "_task").select(*rows.columns)
 
 
 def _packed(path, frame, frame_bytes, codec):
@@ -474,7 +498,7 @@ def _remove_sources(done):
                     delete(source)
             yield b
 
-    done.select("source_file", "dest_file").mapInArrow(
+    _file_by_file(done.select("source_file", "dest_file")).mapInArrow(
         remove, "source_file string, dest_file string").write.format("noop").mode("overwrite").save()
 
 
@@ -501,7 +525,8 @@ def _compressed(todo, codec, frame_bytes):
 
     made = written(_frames(todo, frame_bytes).mapInArrow(
         compress, FILE + ", frame long, part string, part_size long"), "frames")
-    ordered = made.repartition("source_file").sortWithinPartitions("source_file", "frame")
+    # As for the frames: one task would join the frames of all files.
+    ordered = _file_by_file(made).sortWithinPartitions("source_file", "frame")
 
     def join(batches):
         attempt = TaskContext.get().taskAttemptId()

@@ -470,3 +470,16 @@ def test_no_pair_joins_anywhere(spark, sf_dir):
                  "update_locations", "verify_consistency", "lengths_from_offsets"):
         text = plan(entry.queries()[name](spark, sf_dir))
         assert "NestedLoop" not in text and "Cartesian" not in text, name
+
+
+def test_frames_are_spread(spark, box):
+    """Each frame, and each file, has a task of its own, however small its row
+    is."""
+    files = [str(box / n) for n in ("a.mbox", "b.mbox")]
+    todo = IO._targets(spark, files, "gzip")
+    frames = IO._frames(todo, 200).withColumn("_at", F.spark_partition_id())
+    rows = frames.collect()
+    assert len(rows) == sum(-(-os.path.getsize(f) // 200) for f in files) > 3
+    assert len({r._at for r in rows}) == len(rows)
+    joined = IO._file_by_file(frames.drop("_at")).withColumn("_at", F.spark_partition_id()).collect()
+    assert len({(r.source_file, r._at) for r in joined}) == 2 == len({r._at for r in joined})
