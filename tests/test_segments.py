@@ -256,3 +256,17 @@ def test_rows_are_whole_before_they_move(spark, tmp_path):
     assert all((r.bits >> r.seat) & 1 and r.most >= r.tf for r in found)
     texts = messages.selectExpr("mbox_offset AS doc", "body").repartition("doc")
     assert "Aggregate" not in plan(I.build_blocks(texts, ("body",), False, 64, SG._MADE))
+
+
+def test_merge_of_places_that_come_twice(spark, tmp_path):
+    """A place that comes twice has several numbers, each kept by a merge."""
+    made = [("a", i % 40, f"alpha w{i % 40}") for i in range(80)] + [("b", i, "alpha beta") for i in range(9)]
+    messages = spark.createDataFrame(made, "archive_file string, mbox_offset long, body string")
+    index = SG.create(spark, str(tmp_path), ("body",), stemmed=False, buckets=2)
+    index = index.add(messages.filter("archive_file = 'a'")).add(messages.filter("archive_file = 'b'"))
+    merged = index.merge(everything=True)
+    key = ["archive_file", "mbox_offset", "dl"]
+    assert sorted(merged.docs().select(*key).collect()) == sorted(index.docs().select(*key).collect())
+    words = merged._postings(None).join(merged.docs().select("doc", *key[:2]), "doc")
+    found = {(r.archive_file, r.mbox_offset, r.term) for r in words.collect()}
+    assert found == {(a, o, w) for a, o, text in made for w in text.split()}
