@@ -118,12 +118,12 @@ def archive_incremental(landed, messages, age, folder, as_of=None, incremental=T
         reports["plan"] = chosen.agg(F.count("*").alias("to_archive"))
         return Outcome(chosen, reports)
     order = ["date", "rfc_message_id", "gmail_id"]
-    keys, count = IO.assign_shards(
+    keys, count, pieces = IO.assign_shards(
         chosen.select(*order, "from_addr", "size_bytes"), [F.col(c) for c in order], "size_bytes",
         shards=shards)
     keys = written(keys.drop("size_bytes"), "keys")
     rows = landed.select("gmail_id", "raw").join(J.keys_for_join(keys), "gmail_id")
-    placed = IO.write_mbox(rows, folder, order, compression, shards=count)
+    placed = IO.write_mbox(rows, folder, order, compression, shards=count, pieces=pieces)
     RC.assert_written(chosen, placed)
     made = placed.select("gmail_id", *IO.MADE)
     catalogue = chosen.drop(*IO.MADE).join(made, "gmail_id").select(*schema.MESSAGES.names)
@@ -173,14 +173,15 @@ def consolidate(spark, sources, messages, folder, sort_by_date=True, deduplicate
     if sort_by_date:
         kept = kept.withColumn("sort_date", C.sort_date(F.col("date")))
         order = ["sort_date"] + order
-    kept, count = IO.assign_shards(kept, [F.col(c) for c in order], "mbox_length", shards=shards)
+    kept, count, pieces = IO.assign_shards(
+        kept, [F.col(c) for c in order], "mbox_length", shards=shards)
     kept = written(kept.drop("mbox_length", "size_bytes"), "kept")
     rows = raw.select(*LOCATION, "raw").join(J.keys_for_join(kept), list(LOCATION))
     rows = rows.withColumnsRenamed(
         {"archive_file": "source_archive", "mbox_offset": "source_offset"})
     order = ["source_archive" if c == "archive_file" else "source_offset" if c == "mbox_offset"
              else c for c in order]
-    placed = IO.write_mbox(rows, folder, order, compression, shards=count)
+    placed = IO.write_mbox(rows, folder, order, compression, shards=count, pieces=pieces)
     RC.assert_written(kept, placed)
     kept_at = kept.select(*LOCATION, F.lit(True).alias("_kept"))
     flagged = slim.join(kept_at, list(LOCATION), "left").withColumn(

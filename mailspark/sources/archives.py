@@ -7,6 +7,7 @@ import re
 
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,12 +18,14 @@ from mailspark.schema import LOCATION
 from mailspark.session import scratch, written
 from mailspark.sources.mbox import message_bytes
 from mailspark.sources.storage import (
-    Published, codec_of, compress_bytes, decoder, delete, exists, list_files, open_at, open_decoded,
-    open_random, seek_table, seek_table_bytes,
+    Published, append_frames, codec_of, compress_bytes, decoder, delete, exists, list_files, open_at,
+    open_decoded, open_random, seek_table, seek_table_bytes,
 )
 
 SHARD_BYTES = 1 << 30
 FRAME_BYTES = 16 << 20
+#: Bytes of a compressed shard that one task sorts and compresses.
+PIECE_BYTES = 32 << 20
 READ_BYTES = 32 << 20
 
 
@@ -45,8 +48,12 @@ def record_bytes(separator, raw):
     return separator + b"\n" + body + b"\n"
 
 
+def _suffix(codec):
+    return ".mbox" + (C.EXTENSIONS[codec] if codec else "")
+
+
 def _shard_writer(folder, codec, passed):
-    suffix = ".mbox" + (C.EXTENSIONS[codec] if codec else "")
+    suffix = _suffix(codec)
 
     def write(batches):
         task = TaskContext.get()
@@ -127,21 +134,29 @@ class Shard:
             self.out.drop()
 
 
+def _pieces(total, shard_bytes):
+    """How many pieces a compressed shard is made in."""
+    return max(1, math.ceil(min(total, shard_bytes) / PIECE_BYTES))
+
+
 def assign_shards(slim, order, size, shard_bytes=SHARD_BYTES, shards=None):
-    """Slim rows with the number of the output shard each belongs to, and how
-    many shards there are: the ordered rows are cut every ``shard_bytes``, or
-    into ``shards`` pieces of equal size."""
+    """Slim rows with the number of the output shard each belongs to and of its
+    piece in there, how many shards there are, and how many pieces to each: the
+    ordered rows are cut every ``shard_bytes``, or into ``shards`` pieces of
+    equal size."""
     total = slim.agg(F.sum(size)).first()[0] or 0
     if shards is not None:
         shard_bytes = max(1, math.ceil(total / shards))
+    pieces = _pieces(total, shard_bytes)
     placed = ranges.running_total(slim, [], order, F.col(size), "_bytes_before")
     shard = F.floor(F.col("_bytes_before") / shard_bytes).cast("int")
-    return (placed.withColumn("shard", shard).drop("_bytes_before"),
-            max(1, math.ceil(total / shard_bytes)))
+    piece = F.floor(F.col("_bytes_before") % shard_bytes * pieces / shard_bytes).cast("int")
+    return (placed.withColumns({"shard": shard, "_piece": piece}).drop("_bytes_before"),
+            max(1, math.ceil(total / shard_bytes)), pieces)
 
 
 def write_mbox(messages, folder, order=("date", "rfc_message_id"), compression=None,
-               shard_bytes=SHARD_BYTES, shards=None):
+               shard_bytes=SHARD_BYTES, shards=None, pieces=1):
     """Writes messages (with ``raw``) in order to ``folder``, one mbox file per
     shard, and returns each message's columns with its new location and the
     checksum and size of the bytes that a reader will see: body lines that look
@@ -149,30 +164,87 @@ def write_mbox(messages, folder, order=("date", "rfc_message_id"), compression=N
     raw bytes are shuffled once. Rows alike in the order are told apart by
     their bytes, so that a repeated attempt writes the same file.
 
-    Rows that carry a ``shard`` (see ``assign_shards``; ``shards`` tells how
-    many there are) go straight to it. Others are range-partitioned by the
-    order, which runs their plan once more to sample it."""
+    Rows that carry a ``shard`` (see ``assign_shards``; ``shards`` and ``pieces``
+    tell how many there are) go straight to it. Others are range-partitioned by
+    the order, which runs their plan once more to sample it. A compressed shard
+    is made in pieces by several tasks, which are then joined."""
     codec = C.validate_compression(compression)
     folder = re.sub(r"^file:/*", "/", folder)
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     if shards is None:
         total = messages.agg(F.sum(F.octet_length("raw").cast("long"))).first()[0] or 0
         shards = max(1, math.ceil(total / shard_bytes))
+        pieces = _pieces(total, shard_bytes)
+    if codec is None:
+        pieces = 1
     rows = messages.withColumns({"_from": from_line(), "_tie": F.xxhash64("raw")})
     if "shard" in messages.columns:
-        rows = rows.repartitionById(shards, "shard")
+        seat = F.col("shard") * pieces + F.col("_piece") if pieces > 1 else F.col("shard")
+        rows = rows.repartitionById(shards * pieces, seat)
     else:
-        rows = rows.repartitionByRange(shards, *order)
-    passed = [f for f in messages.schema if f.name not in ("raw", "shard", *MADE)]
+        rows = rows.repartitionByRange(shards * pieces, *order)
+    passed = [f for f in messages.schema if f.name not in ("raw", "shard", "_piece", *MADE)]
     names = [f.name for f in passed]
     # Within a shard only; the last word has a hash, as ids may repeat.
     laid_out = rows.sortWithinPartitions(*order, "_tie").select(*names, "_from", "raw")
     made = [T.StructField("archive_file", T.StringType()),
             T.StructField("mbox_offset", T.LongType()), T.StructField("mbox_length", T.LongType()),
             T.StructField("checksum", T.StringType()), T.StructField("size_bytes", T.LongType())]
+    target = folder
+    if pieces > 1:
+        folder = re.sub(r"^file:/*", "/", scratch(messages.sparkSession, "pieces"))
     locations = laid_out.mapInArrow(_shard_writer(folder, codec, names),
                                     T.StructType(passed + made))
-    return written(locations, "locations")
+    locations = written(locations, "locations")
+    return locations if pieces == 1 else _joined(locations, target, codec, shards, pieces)
+
+
+def _joined(made, folder, codec, shards, pieces):
+    """Rows of messages written in pieces, at their places in the shards that
+    the pieces are joined to, a task per shard. Every ``pieces`` files by number
+    are a shard; they are removed when all shards are in place."""
+    number = F.regexp_extract("_made", r"part-(\d+)[^/]*$", 1).cast("int")
+    shard = F.floor(F.col("_number") / pieces).cast("int")
+    name = F.concat(F.lit(f"{folder}/part-"), F.format_string("%05d", "_shard"), F.lit(_suffix(codec)))
+    earlier = W.partitionBy("_shard").orderBy("_number").rowsBetween(W.unboundedPreceding, -1)
+    parts = written(
+        made.groupBy(F.col("archive_file").alias("_made"))
+        .agg(F.max(F.col("mbox_offset") + F.col("mbox_length")).alias("_size"))
+        .withColumn("_number", number).withColumn("_shard", shard).withColumn("_file", name)
+        .withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0))), "parts")
+    files = parts.groupBy("_shard", "_file").agg(
+        F.sort_array(F.collect_list(F.struct("_number", "_made"))).alias("_parts")).select(
+        "_shard", "_file", F.col("_parts._made").alias("_parts")).repartitionById(shards, "_shard")
+
+    def join(batches):
+        attempt = TaskContext.get().taskAttemptId()
+        for b in batches:
+            for path, names in zip(b.column("_file").to_pylist(), b.column("_parts").to_pylist()):
+                out, frames = Published(path, attempt), []
+                try:
+                    for part in names:
+                        frames += append_frames(part, out)
+                    if codec == "zstd":
+                        out.write(seek_table_bytes(frames))
+                    out.publish()
+                except BaseException:
+                    out.drop()
+                    raise
+            yield b.select(["_file"])
+
+    def remove(batches):
+        for b in batches:
+            for part in (p for names in b.column("_parts").to_pylist() for p in names):
+                if exists(part):
+                    delete(part)
+            yield b.select(["_file"])
+
+    for step in (join, remove):
+        files.mapInArrow(step, "_file string").write.format("noop").mode("overwrite").save()
+    places = joins.keys_for_join(parts.select("_made", "_file", "_before"))
+    columns = {"archive_file": F.col("_file"), "mbox_offset": F.col("mbox_offset") + F.col("_before")}
+    return made.join(places, F.col("archive_file") == F.col("_made")).select(
+        *[columns.get(c, F.col(c)).alias(c) for c in made.columns])
 
 
 # --------------------------------------------------------------------- extract

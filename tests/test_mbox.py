@@ -1,5 +1,6 @@
 """The mbox source against the mailbox module, at every way of cutting."""
 
+import datetime as dt
 import gzip
 import io
 import lzma
@@ -318,3 +319,48 @@ def test_gzip_members_of_other_makers_are_found(spark, tmp_path, monkeypatch):
     assert tasks == len(points[str(path)]) - 1 > 2 and rows == want
     (tmp_path / "one.mbox.gz").write_bytes(gzip.compress(text, compresslevel=0))
     assert mbox.access_points(spark, mbox.require_sources(str(tmp_path / "one.mbox.gz")), 30_000) == {}
+
+
+@pytest.mark.parametrize("codec, suffix", [("gzip", ".gz"), ("lzma", ".xz"), ("zstd", ".zst")])
+def test_compressed_shards_are_made_in_pieces(spark, tmp_path, monkeypatch, codec, suffix):
+    """Several tasks make a compressed shard; places, order and content are
+    those of one that is written whole."""
+    monkeypatch.setattr(IO, "PIECE_BYTES", 4000)
+    rows = [(f"g{n % 50}", f"<m{n}@x>", dt.datetime(2024, 1, 1) + dt.timedelta(hours=n), "a@x.example",
+             mail(n % 28 + 1, message_id=f"<m{n}@x>", body=f"{n} " * 200)) for n in range(60)]
+    rows.append((None, None, None, None, mail(1, body="")))
+    messages = spark.createDataFrame(
+        rows, "gmail_id string, rfc_message_id string, date timestamp_ntz, from_addr string, raw binary")
+    whole = IO.write_mbox(messages, str(tmp_path / "plain"), shard_bytes=1 << 20).collect()
+    placed = IO.write_mbox(messages, str(tmp_path / "packed"), compression=codec, shard_bytes=1 << 20)
+    path = f"{tmp_path}/packed/part-00000.mbox{suffix}"
+    assert os.listdir(tmp_path / "packed") == [os.path.basename(path)]
+    with storage.open_decoded(path) as stream:
+        assert stream.read() == (tmp_path / "plain/part-00000.mbox").read_bytes()
+    assert len(storage.seek_table(path)[0]) > 5
+    names = ["gmail_id", "rfc_message_id", "mbox_offset", "mbox_length", "checksum", "size_bytes"]
+    found = {tuple(r[n] for n in names) for r in placed.collect()}
+    assert found == {tuple(r[n] for n in names) for r in whole} and placed.count() == 61
+    assert {r.status for r in IO.extract_messages(placed).collect()} == {"extracted"}
+    back = mbox.read_mbox(spark, str(tmp_path / "packed"), split_bytes=3000)
+    assert {(r.mbox_offset, r.mbox_length) for r in back.collect()} == {
+        (r.mbox_offset, r.mbox_length) for r in whole}
+
+
+def test_assigned_shards_are_made_in_pieces(spark, tmp_path, monkeypatch):
+    """Rows that carry their shard are cut into pieces by the same total."""
+    monkeypatch.setattr(IO, "PIECE_BYTES", 4000)
+    rows = [(f"<m{n}@x>", dt.datetime(2024, 1, 1) + dt.timedelta(hours=n), "a@x.example",
+             mail(n % 28 + 1, message_id=f"<m{n}@x>", body=f"{n} " * 200)) for n in range(60)]
+    messages = spark.createDataFrame(
+        rows, "rfc_message_id string, date timestamp_ntz, from_addr string, raw binary")
+    sized = messages.withColumn("size_bytes", F.octet_length("raw").cast("long"))
+    cut, shards, pieces = IO.assign_shards(sized, [F.col("date")], "size_bytes", shards=2)
+    assert shards == 2 and pieces > 3
+    placed = IO.write_mbox(cut, str(tmp_path / "a"), ["date"], "zstd", shards=shards, pieces=pieces)
+    assert len(os.listdir(tmp_path / "a")) == 2
+    assert placed.columns == ["rfc_message_id", "date", "from_addr", *IO.MADE]
+    at = placed.orderBy("archive_file", "mbox_offset").collect()
+    assert [r.date for r in at] == [r[1] for r in rows]
+    assert all(len(storage.seek_table(r.archive_file)[0]) == pieces for r in at)
+    assert {r.status for r in IO.extract_messages(placed).collect()} == {"extracted"}
