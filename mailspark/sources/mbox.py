@@ -21,7 +21,7 @@ from mailspark.sources.storage import (
 SPLIT_BYTES = 128 << 20
 SMALLEST_SPLIT = 256 << 10
 CHUNK = 1 << 20
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 2000
 SEPARATOR = b"\nFrom "
 
 ARROW = pa.schema([

@@ -1,10 +1,12 @@
 """File jobs end to end, streaming, and the shape of plans."""
 
 import base64
+import datetime as dt
 import json
 import mailbox
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -483,3 +485,24 @@ def test_frames_are_spread(spark, box):
     assert len({r._at for r in rows}) == len(rows)
     joined = IO._file_by_file(frames.drop("_at")).withColumn("_at", F.spark_partition_id()).collect()
     assert len({(r.source_file, r._at) for r in joined}) == 2 == len({r._at for r in joined})
+
+
+def test_batches_are_bounded_in_bytes(spark, tmp_path):
+    """What a Python worker holds at a time does not grow with long messages:
+    reading, extraction and what Spark sends to a worker."""
+    raw = b"Subject: long\n\n" + b"x" * 600_000 + b"\n"
+    rows = [(f"<m{n}@x>", dt.datetime(2024, 1, 1, n), "a@x.example", raw) for n in range(20)]
+    messages = spark.createDataFrame(
+        rows, "rfc_message_id string, date timestamp_ntz, from_addr string, raw binary")
+    placed = IO.write_mbox(messages, str(tmp_path / "a"))
+    [path] = [p for p, _ in mbox.list_files(str(tmp_path / "a"))]
+    batches = list(mbox.read_pieces(((path, 0, os.path.getsize(path)),)))
+    assert sum(b.num_rows for b in batches) == 20 and max(b.nbytes for b in batches) < 4 << 20
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "bytes"])
+
+    for df in (mbox.read_mbox(spark, path).coalesce(1), IO.extract_messages(placed).coalesce(1)):
+        got = df.mapInArrow(sizes, "rows long, bytes long").collect()
+        assert sum(r.rows for r in got) == 20 and max(r.bytes for r in got) < 6 << 20
