@@ -62,7 +62,7 @@ def kept(make):
 def stored_messages(spark, sf_dir):
     """The message view of all documents, written once as a table."""
     path = scratch(spark, "messages")
-    views.messages(spark, sf_dir, spread_rows=True).write.parquet(path)
+    views.messages(spark, sf_dir, spread_rows=True).write.option("compression", "zstd").parquet(path)
     return path
 
 

@@ -57,5 +57,5 @@ def written(df, label):
     """The rows as a table in the shared folder, computed once. Later stages
     read the table, also after executors were lost."""
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)

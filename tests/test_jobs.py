@@ -7,6 +7,7 @@ import mailbox
 import os
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -506,3 +507,16 @@ def test_batches_are_bounded_in_bytes(spark, tmp_path):
     for df in (mbox.read_mbox(spark, path).coalesce(1), IO.extract_messages(placed).coalesce(1)):
         got = df.mapInArrow(sizes, "rows long, bytes long").collect()
         assert sum(r.rows for r in got) == 20 and max(r.bytes for r in got) < 6 << 20
+
+
+def test_tables_in_the_shared_folder_are_packed(spark, sf_dir):
+    """Texts that are written down between steps take less than in the default codec."""
+    from checks import stored_messages
+    from mailspark.session import written
+
+    def codecs(df):
+        names = [n.removeprefix("file://") for n in df.inputFiles()]
+        return {pq.ParquetFile(n).metadata.row_group(0).column(0).compression for n in names}
+
+    assert codecs(written(spark.range(100), "numbers")) == {"ZSTD"}
+    assert codecs(spark.read.parquet(stored_messages(spark, sf_dir))) == {"ZSTD"}
