@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from checks import KNOWN_SQL, TS, kept, known, labelled, msgs, query, with_msgs
+from checks import KNOWN_SQL, TS, kept, known, labelled, msgs, query, unstored, with_msgs
 from mailspark import views
 from mailspark.functions import columns as C
 from mailspark.operators import joins as J
@@ -68,7 +68,7 @@ def write_archive(messages, compression=None):
 @kept
 def archive(spark, sf_dir, compression=None):
     """The archive of all messages."""
-    return write_archive(posts(spark, sf_dir), compression)
+    return write_archive(rendered(unstored(spark, sf_dir)).drop("labels"), compression)
 
 
 @kept

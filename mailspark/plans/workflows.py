@@ -77,9 +77,9 @@ def _whole_texts(spark, paths, columns):
 def index_more(spark, paths, index):
     """The next version of an index, with what it lacks of these archives.
     Earlier segments stay; segments of like size are merged."""
-    texts = written(_whole_texts(spark, paths, index.columns), "texts")
     held = index.docs().select(*LOCATION)
-    return index.add(texts.join(held, list(LOCATION), "left_anti")).merge()
+    texts = _whole_texts(spark, paths, index.columns).join(held, list(LOCATION), "left_anti")
+    return index.add(written(texts, "texts")).merge()
 
 
 def _record_imports(per_file, account_id, runs_path, at):

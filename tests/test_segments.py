@@ -1,3 +1,5 @@
+import collections
+import pathlib
 import random
 import time
 
@@ -270,3 +272,81 @@ def test_merge_of_places_that_come_twice(spark, tmp_path):
     words = merged._postings(None).join(merged.docs().select("doc", *key[:2]), "doc")
     found = {(r.archive_file, r.mbox_offset, r.term) for r in words.collect()}
     assert found == {(a, o, w) for a, o, text in made for w in text.split()}
+
+
+def shuffled_bytes(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return sum(p.stat().st_size for d in manager.localDirsString()
+               for p in pathlib.Path(d).rglob("shuffle_*.data"))
+
+
+def test_writing_leaves_no_shuffle_files(spark, tmp_path):
+    """Texts are moved once, and what was moved goes with the job."""
+    seeded = random.Random(11)
+    made = [("a", i, " ".join(f"{seeded.getrandbits(40):x}" for _ in range(300))) for i in range(2000)]
+    size = sum(len(text) for *_, text in made)
+    messages = spark.createDataFrame(made, "archive_file string, mbox_offset long, body string")
+    before = shuffled_bytes(spark)
+    index = SG.create(spark, str(tmp_path), ("body",), stemmed=False, buckets=2)
+    index = index.add(messages.filter("mbox_offset < 1000")).add(messages.filter("mbox_offset >= 1000"))
+    index.merge(everything=True)
+    end = time.time() + 20
+    while shuffled_bytes(spark) - before > size / 8 and time.time() < end:
+        time.sleep(0.2)
+    assert shuffled_bytes(spark) - before <= size / 8
+
+
+def test_texts_are_moved_once_without_a_join(spark, tmp_path, monkeypatch):
+    """Also where the places of all messages are too many to be sent around."""
+    monkeypatch.setattr(SG.joins, "BROADCAST_BYTES", 0)
+    plans, build = [], I.build_blocks
+    monkeypatch.setattr(I, "build_blocks", lambda texts, *a: plans.append(plan(texts)) or build(texts, *a))
+    made = [("a", i, f"alpha w{i % 7}") for i in range(300)]
+    messages = spark.createDataFrame(made, "archive_file string, mbox_offset long, body string")
+    index = SG.create(spark, str(tmp_path), ("body",), stemmed=False, buckets=2).add(messages)
+    assert index.size == 300 and len(plans) == 1
+    assert "SortMergeJoin" not in plans[0] and "ShuffledHashJoin" not in plans[0]
+    assert plans[0].replace("BroadcastExchange", "").count("Exchange ") == 1
+
+
+def test_rounds_make_the_same_rows(spark, tmp_path, monkeypatch):
+    """In one go or in rounds, by few tasks or many; messages without a place
+    are left out, and those of one place come under each of its numbers."""
+    made = [("a", i, " ".join(f"w{(i * k) % 17}" for k in range(i % 40))) for i in range(400)]
+    made += [("b", i % 20, f"twice w{i % 20} x{i}") for i in range(40)]
+    made += [(None, 1, "lost"), ("a", None, "lost")]
+    messages = spark.createDataFrame(made, "archive_file string, mbox_offset long, body string").repartition(5).cache()
+    words = collections.Counter()
+    for archive, offset, text in made:
+        for w in text.split():
+            # Two messages have two numbers there, each with both texts.
+            words[archive, offset, w] += 2 if archive == "b" else 1
+    words = {k: n for k, n in words.items() if k[2] != "lost"}
+
+    def stored(index):
+        docs = index.docs().select("segment", "doc", *KEY).distinct()
+        rows = index._postings(None).join(docs, ["segment", "doc"]).collect()
+        assert all(r.tf == len(r.positions) for r in rows)
+        found = collections.Counter()
+        for r in rows:
+            found[r.archive_file, r.mbox_offset, r.term] += r.tf
+        seats = index._lookup("blocks", SG._BLOCKS, None).selectExpr("bits", "entries.seat AS seats").collect()
+        assert all(sorted(r.seats) == r.seats and sum(1 << s for s in r.seats) == r.bits % (1 << 64) for r in seats)
+        return found
+
+    rounds, plain = [], SG.SegmentedIndex._rounds
+    monkeypatch.setattr(SG.SegmentedIndex, "_rounds", lambda *a: rounds.append(plain(*a)) or rounds[-1])
+    for name, task, round_bytes in (("one", SG.TASK_BYTES, SG.ROUND_BYTES), ("many", 800, 1000)):
+        monkeypatch.setattr(SG, "TASK_BYTES", task)
+        monkeypatch.setattr(SG, "ROUND_BYTES", round_bytes)
+        index = SG.create(spark, str(tmp_path / name), ("body",), stemmed=False, buckets=8)
+        half = F.col("mbox_offset") % 2 == 0
+        index = index.add(messages.filter(half)).add(messages.filter(~half))
+        assert stored(index) == words
+        assert index.docs().filter("archive_file = 'a'").count() == 400
+        merged = index.merge(everything=True)
+        assert stored(merged).keys() == words.keys() and len(merged.segments) == 1
+        assert merged.docs().filter("archive_file = 'a'").count() == 400
+        assert {k: n for k, n in stored(merged).items() if k[0] == "a"} == {
+            k: n for k, n in words.items() if k[0] == "a"}
+    assert rounds[0] == 1 and rounds[-1] > 1
