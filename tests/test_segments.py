@@ -303,7 +303,12 @@ def test_texts_are_moved_once_without_a_join(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(I, "build_blocks", lambda texts, *a: plans.append(plan(texts)) or build(texts, *a))
     made = [("a", i, f"alpha w{i % 7}") for i in range(300)]
     messages = spark.createDataFrame(made, "archive_file string, mbox_offset long, body string")
-    index = SG.create(spark, str(tmp_path), ("body",), stemmed=False, buckets=2).add(messages)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index = SG.create(spark, str(tmp_path), ("body",), stemmed=False, buckets=2).add(messages)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert index.size == 300 and len(plans) == 1
     assert "SortMergeJoin" not in plans[0] and "ShuffledHashJoin" not in plans[0]
     assert plans[0].replace("BroadcastExchange", "").count("Exchange ") == 1
